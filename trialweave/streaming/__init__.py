@@ -1,0 +1,2 @@
+"""Deliberately empty: every input of this study design is a static table, so there is
+no stream source, watermark or keyed state to express. See the README."""
