@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,40 +79,56 @@ def _of(ev: DataFrame, *types: str) -> DataFrame:
     return ev.filter(F.col("event_type").isin(*types))
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+class Inputs(Mapping[str, DataFrame]):
+    """Input tables by name, each planned when first asked for."""
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
+        self._builders, self._built = dict(builders), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Inputs:
     ev = events(spark, sf_dir)
     customer = load(spark, sf_dir, "customer")
     i, v, ts = F.col("event_id"), F.col("value"), F.col("ts")
     point = [F.col("stay_id"), ts.alias("charttime"), i]
     episode = [F.col("stay_id").alias("hadm_id"), ts.alias("charttime"), i]
-    u = units(ev, customer)
     rate = F.when(i % 4 != 0, v / 100)
     drug_end = F.when(i % 10 != 0, ts + _seconds(F.round(v * 600)))
-    labs = _of(ev, "view", "error")
-    return {
-        "units": u,
-        "admissions": admissions(ev, customer),
-        "sepsis3": _of(ev, "signup").groupBy("stay_id").agg(F.min("ts").alias("suspected_infection_time")).withColumn(
+    return Inputs({
+        "units": lambda: units(ev, customer),
+        "admissions": lambda: admissions(ev, customer),
+        "sepsis3": lambda: _of(ev, "signup").groupBy("stay_id").agg(F.min("ts").alias("suspected_infection_time")).withColumn(
             "sepsis3", F.col("stay_id") % 11 != 0
         ),
-        "weight_durations": u.select(
+        "weight_durations": lambda: units(ev, customer).select(
             "stay_id",
             plus_hours("intime", -1).alias("starttime"),
             F.when(F.col("subject_id") % 7 != 0, F.col("outtime")).alias("endtime"),
             F.when(F.col("subject_id") % 23 != 0, (50 + F.col("subject_id") % 60).cast("double")).alias("weight"),
         ),
-        "diagnoses_icd": load(spark, sf_dir, "orders").select(
+        "diagnoses_icd": lambda: load(spark, sf_dir, "orders").select(
             F.col("o_custkey").alias("subject_id"),
             F.when(F.col("o_orderstatus") == "P", 10).when(F.col("o_orderstatus") == "F", 9).alias("icd_version"),
             F.concat(F.col("o_orderpriority"), F.lit("/"), (F.col("o_orderkey") % 4).cast("string")).alias("icd_code"),
         ),
-        "kdigo_stages": _of(ev, "error").select(
+        "kdigo_stages": lambda: _of(ev, "error").select(
             *point,
             (1 + i % 3).cast("int").alias("aki_stage"),
             (1 + i % 3).cast("int").alias("aki_stage_uo"),
             (1 + floor_div(i, 3) % 3).cast("int").alias("aki_stage_creat"),
         ),
-        "vasoactive_agent": _of(ev, "click").select(
+        "vasoactive_agent": lambda: _of(ev, "click").select(
             "stay_id", ts.alias("starttime"), drug_end.alias("endtime"), i,
             rate.alias("norepinephrine"),
             F.when(i % 8 == 0, F.lit(0.0)).alias("epinephrine"),
@@ -118,21 +136,21 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.when(i % 8 == 4, v / 50).alias("vasopressin"),
             F.lit(None).cast("double").alias("dopamine"),
         ),
-        "norepinephrine_equivalent_dose": _of(ev, "click").select(
+        "norepinephrine_equivalent_dose": lambda: _of(ev, "click").select(
             "stay_id", ts.alias("starttime"), drug_end.alias("endtime"), i, rate.alias("norepinephrine_equivalent_dose")
         ),
-        "ventilation": _of(ev, "view").filter(i % 2 == 0).select(
+        "ventilation": lambda: _of(ev, "view").filter(i % 2 == 0).select(
             "stay_id", ts.alias("starttime"), (ts + _seconds(F.round(v * 300))).alias("endtime"), i
         ),
-        "rrt": _of(ev, "purchase").select(
+        "rrt": lambda: _of(ev, "purchase").select(
             *point,
             F.when(i % 10 == 0, 1).alias("dialysis_present"),
             F.when(i % 7 == 0, 1).otherwise(0).alias("dialysis_active"),
         ),
-        "crrt": _of(ev, "purchase").select(
+        "crrt": lambda: _of(ev, "purchase").select(
             *point, (i % 2).cast("int").alias("system_active"), F.when(i % 3 == 0, "CVVH").alias("crrt_mode")
         ),
-        "vitalsign": _of(ev, "click").select(
+        "vitalsign": lambda: _of(ev, "click").select(
             *point,
             (60 + v / 10).alias("heart_rate"),
             (100 + v / 5).alias("sbp"),
@@ -142,7 +160,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.when(i % 3 != 0, 90 + v / 100).alias("spo2"),
             (36 + v / 200).alias("temperature"),
         ),
-        "chemistry": labs.select(
+        "chemistry": lambda: _of(ev, "view", "error").select(
             *episode,
             (130 + v / 50).alias("sodium"),
             (95 + v / 40).alias("chloride"),
@@ -151,24 +169,24 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             (1 + v / 50).alias("creatinine"),
             (10 + v / 4).alias("bun"),
         ),
-        "bg": labs.select(
+        "bg": lambda: _of(ev, "view", "error").select(
             *episode,
             (7 + v / 1000).alias("ph"),
             F.when(i % 6 != 0, v / 10).alias("lactate"),
             (40 + v).alias("po2"),
             F.when(i % 9 != 0, (i % 8) / 10).alias("fio2"),
         ),
-        "enzyme": _of(ev, "signup").select(*episode, v.alias("ast"), (v / 2).alias("alt")),
-        "coagulation": _of(ev, "purchase").select(*episode, (1 + v / 100).alias("inr")),
-        "complete_blood_count": _of(ev, "signup", "error").select(
+        "enzyme": lambda: _of(ev, "signup").select(*episode, v.alias("ast"), (v / 2).alias("alt")),
+        "coagulation": lambda: _of(ev, "purchase").select(*episode, (1 + v / 100).alias("inr")),
+        "complete_blood_count": lambda: _of(ev, "signup", "error").select(
             *episode, (v / 10).alias("wbc"), (8 + v / 50).alias("hemoglobin"), (100 + v).alias("platelet")
         ),
-        "charlson": u.select("hadm_id", (F.col("subject_id") % 10).cast("int").alias("charlson_comorbidity_index")),
-        "sofa": _of(ev, "error").select(
+        "charlson": lambda: units(ev, customer).select("hadm_id", (F.col("subject_id") % 10).cast("int").alias("charlson_comorbidity_index")),
+        "sofa": lambda: _of(ev, "error").select(
             "stay_id", ts.alias("endtime"), i, F.when(i % 9 != 0, i % 20).cast("int").alias("sofa_24hours")
         ),
-        "urine_output": _of(ev, "purchase", "signup").select(*point, (10 * v).alias("urineoutput")),
-    }
+        "urine_output": lambda: _of(ev, "purchase", "signup").select(*point, (10 * v).alias("urineoutput")),
+    })
 
 
 def study(spark: SparkSession, sf_dir: str, **params) -> Study:

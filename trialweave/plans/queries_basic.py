@@ -408,10 +408,12 @@ def first_row_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return cohort.first_per_key(orders, "o_custkey", "o_orderdate", "o_orderkey")
 
 
-@query("cumulative_product", oracle("""SELECT l_orderkey, l_linenumber, product(1 - l_discount) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM lineitem""", num=["kept"], plain=["l_orderkey", "l_linenumber"]))
+@query("cumulative_product", oracle("""SELECT l_orderkey, l_linenumber, product(1 - l_discount) OVER (PARTITION BY l_orderkey
+    ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM lineitem""", num=["kept"], plain=["l_orderkey", "l_linenumber"]))
 def cumulative_product(spark: SparkSession, sf: str) -> DataFrame:
-    along = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"
+    ).rowsBetween(Window.unboundedPreceding, 0)
     kept = F.product(1 - F.col("l_discount")).over(along)
     return load(spark, sf, "lineitem").select(kept.alias("kept"), "l_orderkey", "l_linenumber")
 
