@@ -404,14 +404,14 @@ def _robust(rows: DataFrame, times: DataFrame, fitted: DataFrame) -> DataFrame:
     )
     # Every distinct time of the rows, so that running hazards exist for censored rows too.
     all_times = rows.select("__g", "ticks").distinct().join(per_time, ["__g", "ticks"], "left").fillna(0.0)
-    hazards = running_sums(all_times, ["__g"], "ticks", {"H": "h", "HM": "hm"})
+    hazards = running_sums(all_times, ["__g"], "ticks", {"cum_h": "h", "cum_hm": "hm"})
     hazards = hazards.join(F.broadcast(fitted.select("__g", "__beta")), "__g", "inner")
     joined = spread_join(rows, hazards, ["__g", "ticks"])
     x, e = F.col("x"), F.col("e")
     died = e == 1
     # A subject that dies among ties leaves their risk sets step by step.
-    h = F.when(died, F.col("H") - F.col("h") + F.col("h_tied")).otherwise(F.col("H"))
-    hm = F.when(died, F.col("HM") - F.col("hm") + F.col("hm_tied")).otherwise(F.col("HM"))
+    h = F.when(died, F.col("cum_h") - F.col("h") + F.col("h_tied")).otherwise(F.col("cum_h"))
+    hm = F.when(died, F.col("cum_hm") - F.col("hm") + F.col("hm_tied")).otherwise(F.col("cum_hm"))
     observed = F.when(died, x - F.col("mean")).otherwise(0.0)
     residual = observed - F.exp(F.col("__beta") * x) * (x * h - hm)
     return (

@@ -66,7 +66,14 @@ def censor_model(
     formula = RFormula(formula=f"{label} ~ {right}", featuresCol="features", labelCol="label")
     features = formula.fit(complete)
     kept = ["features", "label", *([weight] if weight else [])]
-    rows = features.transform(complete).select(*kept).persist(StorageLevel.MEMORY_AND_DISK)
+    cached = features.transform(complete).select(*kept).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cached
+    if weight:
+        # The iterations start from weighted frequencies; large weights would start them at
+        # probabilities of almost 0 or 1, from where they may diverge.  The scale of the
+        # weights does not change the estimates.
+        largest = rows.agg(F.max(weight)).first()[0]
+        rows = rows.withColumn(weight, F.col(weight) / F.lit(largest))
     try:
         glm = GeneralizedLinearRegression(
             family="binomial", link="logit", maxIter=max_iter, tol=tol, regParam=reg_param
@@ -75,7 +82,7 @@ def censor_model(
             glm = glm.setWeightCol(weight)
         fitted = glm.fit(rows)
     finally:
-        rows.unpersist()
+        cached.unpersist()
     return HazardModel(features, fitted, needed, tuple(factors))
 
 
