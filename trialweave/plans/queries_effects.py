@@ -141,6 +141,44 @@ def hazard_score_equations(spark: SparkSession, sf: str) -> DataFrame:
     return sums.select((F.round("expected", 2) + 0.0).alias("expected"), "hour_index", "strategy")
 
 
+_COMPLETE = """SELECT k.*, b.age, b.gender, b.weight_kg, b.cci, b.mv_baseline FROM clone_full k JOIN base b ON b.stay_id = k.stay_id
+    WHERE (k.total_censor_time IS NULL OR k.total_censor_time > k.t_start) AND b.weight_kg IS NOT NULL AND b.gender IS NOT NULL"""
+# Name in the model -> column in the SQL above.
+_SCORES = {
+    "age": "age", "weight_kg": "weight_kg", "charlson_comorbidity_index": "cci", "mv_baseline": "mv_baseline",
+    "uo_mlkgph_last6h": "uo_mlkgph_last6h", "vaso_flag_last1h": "vaso_flag_last1h", "mv_flag_last1h": "mv_flag_last1h",
+}
+_SCORE_SQL = " UNION ALL ".join(
+    [f"SELECT '{n}' AS term, sum(censor_k_total * {c}) AS total FROM ({_COMPLETE}) z" for n, c in _SCORES.items()]
+    + [
+        f"SELECT 'strategy=' || strategy, sum(censor_k_total) FROM ({_COMPLETE}) z GROUP BY strategy",
+        f"SELECT 'sex=' || gender, sum(censor_k_total) FROM ({_COMPLETE}) z GROUP BY gender",
+        f"SELECT 'hour=' || hour_index, sum(censor_k_total) FROM ({_COMPLETE}) z GROUP BY hour_index",
+    ]
+)
+
+
+@query("denominator_score_equations", oracle(f"SELECT term, round(CAST(total AS DOUBLE), 2) AS total FROM ({_SCORE_SQL}) y", num=["total"], plain=["term"]))
+def denominator_score_equations(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected total of every model term under the fitted denominator model.
+
+    At the maximum of the likelihood these equal the observed totals, term by term, which
+    holds for no other coefficients.
+    """
+    s = proxies.study(spark, sf)
+    frame = full_frame(s, proxies.relaxed_cohort(s))
+    scored = weights.predict_hazard(frame, weights.censor_model(frame, _MODEL_TERMS), "p").filter(F.col("p").isNotNull())
+    cells = [
+        F.concat(F.lit(f"{label}="), F.col(c).cast("string"))
+        for label, c in (("strategy", "strategy"), ("sex", "sex"), ("hour", "hour_index"))
+    ]
+    terms = [F.struct(F.lit(n).alias("term"), F.col(n).cast("double").alias("x")) for n in _SCORES]
+    terms += [F.struct(c.alias("term"), F.lit(1.0).alias("x")) for c in cells]
+    long = scored.select("p", F.explode(F.array(*terms)).alias("t"))
+    totals = long.groupBy("t.term").agg(F.sum(F.col("p") * F.col("t.x")).alias("total"))
+    return totals.select((F.round("total", 2) + 0.0).alias("total"), "term")
+
+
 # --- survival --------------------------------------------------------------------------------
 
 @query("time_to_event", oracle("SELECT stay_id, strategy, time, event FROM surv_rows", num=["time"], plain=["stay_id", "strategy", "event"]))
@@ -445,3 +483,16 @@ def outcome_hazard_glm(spark: SparkSession, sf: str) -> DataFrame:
     _, _, rows = _survival(spark, sf)
     days = stage(pooled.person_periods(rows, 28, weight="ipcw_trunc_last"), "person-days")
     return pooled.curve(pooled.logistic_hazard(days, weight="w")).select("hazard", "surv", "strategy", "day")
+
+
+@query("outcome_score_equations", oracle("""SELECT * FROM (SELECT day, strategy, round(sum(w * died), 3) AS expected FROM person_days
+    GROUP BY GROUPING SETS ((day), (strategy))) q""", num=["expected"], plain=["day", "strategy"]))
+def outcome_score_equations(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected weighted deaths of the pooled outcome model per day and per arm equal the observed ones."""
+    _, _, rows = _survival(spark, sf)
+    days = stage(pooled.person_periods(rows, 28, weight="ipcw_trunc_last"), "person-days")
+    at_risk = days.groupBy("strategy", "day").agg(F.sum("w").alias("n"))
+    both = pooled.logistic_hazard(days).join(at_risk, ["strategy", "day"])
+    sums = both.cube("day", "strategy").agg(F.sum(F.col("n") * F.col("hazard")).alias("expected"))
+    one = F.col("day").isNull() != F.col("strategy").isNull()
+    return sums.filter(one).select((F.round("expected", 3) + 0.0).alias("expected"), "day", "strategy")
