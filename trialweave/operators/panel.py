@@ -91,8 +91,9 @@ def hour_panel(
     ``at_t0`` must yield ``weight_kg`` and ``crrt_start_time``; ``on_slices`` must yield
     ``uo_total`` (0 where no row), which becomes a rate per weight.
     """
+    narrow = cohort.select(*dict.fromkeys([key, at, *[lookup.key for lookup in on_slices]]))
     known = gather(cohort, key, at, at_t0)
-    wide = gather_slices(cohort, key, at, horizon_h, on_slices, attributes=known)
+    wide = gather_slices(narrow, key, at, horizon_h, on_slices, attributes=known)
     rate = rate_per_weight("uo_total", "weight_kg", hours).alias("uo_mlkgph_last6h")
     keep = [c for c in wide.columns if c not in ("uo_total", "weight_kg")]
     return wide.select(*keep, rate)

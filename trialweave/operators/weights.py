@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -98,16 +98,31 @@ def predict_hazard(df: DataFrame, model: HazardModel, name: str) -> DataFrame:
     return predicted.unionByName(unknown)
 
 
-def cell_hazard(df: DataFrame, by: Sequence[str], name: str, flag: str = "censor_k_total") -> DataFrame:
-    """Add the mean of ``flag`` in each cell of ``by``: the saturated hazard model.
+def cell_hazards(
+    df: DataFrame, cells: Mapping[str, Sequence[str]], flag: str = "censor_k_total"
+) -> DataFrame:
+    """Add the mean of ``flag`` in cells of the data: saturated hazard models.
 
-    The cell means are written as a stage, so the planner joins them by their real size:
-    broadcast while small, by key otherwise.  NULL is a cell of its own.
+    ``cells`` maps each new column to the columns that define its cells.  Sums are taken once
+    over the finest cells; coarser means come from those.  The finest cells are written as a
+    stage, so the planner joins them by their real size: broadcast while small, by key
+    otherwise.  NULL is a level of its own.
     """
-    keys = {c: f"__cell_{c}" for c in by}
-    means = df.groupBy(*by).agg(F.avg(flag).alias(name)).withColumnsRenamed(keys)
+    fine = list(dict.fromkeys(c for by in cells.values() for c in by))
+    keys = {c: f"__cell_{c}" for c in fine}
+    sums = df.groupBy(*fine).agg(F.sum(flag).alias("__sum"), F.count(flag).alias("__n")).withColumnsRenamed(keys)
+    means = {}
+    for name, by in cells.items():
+        whole = Window.partitionBy(*[keys[c] for c in by])
+        means[name] = F.sum("__sum").over(whole) / F.sum("__n").over(whole)
+    table = stage(sums, "cells").withColumns(means).drop("__sum", "__n")
     same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
-    return df.join(stage(means, "cells"), same, "left").drop(*keys.values())
+    return df.join(table, same, "left").drop(*keys.values())
+
+
+def cell_hazard(df: DataFrame, by: Sequence[str], name: str, flag: str = "censor_k_total") -> DataFrame:
+    """Add the mean of ``flag`` in each cell of ``by``."""
+    return cell_hazards(df, {name: by}, flag)
 
 
 def stabilized_weights(

@@ -16,7 +16,7 @@ FROM events""")
 cte("units", """
 SELECT e.stay_id, e.user_id AS subject_id, e.stay_id AS hadm_id, e.intime, e.outtime,
        CAST(10 + e.user_id % 80 AS DOUBLE) AS age,
-       CASE WHEN c.c_nationkey % 2 = 0 THEN 'F' WHEN c.c_nationkey IS NULL THEN 'M' ELSE 'M' END AS gender,
+       if(c.c_nationkey % 2 = 0, 'F', 'M') AS gender,
        'R' || CAST(c.c_nationkey % 5 AS VARCHAR) AS race,
        (epoch_us(e.outtime) - epoch_us(e.intime)) / 86400000000.0 AS los_icu
 FROM (SELECT stay_id, user_id, min(ts) AS intime, max(ts) AS outtime FROM ev GROUP BY stay_id, user_id) e
@@ -182,28 +182,37 @@ LEFT JOIN LATERAL (SELECT CAST(event_id % 20 AS INTEGER) AS sofa_baseline FROM e
     AND event_type = 'error' AND event_id % 9 <> 0 AND ts > c.t0_time - INTERVAL 6 HOUR AND ts <= c.t0_time
   ORDER BY ts DESC, event_id DESC LIMIT 1) s ON true""")
 
-cte("sub_flags", """
-SELECT q.*,
-  CASE WHEN uo_mlkgph_t0_last6h IS NULL THEN 'missing' WHEN uo_mlkgph_t0_last6h < 0.3 THEN 'oliguria_<0.3'
-       WHEN uo_mlkgph_t0_last6h < 0.5 THEN 'oliguria_0.3-0.5' ELSE 'non_oliguric_>=0.5' END AS oliguria_3grp,
-  CASE WHEN ne_ugkgmin IS NULL THEN 'missing' WHEN ne_ugkgmin < 0.1 THEN 'NE_<0.1'
-       WHEN ne_ugkgmin < 0.3 THEN 'NE_0.1-0.3' ELSE 'NE_>=0.3' END AS ne_3grp,
-  CASE WHEN mv_flag = 1 THEN 'MV' ELSE 'no_MV' END AS mv_2grp,
-  CASE WHEN lactate_mmol IS NULL THEN 'missing' WHEN lactate_mmol >= 4 THEN 'lactate_>=4' ELSE 'lactate_<4' END AS lactate_2grp,
-  CASE WHEN pf_ratio IS NULL THEN 'missing' WHEN pf_ratio < 100 THEN 'PF_<100'
-       WHEN pf_ratio < 200 THEN 'PF_100-200' ELSE 'PF_>=200' END AS pf_3grp,
-  CASE WHEN coalesce(aki_stage_uo_t0, 0) = 3 AND coalesce(aki_stage_creat_t0, 0) < 3 THEN 'uo_driven'
-       WHEN coalesce(aki_stage_creat_t0, 0) = 3 AND coalesce(aki_stage_uo_t0, 0) < 3 THEN 'scr_driven'
-       WHEN coalesce(aki_stage_creat_t0, 0) = 3 AND coalesce(aki_stage_uo_t0, 0) = 3 THEN 'mixed'
-       ELSE 'unknown' END AS aki_pathway
+# Bands as half-open ranges.
+cte("bands", """
+SELECT * FROM (VALUES
+  ('urine', -1e9, 0.3, 'oliguria_<0.3'), ('urine', 0.3, 0.5, 'oliguria_0.3-0.5'), ('urine', 0.5, 1e9, 'non_oliguric_>=0.5'),
+  ('dose', -1e9, 0.1, 'NE_<0.1'), ('dose', 0.1, 0.3, 'NE_0.1-0.3'), ('dose', 0.3, 1e9, 'NE_>=0.3'),
+  ('lactate', -1e9, 4, 'lactate_<4'), ('lactate', 4, 1e9, 'lactate_>=4'),
+  ('pf', -1e9, 100, 'PF_<100'), ('pf', 100, 200, 'PF_100-200'), ('pf', 200, 1e9, 'PF_>=200')) v(kind, lo, hi, label)""")
+
+
+def _label(kind: str, value: str) -> str:
+    return (
+        f"coalesce((SELECT any_value(label) FROM bands WHERE kind = '{kind}' AND q.{value} >= bands.lo AND q.{value} < bands.hi), 'missing')"
+    )
+
+
+cte("sub_flags", f"""
+SELECT q.*, {_label('urine', 'uo_mlkgph_t0_last6h')} AS oliguria_3grp, {_label('dose', 'ne_ugkgmin')} AS ne_3grp,
+  if(mv_flag = 1, 'MV', 'no_MV') AS mv_2grp, {_label('lactate', 'lactate_mmol')} AS lactate_2grp,
+  {_label('pf', 'pf_ratio')} AS pf_3grp,
+  (['unknown', 'uo_driven', 'scr_driven', 'mixed'])[1 + CAST(coalesce(aki_stage_uo_t0 = 3, false) AS INTEGER)
+    + 2 * CAST(coalesce(aki_stage_creat_t0 = 3, false) AS INTEGER)] AS aki_pathway
 FROM (
-  SELECT b.subject_id, b.hadm_id, b.stay_id, b.t0_time,
-    CASE WHEN b.weight_kg > 0 THEN (SELECT sum(u.urineoutput) FROM urine u WHERE u.stay_id = b.stay_id
-      AND u.charttime > b.t0_time - INTERVAL 6 HOUR AND u.charttime <= b.t0_time) / b.weight_kg / 6.0 END AS uo_mlkgph_t0_last6h,
+  SELECT b.subject_id, b.hadm_id, b.stay_id, b.t0_time, if(b.weight_kg > 0, u.total / b.weight_kg / 6.0, NULL) AS uo_mlkgph_t0_last6h,
     b.ne_eq_baseline AS ne_ugkgmin, b.mv_baseline AS mv_flag, b.lactate AS lactate_mmol, b.pf_ratio,
     k.aki_stage AS aki_stage_uo_t0, k.aki_stage_creat AS aki_stage_creat_t0
-  FROM base b LEFT JOIN LATERAL (SELECT aki_stage, aki_stage_creat FROM stg WHERE stg.stay_id = b.stay_id
-    AND stg.charttime <= b.t0_time ORDER BY stg.charttime DESC, stg.event_id DESC LIMIT 1) k ON true) q""")
+  FROM base b
+  LEFT JOIN (SELECT b.stay_id, sum(urineoutput) AS total FROM base b JOIN urine ON urine.stay_id = b.stay_id
+    AND charttime > b.t0_time - INTERVAL 6 HOUR AND charttime <= b.t0_time GROUP BY b.stay_id) u ON u.stay_id = b.stay_id
+  LEFT JOIN (SELECT b.stay_id, arg_max(struct_pack(aki_stage, aki_stage_creat), (charttime, event_id)) AS v FROM base b
+    JOIN stg ON stg.stay_id = b.stay_id AND charttime <= b.t0_time GROUP BY b.stay_id) n ON n.stay_id = b.stay_id
+  LEFT JOIN LATERAL (SELECT n.v.aki_stage AS aki_stage, n.v.aki_stage_creat AS aki_stage_creat) k ON true) q""")
 
 # --- hourly panel, clones, outcomes ---------------------------------------------------------
 
@@ -239,19 +248,19 @@ def _clones(rows: str, grace: int) -> str:
     g = f"(x.t0_time + INTERVAL {grace} HOUR)"
     return f"""
 SELECT z.*,
-  CASE WHEN admin_censor_time IS NOT NULL AND (proto_censor_time IS NULL OR admin_censor_time <= proto_censor_time) THEN 1 ELSE 0 END AS admin_censor_driving,
-  CASE WHEN proto_censor_time IS NOT NULL AND (admin_censor_time IS NULL OR proto_censor_time < admin_censor_time) THEN 1 ELSE 0 END AS proto_censor_driving,
-  CASE WHEN total_censor_time > t_start AND total_censor_time <= t_end THEN 1 ELSE 0 END AS censor_k_total,
-  CASE WHEN total_censor_time IS NULL OR total_censor_time > t_end THEN 1 ELSE 0 END AS at_risk_after_k,
-  CASE WHEN strategy = 'A' AND crrt_start_time < grace_end THEN 1 ELSE 0 END AS task_completed_within_24h,
-  CASE WHEN strategy = 'B' AND (crrt_start_time IS NULL OR crrt_start_time >= grace_end) THEN 1 ELSE 0 END AS task_maintained_no_early_24h
+  CAST(coalesce(admin_censor_time <= coalesce(proto_censor_time, 'infinity'), false) AS INTEGER) AS admin_censor_driving,
+  CAST(coalesce(proto_censor_time < coalesce(admin_censor_time, 'infinity'), false) AS INTEGER) AS proto_censor_driving,
+  CAST(coalesce(t_start < total_censor_time AND t_end >= total_censor_time, false) AS INTEGER) AS censor_k_total,
+  CAST(coalesce(total_censor_time, 'infinity') > t_end AS INTEGER) AS at_risk_after_k,
+  CAST(strategy = 'A' AND started_early AS INTEGER) AS task_completed_within_24h,
+  CAST(strategy = 'B' AND NOT started_early AS INTEGER) AS task_maintained_no_early_24h
 FROM (
   SELECT y.*, least(proto_censor_time, admin_censor_time) AS total_censor_time FROM (
     SELECT x.*, s.strategy, a.deathtime AS death_time, c.outtime AS icu_outtime, {g} AS grace_end,
-      CASE WHEN s.strategy = 'A' AND (x.crrt_start_time IS NULL OR x.crrt_start_time >= {g}) THEN {g}
-           WHEN s.strategy = 'B' AND x.crrt_start_time < {g} THEN x.crrt_start_time END AS proto_censor_time,
-      CASE WHEN a.deathtime > x.t0_time AND a.deathtime < {g} THEN a.deathtime
-           WHEN c.outtime > x.t0_time AND c.outtime < {g} THEN c.outtime END AS admin_censor_time
+      coalesce(x.crrt_start_time, 'infinity') < {g} AS started_early,
+      if(s.strategy = 'A', if(started_early, NULL, {g}), if(started_early, x.crrt_start_time, NULL)) AS proto_censor_time,
+      coalesce(if(a.deathtime > x.t0_time AND a.deathtime < {g}, a.deathtime, NULL),
+               if(c.outtime > x.t0_time AND c.outtime < {g}, c.outtime, NULL)) AS admin_censor_time
     FROM ({rows}) x
     JOIN coh c ON c.stay_id = x.stay_id LEFT JOIN adm a ON a.hadm_id = x.hadm_id
     CROSS JOIN (VALUES ('A'), ('B')) s(strategy)) y) z"""
@@ -263,17 +272,18 @@ cte("clone_bare_12", _clones(_BARE.format(12), 12))
 cte("clone_full", _clones("SELECT * FROM panel_24", 24))
 
 cte("outc", """
-SELECT c.subject_id, c.hadm_id, c.stay_id, c.t0_time, a.deathtime,
-  CASE WHEN a.deathtime > c.t0_time AND a.deathtime <= c.t0_time + INTERVAL 7 DAY THEN 1 ELSE 0 END AS death_7d,
-  CASE WHEN a.deathtime IS NULL OR a.deathtime > c.t0_time + INTERVAL 7 DAY THEN 1 ELSE 0 END AS alive_7d,
-  CASE WHEN a.deathtime > c.t0_time AND a.deathtime <= c.t0_time + INTERVAL 28 DAY THEN 1 ELSE 0 END AS death_28d,
-  CASE WHEN a.deathtime IS NULL OR a.deathtime > c.t0_time + INTERVAL 28 DAY THEN 1 ELSE 0 END AS alive_28d,
-  (SELECT min(scr) FROM lab WHERE lab.hadm_id = c.hadm_id AND lab.charttime >= a.admittime AND lab.charttime <= c.t0_time) AS scr_baseline,
-  (SELECT min(scr) FROM lab WHERE lab.hadm_id = c.hadm_id AND lab.charttime >= c.t0_time - INTERVAL 7 DAY AND lab.charttime <= c.t0_time) AS scr_baseline_7d,
-  s.scr_28d
-FROM coh c JOIN adm a ON a.hadm_id = c.hadm_id
-LEFT JOIN LATERAL (SELECT scr AS scr_28d FROM lab WHERE lab.hadm_id = c.hadm_id AND lab.charttime > c.t0_time
-  AND lab.charttime <= c.t0_time + INTERVAL 28 DAY ORDER BY lab.charttime DESC, lab.event_id DESC LIMIT 1) s ON true""")
+SELECT q.*, CAST(dies > t0_time AND dies <= t0_time + INTERVAL 7 DAY AS INTEGER) AS death_7d,
+  CAST(dies > t0_time + INTERVAL 7 DAY AS INTEGER) AS alive_7d,
+  CAST(dies > t0_time AND dies <= t0_time + INTERVAL 28 DAY AS INTEGER) AS death_28d,
+  CAST(dies > t0_time + INTERVAL 28 DAY AS INTEGER) AS alive_28d
+FROM (
+  SELECT c.subject_id, c.hadm_id, c.stay_id, c.t0_time, any_value(a.deathtime) AS deathtime,
+    coalesce(any_value(a.deathtime), 'infinity') AS dies,
+    min(l.scr) FILTER (WHERE l.charttime BETWEEN a.admittime AND c.t0_time) AS scr_baseline,
+    min(l.scr) FILTER (WHERE l.charttime BETWEEN c.t0_time - INTERVAL 7 DAY AND c.t0_time) AS scr_baseline_7d,
+    arg_max(l.scr, (l.charttime, l.event_id)) FILTER (WHERE l.charttime > c.t0_time AND l.charttime <= c.t0_time + INTERVAL 28 DAY) AS scr_28d
+  FROM coh c JOIN adm a ON a.hadm_id = c.hadm_id LEFT JOIN lab l ON l.hadm_id = c.hadm_id
+  GROUP BY c.subject_id, c.hadm_id, c.stay_id, c.t0_time) q""")
 
 # --- saturated weights and survival ---------------------------------------------------------
 

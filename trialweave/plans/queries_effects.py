@@ -16,7 +16,7 @@ from trialweave.operators import censor, diagnostics, panel, pooled, survival, w
 from trialweave.operators.joins import left_join
 from trialweave.operators.lookups import gather, gather_slices
 from trialweave.plans import oracle_inputs, proxies  # noqa: F401
-from trialweave.plans.queries_study import bare_clones, full_frame
+from trialweave.plans.queries_study import full_frame
 from trialweave.plans.registry import cte, oracle, query
 from trialweave.plans.study import Study
 from trialweave.sources import read_csv, shared_dir, stage, write_csv
@@ -31,15 +31,16 @@ def _risk_rows(spark: SparkSession, sf: str, **params) -> tuple[Study, DataFrame
     s = proxies.study(spark, sf, **params)
     cohort = proxies.relaxed_cohort(s)
     at_t0, _ = s.panel_lookups()
-    units = cohort.select("stay_id", "hadm_id", "t0_time")
+    units = s.with_ends(cohort)
     flags = [s.drug_overlap("vaso_flag_last1h", 1), s.ventilated("mv_flag_last1h", 1)]
-    hours = gather_slices(units, "stay_id", "t0_time", 24, flags, gather(units, "stay_id", "t0_time", at_t0[1:]))
-    clones = s.clones(hours.drop("hadm_id"), cohort)
+    known = gather(units, "stay_id", "t0_time", at_t0[1:])
+    hours = gather_slices(units.select("stay_id", "t0_time"), "stay_id", "t0_time", 24, flags, known)
+    clones = censor.clone_censor(hours, s.params.grace_h)
     return s, cohort, stage(clones.filter(censor.at_risk("start")), "risk-rows")
 
 
 def _hazards(rows: DataFrame) -> DataFrame:
-    return weights.cell_hazard(weights.cell_hazard(rows, _NUM_CELLS, "p_num"), _DEN_CELLS, "p_denom")
+    return weights.cell_hazards(rows, {"p_num": _NUM_CELLS, "p_denom": _DEN_CELLS})
 
 
 def _weighted(spark: SparkSession, sf: str, mode: str = "documented", **params) -> tuple[Study, DataFrame, DataFrame]:

@@ -139,9 +139,9 @@ _CENSOR_FLAGS = [
 
 def bare_clones(s: Study, cohort: DataFrame, hours: int = 24) -> DataFrame:
     """Clone panel without covariates: grid, treatment start, censoring."""
-    units = cohort.select("stay_id", "hadm_id", "t0_time")
-    known = lookups.gather(units, "stay_id", "t0_time", [s.panel_lookups()[0][1]])
-    return s.clones(lookups.hour_grid(known.drop("hadm_id"), "t0_time", hours), cohort)
+    known = lookups.gather(s.with_ends(cohort), "stay_id", "t0_time", [s.panel_lookups()[0][1]])
+    grid = lookups.hour_grid(known.drop("subject_id", "hadm_id"), "t0_time", hours)
+    return censor.clone_censor(grid, s.params.grace_h)
 
 
 _BARE_TS = ["t0_time", "t_start", "t_end", "crrt_start_time", *_CENSOR_TS]
@@ -164,7 +164,15 @@ def clone_censor_12h(spark: SparkSession, sf: str) -> DataFrame:
 def clone_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly panel, cloned and censored."""
     s, cohort = _start(spark, sf)
-    return s.clones(s.hour_panel(cohort), cohort)
+    return s.clone_panel(cohort)
+
+
+@query("clone_stored_panel", oracle("SELECT * FROM clone_full", ts=_CENSOR_TS, plain=["stay_id", "strategy", "hour_index", *_CENSOR_FLAGS]))
+def clone_stored_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a panel that was stored without unit end and death."""
+    s, cohort = _start(spark, sf)
+    stored = stage(s.hour_panel(cohort), "panel")
+    return s.clones(stored, cohort).select(*_CENSOR_TS, "stay_id", "strategy", "hour_index", *_CENSOR_FLAGS)
 
 
 @query("censor_rate_by_hour", oracle("SELECT hour_index, avg(censor_k_total) AS censor_rate, count(*) AS n FROM clone_bare GROUP BY hour_index",
@@ -215,7 +223,7 @@ _FRAME_COLUMNS = [
 def full_frame(s: Study, cohort: DataFrame) -> DataFrame:
     """Analysis frame with all covariates, as a stage."""
     base = stage(s.baseline(cohort), "baseline")
-    return stage(s.analysis_frame(s.clones(s.hour_panel(cohort), cohort), base), "analysis")
+    return stage(s.analysis_frame(s.clone_panel(cohort), base), "analysis")
 
 
 @query("analysis_frame", _frame_sql("k.total_censor_time IS NULL OR k.total_censor_time > k.t_start"))

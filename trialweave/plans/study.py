@@ -7,7 +7,7 @@ Each stage is a function of DataFrames; ``run`` writes those that are read more
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -15,13 +15,20 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.exprs import active_or_mode, any_positive, either_flag, plus_days
 from trialweave.operators import censor, cohort, lookups, panel, survival, weights
-from trialweave.operators.joins import left_join
+from trialweave.operators.joins import left_join, require
 from trialweave.sources.stages import materialize, stage
 
 # Vasoactive drugs of the shock rule, and the excluded diagnosis codes.
 DRUGS = ("norepinephrine", "epinephrine", "phenylephrine", "vasopressin", "dopamine")
 EXCLUDED_CODES = {10: ("N186", "Z992", "Z940"), 9: ("5856", "V451", "V420")}
 
+# Tables read by more than one stage after the index cohort is known.
+EPISODE_TABLES = ("chemistry", "bg")
+EVENT_TABLES = (
+    *EPISODE_TABLES, "vitalsign", "vasoactive_agent", "norepinephrine_equivalent_dose", "ventilation", "urine_output",
+    "weight_durations",
+)
+
 # Output name -> source column of the baseline lookups.
 VITALS = {"hr": "heart_rate", "sbp": "sbp", "dbp": "dbp", "map": "mbp", "rr": "resp_rate", "spo2": "spo2", "temp_c": "temperature"}
 BLOOD_COUNT = {"wbc": "wbc", "hb": "hemoglobin", "plt": "platelet"}
@@ -192,14 +199,28 @@ class Study:
         units = index.select("subject_id", "hadm_id", "stay_id", "t0_time")
         return panel.hour_panel(units, hours or self.params.panel_h, at_t0, on_slices, self.params.window_h)
 
-    def clones(self, hours: DataFrame, index: DataFrame) -> DataFrame:
-        """Clone panel; unit end and death are joined before cloning, one row per unit."""
-        ends = left_join(
-            index.select("stay_id", "hadm_id", F.col("outtime").alias("icu_outtime")),
-            self.tables["admissions"].withColumnRenamed("deathtime", "death_time"),
-            "hadm_id",
-            ["death_time"],
+    def with_ends(self, index: DataFrame) -> DataFrame:
+        """Units with the times that end their stay."""
+        units = index.select(
+            "subject_id", "hadm_id", "stay_id", "t0_time", F.col("outtime").alias("icu_outtime")
         )
+        deaths = self.tables["admissions"].withColumnRenamed("deathtime", "death_time")
+        return left_join(units, deaths, "hadm_id", ["death_time"])
+
+    def clone_panel(self, index: DataFrame, hours: int | None = None) -> DataFrame:
+        """Hourly panel, cloned and censored.
+
+        Unit end and death travel with the unit through the panel, so cloning and censoring
+        add no join and no shuffle.
+        """
+        at_t0, on_slices = self.panel_lookups()
+        p = self.params
+        full = panel.hour_panel(self.with_ends(index), hours or p.panel_h, at_t0, on_slices, p.window_h)
+        return censor.clone_censor(full, p.grace_h)
+
+    def clones(self, hours: DataFrame, index: DataFrame) -> DataFrame:
+        """Clones of a panel that was stored without unit end and death."""
+        ends = self.with_ends(index)
         full = left_join(hours, ends, "stay_id", ["icu_outtime", "death_time"])
         return censor.clone_censor(full, self.params.grace_h)
 
@@ -241,6 +262,18 @@ class Study:
             horizon=p.horizon_days, as_coded=p.as_coded_survivors, stop_at=stop,
         )
 
+    def narrowed(self, index: DataFrame) -> Study:
+        """The same study over the events of the index cohort only, each table a stage.
+
+        Baseline, panel and outcomes read most event tables two or three times.  Keeping the
+        cohort's rows once means that the full tables are scanned once.
+        """
+        kept = {
+            name: stage(require(self.tables[name], index, "hadm_id" if name in EPISODE_TABLES else "stay_id"), name)
+            for name in EVENT_TABLES
+        }
+        return replace(self, tables={**self.tables, **kept})
+
     # --- whole run ----------------------------------------------------------------------
 
     def run(self, root: str) -> StudyResult:
@@ -252,10 +285,11 @@ class Study:
         t0 = keep(self.time_zero(core), "t0_cohort")
         screened = keep(self.screened(t0), "screened")
         index = keep(self.index_cohort(screened), "index_cohort")
-        base = keep(self.baseline(index), "baseline")
-        groups = keep(self.subgroups(base), "subgroup_flags")
-        clones = keep(self.clones(self.hour_panel(index), index), "clone_panel")
-        outcome = keep(self.outcomes(index), "outcomes")
+        events = self.narrowed(index)
+        base = keep(events.baseline(index), "baseline")
+        groups = keep(events.subgroups(base), "subgroup_flags")
+        clones = keep(events.clone_panel(index), "clone_panel")
+        outcome = keep(events.outcomes(index), "outcomes")
         flow = keep(self.attrition(core, screened), "attrition")
         return StudyResult(self, core, t0, index, base, groups, clones, outcome, flow, root.rstrip("/"))
 
