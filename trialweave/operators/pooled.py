@@ -38,15 +38,13 @@ def logistic_hazard(
 ) -> DataFrame:
     """Hazard per arm and day from a weighted pooled logistic model with a day factor.
 
-    Person-days are first merged to one weighted row per arm, day and outcome, which has the
-    same likelihood, so the fit does not iterate over all person-days.
+    Person-days are merged to one weighted row per arm, day and outcome before the fit.
     """
-    merged = days.groupBy(arm, "day", "died").agg(F.sum(weight).alias("w"))
     terms = [f"{arm}:factor_day"] if interaction else []
     model = censor_model(
-        merged, (arm,), ("day",), "died", weight="w", reg_param=reg_param, interactions=terms
+        days, (arm,), ("day",), "died", weight=weight, reg_param=reg_param, interactions=terms, merge=True
     )
-    return predict_hazard(merged.select(arm, "day").distinct(), model, "hazard")
+    return predict_hazard(days.select(arm, "day").distinct(), model, "hazard")
 
 
 def curve(hazard: DataFrame, arm: str = "strategy", day: str = "day") -> DataFrame:

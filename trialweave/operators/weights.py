@@ -49,19 +49,26 @@ def censor_model(
     weight: str | None = None,
     reg_param: float = 0.0,
     interactions: Sequence[str] = (),
-    max_iter: int = 50,
-    tol: float = 1e-9,
+    merge: bool = False,
+    max_iter: int = 30,
+    tol: float = 1e-8,
 ) -> HazardModel:
     """Pooled logistic regression over clone-hours; rows with a missing term do not take part.
 
     ``factors`` are dummy-coded, ``interactions`` are extra formula terms such as ``a:b``.
-    A small ``reg_param`` keeps coefficients finite where some hours hold no censoring.
+    ``merge`` first counts equal rows and fits on the counts, which has the same likelihood;
+    use it when all terms are discrete.  A small ``reg_param`` keeps coefficients finite where some hours hold no censoring.
     ``df`` should be a stage.  The feature vectors are kept for the iterations of the fit and
     are rebuilt from that stage if an executor is lost.
     """
     needed = (*terms, *factors)
     columns = [*needed, label, *([weight] if weight else [])]
-    complete = _with_factors(df.select(*columns).dropna(subset=list(columns)), factors)
+    complete = df.select(*columns).dropna(subset=list(columns))
+    if merge:
+        size = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
+        weight = weight or "__rows"
+        complete = stage(complete.groupBy(*needed, label).agg(size.alias(weight)), "merged-rows")
+    complete = _with_factors(complete, factors)
     right = " + ".join([*terms, *[f"factor_{c}" for c in factors], *interactions])
     formula = RFormula(formula=f"{label} ~ {right}", featuresCol="features", labelCol="label")
     features = formula.fit(complete)

@@ -132,7 +132,7 @@ def hazard_score_equations(spark: SparkSession, sf: str) -> DataFrame:
     Maximum likelihood makes them equal to the observed numbers, which SQL can count.
     """
     _, _, rows = _risk_rows(spark, sf)
-    model = weights.censor_model(rows, weights.NUMERATOR_TERMS)
+    model = weights.censor_model(rows, weights.NUMERATOR_TERMS, merge=True)
     scored = weights.predict_hazard(rows, model, "p_num")
     sums = (
         scored.groupBy("hour_index", "strategy").agg(F.sum("p_num").alias("expected"))

@@ -242,7 +242,8 @@ class Study:
         """Model-based weights; ``frame`` should be a stage, it is read once per iteration."""
         p = self.params
         den = weights.censor_model(frame, p.denominator_terms, reg_param=p.reg_param)
-        num = weights.censor_model(frame, p.numerator_terms, reg_param=p.reg_param)
+        discrete = set(p.numerator_terms) <= {"strategy"}
+        num = weights.censor_model(frame, p.numerator_terms, reg_param=p.reg_param, merge=discrete)
         scored = weights.predict_hazard(weights.predict_hazard(frame, den, "p_denom"), num, "p_num")
         raw = stage(weights.stabilized_weights(scored, "p_num", "p_denom", p.weight_mode), "ipcw")
         return weights.truncate_weights(raw)
