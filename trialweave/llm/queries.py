@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import language, licences, pieces, quality_trees
+from trialweave.llm import language, licences, pieces, quality_trees, window_dedup
 
 #: The place of the piece model: a function of the tokenizer files' folder.
 MODEL = "piece_bpe_32k.model"
@@ -33,6 +33,12 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(docs, licences.fit(docs))
 
 
+def op7_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = window_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("intervals", F.lit(0).cast("bigint"), lambda total, x: total + x["end"] - x["begin"])
+    return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality_trees.Trees:
     known = table(spark, sf_dir, "labels").where(~held_out())
     return quality_trees.fit(table(spark, sf_dir, "documents"), known)
@@ -54,6 +60,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_licence_scan, op8_quality_trees, op9_piece_codec, op10_language_id)
+    f.__name__: f for f in (op3_licence_scan, op7_window_dedup, op8_quality_trees, op9_piece_codec, op10_language_id)
 }
 SQL: dict[str, str] = {}
