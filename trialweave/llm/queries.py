@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import language, licences, pieces, quality_trees, signature_trees, window_dedup
+from trialweave.llm import language, licences, pieces, projection_passes, quality_trees, signature_trees, window_dedup
 
 #: The place of the piece model: a function of the tokenizer files' folder.
 MODEL = "piece_bpe_32k.model"
@@ -33,6 +33,10 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(docs, licences.fit(docs))
 
 
+def op5_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_passes.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op6_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = signature_trees.link_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
     return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
@@ -65,6 +69,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_licence_scan, op6_signature_trees, op7_window_dedup, op8_quality_trees, op9_piece_codec, op10_language_id)
+    f.__name__: f for f in (op3_licence_scan, op5_projection_passes, op6_signature_trees, op7_window_dedup, op8_quality_trees, op9_piece_codec, op10_language_id)
 }
 SQL: dict[str, str] = {}
