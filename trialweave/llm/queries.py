@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import language, licences, pieces, projection_passes, quality_trees, signature_trees, window_dedup
+from trialweave.llm import language, licences, line_chunks, pieces, projection_passes, quality_trees, signature_trees, window_dedup
 
 #: The place of the piece model: a function of the tokenizer files' folder.
 MODEL = "piece_bpe_32k.model"
@@ -33,6 +33,12 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(docs, licences.fit(docs))
 
 
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_chunks.remove_repeats(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return rows.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_removed").cast("bigint").alias("n_removed"), kept.alias("kept_sha256"))
+
+
 def op5_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_passes.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -69,6 +75,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_licence_scan, op5_projection_passes, op6_signature_trees, op7_window_dedup, op8_quality_trees, op9_piece_codec, op10_language_id)
+    f.__name__: f for f in (op3_licence_scan, op4_line_chunks, op5_projection_passes, op6_signature_trees, op7_window_dedup, op8_quality_trees, op9_piece_codec, op10_language_id)
+}
+SQL: dict[str, str] = {
+    "op4_line_chunks": """
+WITH lines AS (
+  SELECT doc_id, i, line, count(*) OVER (PARTITION BY doc_id) AS n_lines,
+         ('0x' || substr(md5(line), 1, 8))::BIGINT AS h
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS i
+        FROM documents WHERE text IS NOT NULL)
+), marked AS (
+  SELECT *, lag(h) OVER (PARTITION BY doc_id ORDER BY i) * 31 + h AS rolling FROM lines
+), numbered AS (
+  SELECT *, coalesce(sum(CASE WHEN i >= 2 AND rolling % 2 = 0 THEN 1 ELSE 0 END)
+         OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS idx
+  FROM marked
+), parts AS (
+  SELECT doc_id, idx, n_lines, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body
+  FROM numbered GROUP BY doc_id, idx, n_lines
+), ranked AS (
+  SELECT *, n > 1 AND row_number() OVER (PARTITION BY body, n > 1 ORDER BY doc_id, idx) > 1 AS gone FROM parts
+), kept AS (
+  SELECT doc_id, any_value(n_lines) AS n_lines, coalesce(sum(n) FILTER (gone), 0) AS n_removed,
+         coalesce(string_agg(body, chr(10) ORDER BY idx) FILTER (NOT gone), '') AS body
+  FROM ranked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.body, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
 }
-SQL: dict[str, str] = {}

@@ -23,19 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm.components import connected_components
+from trialweave.llm.filters import may_match, shown_key, whole_key
 from trialweave.llm.words import LOWER, SPACE, Hasher, mix, runs, shingles, text_slices
 from trialweave.sources.stages import stage
 
 LEAF = 256
 #: Signature bits of a document, as 64-bit words.
 SIGNATURE_WORDS = 16
-#: Buckets of the id filter, a table of 64-bit words that is broadcast.
-FILTER_WORDS = 1 << 16
-_NULL_KEY = -(1 << 63)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, hasher: Hasher) -> Iterator[np.ndarray]:
@@ -105,17 +103,10 @@ def _prefix(reps: DataFrame, percent: int, counted: int) -> DataFrame:
 def _candidate_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """``(comp, k, n, set, sig)`` of the documents in ``members``, read from their texts.
 
-    A bit table of the wanted ids, of at most ``FILTER_WORDS`` rows, is broadcast, so that
-    few other texts are shuffled to the join.
+    Few other texts are shuffled to the join, thanks to a bounded filter of the wanted ids.
     """
 
-    def spot(k: Column) -> Column:
-        return F.pmod(F.xxhash64(k), F.lit(FILTER_WORDS * 64))
-
-    bits = members.select(spot(F.col("k")).alias("s")).groupBy(F.shiftright("s", 6).alias("word"))
-    bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
-    docs = docs.withColumn("s", spot(F.col("k"))).withColumn("word", F.shiftright("s", 6))
-    docs = docs.join(F.broadcast(bits), "word").where(F.expr("shiftright(bits, cast(s & 63 as int)) & 1 = 1"))
+    docs = may_match(docs, "k", members, "near").where("near")
     rows = docs.select("k", "t").join(members, "k").select("comp", "k", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +268,7 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, text: str
     """
     counted = int(min(1.0, (100 - percent) / 100 * 4 / 3) * (1 << 63)) * 2
     counted = min(counted, (1 << 63) - 1)
-    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(_NULL_KEY)).alias("k"), F.col(text).alias("t"))
+    rows = docs.select(whole_key(F.col(key)).alias("k"), F.col(text).alias("t"))
     sketches = stage(_sketch(rows, width, percent, counted), "sketches")
     reps = sketches.where("n > 0").groupBy("digest").agg(
         F.min("k").alias("rep"), F.any_value("n").alias("n"), F.any_value("counted").alias("counted"), F.any_value("tokens").alias("tokens")
@@ -301,9 +292,6 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, text: str
     names = names.select("digest", F.coalesce("component", "rep").alias("component"))
     result = sketches.select("k", "n", "digest").join(names, "digest", "left")
 
-    def shown(c: Column) -> Column:
-        return F.when(c != _NULL_KEY, c)
-
     return result.select(
-        shown(F.col("k")).alias(key), F.col("n").alias("n_shingles"), shown(F.coalesce("component", "k")).alias("component")
+        shown_key(F.col("k")).alias(key), F.col("n").alias("n_shingles"), shown_key(F.coalesce("component", "k")).alias("component")
     )
