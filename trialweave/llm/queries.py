@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import language, licences, line_chunks, pieces, projection_passes, quality_trees, signature_trees, window_dedup
+from trialweave.llm import language, licences, line_chunks, mixing, pieces, projection_passes, quality_trees, signature_trees, window_dedup
 
 #: The place of the piece model: a function of the tokenizer files' folder.
 MODEL = "piece_bpe_32k.model"
@@ -28,6 +28,20 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: The mixture: domains by the number of a source, then languages, then sources.
+DOMAIN = F.when(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") % 4 == 0, "books").otherwise("web")
+LEVELS = (
+    mixing.Level("domain", DOMAIN, F.when(F.col("domain") == "web", 3).otherwise(1)),
+    mixing.Level("lang", F.col("lang"), F.when(F.col("lang") == "en", 4).when(F.col("lang").isin("de", "fr"), 2).otherwise(1)),
+    mixing.Level("source", F.col("source"), F.lit(1)),
+)
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents"), LEVELS, share=(6, 10), epochs=4, seed=17)
+    return rows.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "n_taken")
+
+
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return licences.scan(docs, licences.fit(docs))
@@ -75,9 +89,57 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_licence_scan, op4_line_chunks, op5_projection_passes, op6_signature_trees, op7_window_dedup, op8_quality_trees, op9_piece_codec, op10_language_id)
+    f.__name__: f for f in (op1_mixing, op3_licence_scan, op4_line_chunks, op5_projection_passes, op6_signature_trees, op7_window_dedup, op8_quality_trees, op9_piece_codec, op10_language_id)
 }
 SQL: dict[str, str] = {
+    "op1_mixing": r"""
+WITH docs AS (
+  SELECT doc_id, lang, source,
+         CASE WHEN TRY_CAST(regexp_extract(source, '(\d+)$', 1) AS INT) % 4 = 0 THEN 'books' ELSE 'web' END AS domain,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(n)::BIGINT AS supply FROM docs GROUP BY ALL HAVING sum(n) > 0
+), top AS (
+  SELECT domain, 4 * sum(supply) AS cap, CASE WHEN domain = 'web' THEN 3 ELSE 1 END AS w,
+         (SELECT sum(supply) FROM leaves) * 6 // 10 AS budget
+  FROM leaves GROUP BY domain
+), top_share AS (
+  SELECT *, max(s) OVER () AS share FROM (
+    SELECT *, (budget - coalesce(sum(cap) OVER before, 0))::DOUBLE
+              / (sum(w) OVER () - coalesce(sum(w) OVER before, 0))::DOUBLE AS s FROM top
+    WINDOW before AS (ORDER BY cap::DOUBLE / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+), mid AS (
+  SELECT l.domain, l.lang, 4 * sum(l.supply) AS cap,
+         CASE WHEN l.lang = 'en' THEN 4 WHEN l.lang IN ('de', 'fr') THEN 2 ELSE 1 END AS w,
+         any_value(least(t.cap, floor(t.share * t.w)::BIGINT)) AS budget
+  FROM leaves l JOIN top_share t ON l.domain = t.domain GROUP BY l.domain, l.lang
+), mid_share AS (
+  SELECT *, max(s) OVER (PARTITION BY domain) AS share FROM (
+    SELECT *, (budget - coalesce(sum(cap) OVER before, 0))::DOUBLE
+              / (sum(w) OVER (PARTITION BY domain) - coalesce(sum(w) OVER before, 0))::DOUBLE AS s FROM mid
+    WINDOW before AS (PARTITION BY domain ORDER BY cap::DOUBLE / w, lang NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+), low AS (
+  SELECT l.*, 4 * l.supply AS cap, 1 AS w, least(m.cap, floor(m.share * m.w)::BIGINT) AS budget
+  FROM leaves l JOIN mid_share m ON l.domain = m.domain AND l.lang IS NOT DISTINCT FROM m.lang
+), low_share AS (
+  SELECT *, max(s) OVER (PARTITION BY domain, lang) AS share FROM (
+    SELECT *, (budget - coalesce(sum(cap) OVER before, 0))::DOUBLE
+              / (sum(w) OVER (PARTITION BY domain, lang) - coalesce(sum(w) OVER before, 0))::DOUBLE AS s FROM low
+    WINDOW before AS (PARTITION BY domain, lang ORDER BY cap::DOUBLE / w, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+), plan AS (
+  SELECT domain, lang, source, supply, least(cap, floor(share * w)::BIGINT)::BIGINT AS granted FROM low_share
+), chosen AS (
+  SELECT d.*, p.granted // p.supply AS whole, p.granted % p.supply AS rest,
+         sum(d.n) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5(concat_ws('|', '17', p.granted // p.supply, d.doc_id))
+                        ROWS UNBOUNDED PRECEDING) - d.n AS before
+  FROM docs d JOIN plan p ON d.domain = p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, domain, lang, source, epoch::BIGINT AS epoch, n AS n_tokens,
+       (CASE WHEN epoch < whole THEN n ELSE least(n, rest - before) END)::BIGINT AS n_taken
+FROM chosen, unnest(range(0, whole + 1)) AS e(epoch)
+WHERE epoch < whole OR before < rest
+""",
     "op4_line_chunks": """
 WITH lines AS (
   SELECT doc_id, i, line, count(*) OVER (PARTITION BY doc_id) AS n_lines,
