@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import language, licences, line_chunks, mixing, pieces, projection_passes, quality_trees, signature_trees, window_dedup
+from trialweave.llm import filters, language, licences, line_chunks, mixing, pieces, projection_passes, quality_trees, signature_trees, sketches, window_dedup
 
 #: The place of the piece model: a function of the tokenizer files' folder.
 MODEL = "piece_bpe_32k.model"
@@ -42,6 +42,26 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "n_taken")
 
 
+def op2_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(filters.whole_key(F.col("doc_id")).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    pairs = sketches.with_next(rows, "k", {"own": sketches.sketch(F.col("text"))})
+    n = F.length("text")
+    cut = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next.text", F.lit(1), cut))
+    pairs = pairs.select("k", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "own", F.col("next.own").alias("after"))
+    pairs = pairs.select("k", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", sketches.sketch(F.col("edited")).alias("changed"), "after")
+    return pairs.select(
+        filters.shown_key(F.col("k")).alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        sketches.shown(F.col("own")).alias("fingerprint"),
+        sketches.shown(F.col("changed")).alias("edited_fingerprint"),
+        sketches.resemblance(F.col("own"), F.col("changed")).alias("near_edited"),
+        sketches.resemblance(F.col("own"), F.col("after")).alias("near_next"),
+    )
+
+
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return licences.scan(docs, licences.fit(docs))
@@ -89,7 +109,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_licence_scan, op4_line_chunks, op5_projection_passes, op6_signature_trees, op7_window_dedup, op8_quality_trees, op9_piece_codec, op10_language_id)
+    f.__name__: f for f in (op1_mixing, op2_sketches, op3_licence_scan, op4_line_chunks, op5_projection_passes, op6_signature_trees, op7_window_dedup, op8_quality_trees, op9_piece_codec, op10_language_id)
 }
 SQL: dict[str, str] = {
     "op1_mixing": r"""
