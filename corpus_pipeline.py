@@ -5,20 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trialweave.llm import quality_trees
-from trialweave.llm.queries import quality_model
+from trialweave.llm import line_chunks, mixing, pieces, quality_trees, signature_trees
+from trialweave.llm.queries import LEVELS, model_file, quality_model
 from trialweave.sources.stages import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _like(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with the number of characters of texts that have changed."""
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    return quality_trees.keep(docs, quality_model(spark, sf_dir))
+    return quality_trees.keep(docs, quality_model(spark, sf_dir), threshold=0.7)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the line chunks that an earlier document has; every document stays."""
+    return _like(line_chunks.remove_repeats(docs), docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: shingles of five words, similarity 0.8."""
+    return signature_trees.keep_one(docs, width=5, percent=80)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Four fifths of the tokens, mixed to the target weights, no document more than once."""
+    return _like(mixing.mix(docs, LEVELS, share=(4, 5), epochs=1, seed=17), docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids, their byte spans and the text they decode to, for every document."""
+    return pieces.encode(docs, model_file(), decoded="decoded")
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_trees", quality)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_trees", quality),
+    ("line_chunks", lines),
+    ("signature_trees", near_copies),
+    ("mixing", mixture),
+    ("piece_codec", encoded),
+]
 
 #: The classifier and the piece model have no SQL form.
 ORACLE_SQL: str | None = None

@@ -373,19 +373,28 @@ def _with_model(docs: DataFrame, blob: bytes, rows, fields: list[pa.Field], sche
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text: str = "text", key: str = "doc_id", decoded: str | None = None) -> DataFrame:
     """``(key, ids, begins, ends)``: piece ids and their byte spans in the text.
 
-    A null text has null arrays, an empty one empty arrays.  The file is read on the driver;
-    tasks get its bytes.
+    A null text has null arrays, an empty one empty arrays.  With ``decoded``, a column of that
+    name holds the text that the ids decode to.  The file is read on the driver; tasks get its
+    bytes.
     """
-    fields = [pa.field("ids", pa.list_(pa.int32())), pa.field("begins", pa.list_(pa.int64())), pa.field("ends", pa.list_(pa.int64()))]
+    numbers = pa.list_(pa.int32())
+    fields = [pa.field(c, numbers) for c in ("ids", "begins", "ends")]
+    schema = "ids array<int>, begins array<int>, ends array<int>"
+    if decoded:
+        fields.append(pa.field(decoded, pa.string()))
+        schema += f", `{decoded}` string"
 
     def rows(model: Pieces, texts: list[str | None]):
-        found = model.encode([t or "" for t in texts])
-        return ((None, None, None) if t is None else x for t, x in zip(texts, found, strict=True))
+        for t, found in zip(texts, model.encode([t or "" for t in texts]), strict=True):
+            if t is None:
+                yield (None,) * len(fields)
+            else:
+                yield (*found, model.decode(found[0].tolist())) if decoded else found
 
-    return _with_model(docs, _read(model_file), rows, fields, "ids array<int>, begins array<bigint>, ends array<bigint>", text, key)
+    return _with_model(docs, _read(model_file), rows, fields, schema, text, key)
 
 
 def decode(rows: DataFrame, model_file: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:

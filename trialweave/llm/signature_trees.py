@@ -295,3 +295,12 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, text: str
     return result.select(
         shown_key(F.col("k")).alias(key), F.col("n").alias("n_shingles"), shown_key(F.coalesce("component", "k")).alias("component")
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that have the smallest key of their component, all columns unchanged."""
+    found = link_documents(docs, width, percent, text, key)
+    losers = stage(found.where(F.col(key) != F.col("component")).select(F.col(key).cast("bigint").alias("_k")).distinct(), "losers")
+    keyed = may_match(docs.withColumn("_k", whole_key(F.col(key))), "_k", losers, "_near")
+    kept = keyed.where("_near").join(losers, "_k", "left_anti").unionByName(keyed.where("not _near"))
+    return kept.select(*docs.columns)
