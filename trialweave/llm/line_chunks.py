@@ -76,12 +76,12 @@ def remove_repeats(docs: DataFrame, window: int = 2, divisor: int = 2, text: str
     first = bodies.groupBy("body").agg(F.count("*").alias("n"), F.min(F.struct("k", "idx")).alias("first")).where("n > 1")
     again = bodies.join(first, "body").where(F.struct("k", "idx") != F.col("first"))
     gone = stage(again.groupBy("k", "v").agg(F.collect_set("idx").alias("gone")), "removals")
-    keyed = docs.withColumns({"_k": whole_key(F.col(key)), "_v": F.xxhash64(text)})
-    keyed = may_match(keyed, "_k", gone.withColumnRenamed("k", "_k"), "_near")
-    there = keyed.where("_near").join(gone.select(F.col("k").alias("_k"), F.col("v").alias("_v"), "gone"), ["_k", "_v"], "left")
-    rest = keyed.where("not _near").withColumn("gone", F.lit(None).cast("array<int>"))
-    both = there.select(*docs.columns, "gone").unionAll(rest.select(*docs.columns, "gone"))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), whole_key(F.col(key)).alias("k"), F.xxhash64(text).alias("v"))
+    keyed = may_match(keyed, "k", gone, "near")
+    there = keyed.where("near").join(gone, ["k", "v"], "left").select("row", "gone")
+    both = there.unionAll(keyed.where("not near").select("row", F.lit(None).cast("array<int>").alias("gone")))
+    before = F.col("row")[text]
+    n_lines = F.when(before.isNull(), 0).otherwise(F.size(F.split(before, "\n", -1)))
 
     def shortened(parts: Column) -> Column:
         left = F.filter(parts, lambda c: ~F.array_contains("gone", c["idx"]))
@@ -89,7 +89,8 @@ def remove_repeats(docs: DataFrame, window: int = 2, divisor: int = 2, text: str
         count = F.aggregate(lost, F.lit(0), lambda total, c: total + c["n_lines"])
         return F.struct(F.array_join(F.transform(left, lambda c: c["body"]), "\n").alias("t"), count.alias("n"))
 
-    done = F.when(F.col("gone").isNotNull(), let(chunks(F.col(text), window, divisor), shortened))
-    both = both.withColumn("n_lines", n_lines).withColumn("_done", done)
-    both = both.withColumn("n_removed", F.coalesce("_done.n", F.lit(0))).withColumn(text, F.coalesce("_done.t", text))
-    return both.select(*docs.columns, "n_lines", "n_removed")
+    done = F.when(F.col("gone").isNotNull(), let(chunks(before, window, divisor), shortened))
+    both = both.select("row", n_lines.alias("n_lines"), done.alias("done"))
+    after = {text: F.coalesce("done.t", before)}
+    own = [after.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
+    return both.select(*own, "n_lines", F.coalesce("done.n", F.lit(0)).alias("n_removed"))

@@ -21,6 +21,9 @@ from trialweave.sources.stages import stage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the order key that one step of the prefix search resolves, and its steps.
 _DIGITS, _STEPS = 2, 3
+_RESERVED = frozenset(
+    "row k n o n_tokens n_taken epoch supply granted capacity weight budget used passed all share full rest part prefix left before cut_key cut_tokens _o".split()
+)
 
 
 @dataclass(frozen=True)
@@ -121,24 +124,28 @@ def mix(
     a new column are replaced.
     """
     names = [level.name for level in levels]
+    if taken := {*names} & _RESERVED:
+        raise ValueError(f"levels may not be called {sorted(taken)}")
     new = ["epoch", "n_tokens", "n_taken"]
-    own = [c for c in docs.columns if c not in new and c not in names]
-    rows = docs.select(*own, *(level.value.alias(level.name) for level in levels))
-    tokens = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
-    narrow = stage(rows.select(key, *names, tokens.alias("n_tokens")), "tokens")
+    row = F.struct(*docs.columns).alias("row")
+    rows = docs.select(row, F.col(key).alias("k"), *(level.value.alias(level.name) for level in levels))
+    before = F.col("row")[text]
+    tokens = F.coalesce(F.regexp_count(before, F.lit(WORD)), F.lit(0)).cast("bigint")
+    narrow = stage(rows.select("k", *names, tokens.alias("n_tokens")), "tokens")
     leaves = stage(narrow.groupBy(*names).agg(F.sum("n_tokens").alias("supply")), "leaves")
     total = leaves.agg(F.sum("supply").alias("n")).first().n or 0
     plan = budgets(leaves, levels, total * share[0] // share[1], epochs)
     plan = plan.withColumn("full", F.expr("granted div supply")).withColumn("rest", F.expr("granted % supply"))
     plan = stage(plan.where("granted > 0").select(*names, "full", "rest"), "plan")
     ordered = _beside(narrow, plan.where("rest > 0").select(*names, "full"), names)
-    ordered = stage(ordered.select(*names, _order_key(seed, F.col("full"), key).alias("o"), "n_tokens"), "ordered")
+    ordered = stage(ordered.select(*names, _order_key(seed, F.col("full"), "k").alias("o"), "n_tokens"), "ordered")
     cuts = stage(_cuts(ordered, plan, names), "plan")
-    rows = _beside(rows, cuts, names).withColumn("_o", _order_key(seed, F.col("full"), key))
+    rows = _beside(rows, cuts, names).withColumn("_o", _order_key(seed, F.col("full"), "k"))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full"))))
     rows = rows.where("epoch < full or _o <= cut_key").withColumn("n_tokens", tokens)
     ends = (F.col("epoch") == F.col("full")) & (F.col("_o") == F.col("cut_key"))
     rows = rows.withColumn("n_taken", F.when(ends, F.least("n_tokens", "cut_tokens")).otherwise(F.col("n_tokens")))
-    start = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0), F.lit(1), F.col("n_taken").cast("int")), "")
-    rows = rows.withColumn(text, F.when(F.col("n_taken") < F.col("n_tokens"), start).otherwise(F.col(text)))
+    start = F.array_join(F.slice(F.regexp_extract_all(before, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0), F.lit(1), F.col("n_taken").cast("int")), "")
+    after = {text: F.when(F.col("n_taken") < F.col("n_tokens"), start).otherwise(before)}
+    own = [after.get(c, F.col("row")[c]).alias(c) for c in docs.columns if c not in new and c not in names]
     return rows.select(*own, *names, *new)

@@ -116,12 +116,12 @@ def with_next(rows: DataFrame, key: str, derived: dict[str, Column] | None = Non
     beyond = F.when(number + 1 < len(ends), number + 1).otherwise(0)
     own = F.struct(number.alias("part"), F.lit(False).alias("guest"))
     places = F.when(is_end, F.array(own, F.struct(beyond.alias("part"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-    placed = rows.withColumn("place", F.explode(places)).select(*rows.columns, "place.part", "place.guest")
-    placed = placed.repartition("part").withColumns(derived or {})
-    columns = [c for c in placed.columns if c not in ("part", "guest")]
-    window = Window.partitionBy("part").orderBy("guest", F.col(key).desc(), F.xxhash64(*rows.columns))
+    placed = rows.withColumn("_place", F.explode(places)).select(*rows.columns, F.col("_place.part").alias("_part"), F.col("_place.guest").alias("_guest"))
+    placed = placed.repartition("_part").withColumns(derived or {})
+    columns = [c for c in placed.columns if c not in ("_part", "_guest")]
+    window = Window.partitionBy("_part").orderBy("_guest", F.col(key).desc(), F.xxhash64(*rows.columns))
     placed = placed.withColumn("next", F.lead(F.struct(*columns)).over(window))
-    return placed.where("not guest").select(*columns, "next")
+    return placed.where("not _guest").select(*columns, "next")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K) -> DataFrame:
