@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.llm import line_chunks, mixing, pieces, quality_trees, signature_trees
-from trialweave.llm.queries import LEVELS, model_file, quality_model
+from trialweave.llm.queries import levels, model_file, quality_model
 from trialweave.sources.stages import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -38,7 +38,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Four fifths of the tokens, mixed to the target weights, no document more than once."""
-    return _like(mixing.mix(docs, LEVELS, share=(4, 5), epochs=1, seed=17), docs)
+    return _like(mixing.mix(docs, levels(), share=(4, 5), epochs=1, seed=17), docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,17 +28,19 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-#: The mixture: domains by the number of a source, then languages, then sources.
-DOMAIN = F.when(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") % 4 == 0, "books").otherwise("web")
-LEVELS = (
-    mixing.Level("domain", DOMAIN, F.when(F.col("domain") == "web", 3).otherwise(1)),
-    mixing.Level("lang", F.col("lang"), F.when(F.col("lang") == "en", 4).when(F.col("lang").isin("de", "fr"), 2).otherwise(1)),
-    mixing.Level("source", F.col("source"), F.lit(1)),
-)
+def levels() -> tuple[mixing.Level, ...]:
+    """The mixture: domains by the number of a source, then languages, then sources."""
+    number = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
+    lang = F.col("lang")
+    return (
+        mixing.Level("domain", F.when(number % 4 == 0, "books").otherwise("web"), F.when(F.col("domain") == "web", 3).otherwise(1)),
+        mixing.Level("lang", lang, F.when(lang == "en", 4).when(lang.isin("de", "fr"), 2).otherwise(1)),
+        mixing.Level("source", F.col("source"), F.lit(1)),
+    )
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mix(table(spark, sf_dir, "documents"), LEVELS, share=(6, 10), epochs=4, seed=17)
+    rows = mixing.mix(table(spark, sf_dir, "documents"), levels(), share=(6, 10), epochs=4, seed=17)
     return rows.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "n_taken")
 
 
