@@ -300,7 +300,7 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, text: str
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that have the smallest key of their component, all columns unchanged."""
     found = link_documents(docs, width, percent, text, key)
-    losers = stage(found.where(F.col(key) != F.col("component")).select(F.col(key).cast("bigint").alias("k")).distinct(), "losers")
+    losers = stage(found.where(~F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).cast("bigint").alias("k")).distinct(), "losers")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), whole_key(F.col(key)).alias("k"))
     keyed = may_match(keyed, "k", losers, "near")
     kept = keyed.where("near").join(losers, "k", "left_anti").select("row").unionAll(keyed.where("not near").select("row"))
