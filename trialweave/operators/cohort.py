@@ -164,11 +164,11 @@ def attrition(core: DataFrame, screened: DataFrame, drug_flag: str = "drug_overl
     one over the screened units, both with map-side counts.
     """
     def count(condition: Column) -> Column:
-        return F.coalesce(F.sum(flag(condition)), F.lit(0)).cast("int")
+        return F.coalesce(F.sum(flag(condition)), F.lit(0))
 
-    sizes = core.agg(F.count("*").cast("int").alias("n101")).unionByName(
+    sizes = core.agg(F.count("*").alias("n101")).unionByName(
         screened.agg(
-            F.count("*").cast("int").alias("n201"),
+            F.count("*").alias("n201"),
             count(passes(drug_flag)).alias("n301"),
             count(F.col("infected_by_t0") == 0).alias("late"),
             count(F.col(drug_flag) == 0).alias("untreated"),

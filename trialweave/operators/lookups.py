@@ -224,8 +224,11 @@ def valid_at(intervals, key, start, end, cols, not_null=None, tiebreak=()) -> Lo
 
 
 def _joined(units: DataFrame, unit: str, at: str, lookup: Lookup, salts: int) -> DataFrame:
-    """Event rows of one lookup next to the unit they belong to and its reference time."""
-    facts = lookup.events
+    """Event rows of one lookup next to the unit they belong to and its reference time.
+
+    A row without a time, or an interval without a start, belongs to no window.
+    """
+    facts = lookup.events.filter(F.col(lookup.time or lookup.span[0]).isNotNull())
     if lookup.where is not None:
         facts = facts.filter(lookup.where)
     facts = facts.select(*lookup.columns())
@@ -238,14 +241,16 @@ def _joined(units: DataFrame, unit: str, at: str, lookup: Lookup, salts: int) ->
 def _reduce(base: DataFrame, keys: Sequence[str], parts: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
     """Stack the base rows and all value rows and aggregate once by ``keys``.
 
-    ``base`` has the keys and one struct ``__row``; it decides which keys exist.
+    ``base`` has the keys and one struct ``__row``; it decides which keys exist.  A key that
+    it holds twice is an error.
     """
     stacked = base
     for rows, _, _ in parts:
         stacked = stacked.unionByName(rows, allowMissingColumns=True)
     merge = {"max": F.max, "min": F.min, "sum": F.sum}
+    repeated = F.count("__row") > 1
     return stacked.groupBy(*keys).agg(
-        F.any_value("__row", True).alias("__row"),
+        F.when(repeated, F.raise_error(F.lit("a unit occurs more than once"))).otherwise(F.any_value("__row", True)).alias("__row"),
         *[merge[how](name).alias(name) for _, name, how in parts],
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from trialweave.functions.exprs import clamp
@@ -35,6 +37,9 @@ class HazardModel:
     regression: object
     needed: tuple[str, ...]
     factors: tuple[str, ...]
+    # Levels that the fit has seen, of factors and of text terms.
+    levels: Mapping[str, tuple]
+    converged: bool = True
 
 
 def _with_factors(df: DataFrame, factors: Sequence[str]) -> DataFrame:
@@ -70,6 +75,8 @@ def censor_model(
         complete = stage(complete.groupBy(*needed, label).agg(size.alias(weight)), "merged-rows")
     complete = _with_factors(complete, factors)
     right = " + ".join([*terms, *[f"factor_{c}" for c in factors], *interactions])
+    texts = [c for c in needed if c in factors or isinstance(df.schema[c].dataType, StringType)]
+    seen = complete.agg(*[F.collect_set(c).alias(c) for c in texts]).first().asDict() if texts else {}
     formula = RFormula(formula=f"{label} ~ {right}", featuresCol="features", labelCol="label")
     features = formula.fit(complete)
     kept = ["features", "label", *([weight] if weight else [])]
@@ -90,19 +97,31 @@ def censor_model(
         fitted = glm.fit(rows)
     finally:
         cached.unpersist()
-    return HazardModel(features, fitted, needed, tuple(factors))
+    converged = fitted.summary.numIterations < max_iter
+    if not converged:
+        warnings.warn(f"the fit of {label} stopped after {max_iter} iterations without converging", stacklevel=2)
+    return HazardModel(features, fitted, needed, tuple(factors), {c: tuple(v) for c, v in seen.items()}, converged)
 
 
 def predict_hazard(df: DataFrame, model: HazardModel, name: str) -> DataFrame:
-    """Add the predicted probability; rows with a missing term stay, with a NULL prediction."""
-    known = F.lit(True)
+    """Add the predicted probability, in one pass.
+
+    Rows with a missing term, or a level that the fit has not seen, have a NULL prediction.
+    """
+    known, filled = F.lit(True), {}
     for c in model.needed:
-        known = known & F.col(c).isNotNull()
-    complete = _with_factors(df.filter(known), model.factors)
-    scored = model.regression.transform(model.features.transform(complete))
-    predicted = scored.select(*df.columns, F.col("prediction").alias(name))
-    unknown = df.filter(~known).withColumn(name, F.lit(None).cast("double"))
-    return predicted.unionByName(unknown)
+        ok = F.col(c).isNotNull()
+        if c in model.levels:
+            ok = ok & F.col(c).isin(*model.levels[c])
+            stand_in = F.lit(model.levels[c][0] if model.levels[c] else None)
+        else:
+            stand_in = F.lit(0)
+        known = known & F.coalesce(ok, F.lit(False))
+        filled[c] = F.when(ok, F.col(c)).otherwise(stand_in.cast(df.schema[c].dataType))
+    rows = df.select(F.struct(*df.columns).alias("__row"), known.alias("__known"), *[v.alias(c) for c, v in filled.items()])
+    scored = model.regression.transform(model.features.transform(_with_factors(rows, model.factors)))
+    prediction = F.when(F.col("__known"), F.col("prediction"))
+    return scored.select("__row.*", prediction.alias(name))
 
 
 def cell_hazards(

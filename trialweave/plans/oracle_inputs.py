@@ -47,12 +47,12 @@ SELECT o_custkey AS subject_id,
 FROM orders""")
 
 cte("stg", """
-SELECT stay_id, ts AS charttime, event_id, CAST(1 + event_id % 3 AS INTEGER) AS aki_stage,
+SELECT stay_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, event_id, CAST(1 + event_id % 3 AS INTEGER) AS aki_stage,
        CAST(1 + (event_id // 3) % 3 AS INTEGER) AS aki_stage_creat
 FROM ev WHERE event_type = 'error'""")
 
 cte("drug", """
-SELECT stay_id, ts AS starttime, event_id,
+SELECT stay_id, CASE WHEN event_id % 41 <> 0 THEN ts END AS starttime, event_id,
        CASE WHEN event_id % 10 <> 0 THEN ts + to_seconds(CAST(round(value * 600) AS BIGINT)) END AS endtime,
        CASE WHEN event_id % 4 <> 0 THEN value / 100 END AS dose,
        CASE WHEN event_id % 8 = 4 THEN value / 50 END AS vasopressin
@@ -61,33 +61,33 @@ FROM ev WHERE event_type = 'click'""")
 cte("drug_on", "SELECT * FROM drug WHERE coalesce(dose, 0) > 0 OR coalesce(vasopressin, 0) > 0")
 
 cte("vent", """
-SELECT stay_id, ts AS starttime, ts + to_seconds(CAST(round(value * 300) AS BIGINT)) AS endtime
+SELECT stay_id, CASE WHEN event_id % 41 <> 0 THEN ts END AS starttime, ts + to_seconds(CAST(round(value * 300) AS BIGINT)) AS endtime
 FROM ev WHERE event_type = 'view' AND event_id % 2 = 0""")
 
 cte("rrt", """
-SELECT stay_id, ts AS charttime, CASE WHEN event_id % 10 = 0 THEN 1 END AS dialysis_present,
+SELECT stay_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, CASE WHEN event_id % 10 = 0 THEN 1 END AS dialysis_present,
        CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS dialysis_active
 FROM ev WHERE event_type = 'purchase'""")
 
 cte("crrt", """
-SELECT stay_id, ts AS charttime, event_id, event_id % 2 AS system_active,
+SELECT stay_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, event_id, event_id % 2 AS system_active,
        CASE WHEN event_id % 3 = 0 THEN 'CVVH' END AS crrt_mode
 FROM ev WHERE event_type = 'purchase'""")
 
 cte("vital", """
-SELECT stay_id, ts AS charttime, event_id, 60 + value / 10 AS hr, 100 + value / 5 AS sbp, 50 + value / 8 AS dbp,
+SELECT stay_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, event_id, 60 + value / 10 AS hr, 100 + value / 5 AS sbp, 50 + value / 8 AS dbp,
        CASE WHEN event_id % 5 <> 0 THEN 40 + value END AS mbp, 10 + value / 20 AS rr,
        CASE WHEN event_id % 3 <> 0 THEN 90 + value / 100 END AS spo2, 36 + value / 200 AS temp_c
 FROM ev WHERE event_type = 'click'""")
 
 cte("lab", """
-SELECT stay_id AS hadm_id, ts AS charttime, event_id, 130 + value / 50 AS na, 95 + value / 40 AS cl,
+SELECT stay_id AS hadm_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, event_id, 130 + value / 50 AS na, 95 + value / 40 AS cl,
        3 + value / 100 AS k, CASE WHEN event_id % 7 <> 0 THEN 20 + value / 20 END AS hco3, 1 + value / 50 AS scr,
        10 + value / 4 AS bun, 7 + value / 1000 AS ph, CASE WHEN event_id % 6 <> 0 THEN value / 10 END AS lactate,
        40 + value AS pao2, CASE WHEN event_id % 9 <> 0 THEN CAST(event_id % 8 AS DOUBLE) / 10 END AS fio2
 FROM ev WHERE event_type IN ('view', 'error')""")
 
-cte("urine", "SELECT stay_id, ts AS charttime, 10 * value AS urineoutput FROM ev WHERE event_type IN ('purchase', 'signup')")
+cte("urine", "SELECT stay_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, 10 * value AS urineoutput FROM ev WHERE event_type IN ('purchase', 'signup')")
 
 # --- cohort stages --------------------------------------------------------------------------
 
@@ -102,7 +102,7 @@ WHERE f.rn = 1 AND f.age >= 18 AND f.los_icu >= 1.0 AND s.sepsis3 IS TRUE
   AND f.subject_id NOT IN (SELECT subject_id FROM icd
       WHERE (icd_version = 10 AND icd_code = '1-URGENT/0') OR (icd_version = 9 AND icd_code IN ('2-HIGH/1', '5-LOW/2')))""")
 
-cte("first3", "SELECT stay_id, min(charttime) AS kdigo3_time FROM stg WHERE aki_stage = 3 GROUP BY stay_id")
+cte("first3", "SELECT stay_id, min(charttime) AS kdigo3_time FROM stg WHERE aki_stage = 3 AND charttime IS NOT NULL GROUP BY stay_id")
 
 cte("t_zero", """
 SELECT c.*, k.kdigo3_time, greatest(c.intime, k.kdigo3_time - INTERVAL 6 HOUR) AS t0_time
@@ -172,12 +172,12 @@ JOIN wt_t0 w ON w.stay_id = c.stay_id JOIN vital_t0 v ON v.stay_id = c.stay_id
 JOIN lab_t0 l ON l.stay_id = c.stay_id JOIN dose_t0 d ON d.stay_id = c.stay_id
 JOIN flags_t0 f ON f.stay_id = c.stay_id
 LEFT JOIN LATERAL (SELECT value / 10 AS wbc, 8 + value / 50 AS hb, 100 + value AS plt FROM ev
-  WHERE ev.stay_id = c.stay_id AND event_type IN ('signup', 'error') AND ts > c.t0_time - INTERVAL 6 HOUR
+  WHERE ev.stay_id = c.stay_id AND event_type IN ('signup', 'error') AND event_id % 37 <> 0 AND ts > c.t0_time - INTERVAL 6 HOUR
     AND ts <= c.t0_time ORDER BY ts DESC, event_id DESC LIMIT 1) b ON true
 LEFT JOIN LATERAL (SELECT value AS ast, value / 2 AS alt FROM ev WHERE ev.stay_id = c.stay_id AND event_type = 'signup'
-    AND ts > c.t0_time - INTERVAL 6 HOUR AND ts <= c.t0_time ORDER BY ts DESC, event_id DESC LIMIT 1) e ON true
+    AND event_id % 37 <> 0 AND ts > c.t0_time - INTERVAL 6 HOUR AND ts <= c.t0_time ORDER BY ts DESC, event_id DESC LIMIT 1) e ON true
 LEFT JOIN LATERAL (SELECT 1 + value / 100 AS inr FROM ev WHERE ev.stay_id = c.stay_id AND event_type = 'purchase'
-    AND ts > c.t0_time - INTERVAL 6 HOUR AND ts <= c.t0_time ORDER BY ts DESC, event_id DESC LIMIT 1) g ON true
+    AND event_id % 37 <> 0 AND ts > c.t0_time - INTERVAL 6 HOUR AND ts <= c.t0_time ORDER BY ts DESC, event_id DESC LIMIT 1) g ON true
 LEFT JOIN LATERAL (SELECT CAST(event_id % 20 AS INTEGER) AS sofa_baseline FROM ev WHERE ev.stay_id = c.stay_id
     AND event_type = 'error' AND event_id % 9 <> 0 AND ts > c.t0_time - INTERVAL 6 HOUR AND ts <= c.t0_time
   ORDER BY ts DESC, event_id DESC LIMIT 1) s ON true""")
@@ -271,6 +271,16 @@ cte("clone_bare", _clones(_BARE.format(24), 24))
 cte("clone_bare_12", _clones(_BARE.format(12), 12))
 cte("clone_full", _clones("SELECT * FROM panel_24", 24))
 
+# Only the two flags that the saturated weight models read.
+cte("panel_flags", """
+SELECT h.*, t.crrt_start_time,
+  CASE WHEN EXISTS (SELECT 1 FROM drug_on d WHERE d.stay_id = h.stay_id AND d.starttime < h.t_end
+    AND coalesce(d.endtime, h.t_end) > h.t_end - INTERVAL 1 HOUR) THEN 1 ELSE 0 END AS vaso_flag_last1h,
+  CASE WHEN EXISTS (SELECT 1 FROM vent d WHERE d.stay_id = h.stay_id AND d.starttime < h.t_end
+    AND coalesce(d.endtime, h.t_end) > h.t_end - INTERVAL 1 HOUR) THEN 1 ELSE 0 END AS mv_flag_last1h
+FROM grid_24 h LEFT JOIN treat t ON t.stay_id = h.stay_id""")
+cte("clone_flags", _clones("SELECT * FROM panel_flags", 24))
+
 cte("outc", """
 SELECT q.*, CAST(dies > t0_time AND dies <= t0_time + INTERVAL 7 DAY AS INTEGER) AS death_7d,
   CAST(dies > t0_time + INTERVAL 7 DAY AS INTEGER) AS alive_7d,
@@ -287,7 +297,7 @@ FROM (
 
 # --- saturated weights and survival ---------------------------------------------------------
 
-cte("risk_rows", "SELECT * FROM clone_full WHERE total_censor_time IS NULL OR total_censor_time > t_start")
+cte("risk_rows", "SELECT * FROM clone_flags WHERE total_censor_time IS NULL OR total_censor_time > t_start")
 
 cte("hazards", """
 SELECT r.*, avg(censor_k_total) OVER (PARTITION BY strategy, hour_index) AS p_num,

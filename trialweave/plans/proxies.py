@@ -101,8 +101,11 @@ def tables(spark: SparkSession, sf_dir: str) -> Inputs:
     ev = events(spark, sf_dir)
     customer = load(spark, sf_dir, "customer")
     i, v, ts = F.col("event_id"), F.col("value"), F.col("ts")
-    point = [F.col("stay_id"), ts.alias("charttime"), i]
-    episode = [F.col("stay_id").alias("hadm_id"), ts.alias("charttime"), i]
+    # some times are unknown
+    charted = F.when(i % 37 != 0, ts).alias("charttime")
+    started = F.when(i % 41 != 0, ts).alias("starttime")
+    point = [F.col("stay_id"), charted, i]
+    episode = [F.col("stay_id").alias("hadm_id"), charted, i]
     rate = F.when(i % 4 != 0, v / 100)
     drug_end = F.when(i % 10 != 0, ts + _seconds(F.round(v * 600)))
     return Inputs({
@@ -129,7 +132,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Inputs:
             (1 + floor_div(i, 3) % 3).cast("int").alias("aki_stage_creat"),
         ),
         "vasoactive_agent": lambda: _of(ev, "click").select(
-            "stay_id", ts.alias("starttime"), drug_end.alias("endtime"), i,
+            "stay_id", started, drug_end.alias("endtime"), i,
             rate.alias("norepinephrine"),
             F.when(i % 8 == 0, F.lit(0.0)).alias("epinephrine"),
             F.lit(None).cast("double").alias("phenylephrine"),
@@ -137,10 +140,10 @@ def tables(spark: SparkSession, sf_dir: str) -> Inputs:
             F.lit(None).cast("double").alias("dopamine"),
         ),
         "norepinephrine_equivalent_dose": lambda: _of(ev, "click").select(
-            "stay_id", ts.alias("starttime"), drug_end.alias("endtime"), i, rate.alias("norepinephrine_equivalent_dose")
+            "stay_id", started, drug_end.alias("endtime"), i, rate.alias("norepinephrine_equivalent_dose")
         ),
         "ventilation": lambda: _of(ev, "view").filter(i % 2 == 0).select(
-            "stay_id", ts.alias("starttime"), (ts + _seconds(F.round(v * 300))).alias("endtime"), i
+            "stay_id", started, (ts + _seconds(F.round(v * 300))).alias("endtime"), i
         ),
         "rrt": lambda: _of(ev, "purchase").select(
             *point,

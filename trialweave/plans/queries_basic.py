@@ -487,8 +487,9 @@ def unpivot_long(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("pivot_wide", oracle("""SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS "F",
-    sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS "O" FROM orders GROUP BY o_custkey""", num=['"F"', '"O"'], plain=["o_custkey"]))
+    sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS "O",
+    sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS "P" FROM orders GROUP BY o_custkey""", num=['"F"', '"O"', '"P"'], plain=["o_custkey"]))
 def pivot_wide(spark: SparkSession, sf: str) -> DataFrame:
     """Long to wide with declared levels, so that no extra job looks for them."""
-    wide = load(spark, sf, "orders").groupBy("o_custkey").pivot("o_orderstatus", ["F", "O"]).agg(F.sum("o_totalprice"))
-    return wide.select("F", "O", "o_custkey")
+    wide = load(spark, sf, "orders").groupBy("o_custkey").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.sum("o_totalprice"))
+    return wide.select("F", "O", "P", "o_custkey")

@@ -223,16 +223,17 @@ def km_interval(spark: SparkSession, sf: str) -> DataFrame:
     return _curve(spark, sf).select("time", "lower", "upper", "strategy")
 
 
-@query("km_unweighted_stages", oracle("""SELECT lactate_2grp, time, product(1 - d / n) OVER (PARTITION BY lactate_2grp ORDER BY time ROWS UNBOUNDED PRECEDING) AS surv
-    FROM (SELECT *, sum(m) OVER (PARTITION BY lactate_2grp ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS n FROM (
-      SELECT f.lactate_2grp, s.time, count(*) AS m, sum(s.event) AS d FROM surv_rows s JOIN sub_flags f ON f.stay_id = s.stay_id
-      WHERE s.strategy = 'A' GROUP BY ALL) a) b""", num=["time", "surv"], plain=["lactate_2grp"]))
+@query("km_unweighted_stages", oracle("""SELECT strategy, lactate_2grp, time, product(1 - d / n) OVER (PARTITION BY strategy, lactate_2grp ORDER BY time ROWS UNBOUNDED PRECEDING) AS surv
+    FROM (SELECT *, sum(m) OVER (PARTITION BY strategy, lactate_2grp ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS n FROM (
+      SELECT s.strategy, f.lactate_2grp, s.time, count(*) AS m, sum(s.event) AS d FROM surv_rows s JOIN sub_flags f ON f.stay_id = s.stay_id
+      GROUP BY ALL) a) b""", num=["time", "surv"], plain=["strategy", "lactate_2grp"]))
 def km_unweighted_stages(spark: SparkSession, sf: str) -> DataFrame:
-    """Unweighted curves by a subgroup."""
+    """Unweighted curves by arm and subgroup."""
     s, cohort, rows = _survival(spark, sf)
     flags = s.subgroups(stage(s.baseline(cohort), "baseline"), creat_stage="aki_stage_creat")
-    one = left_join(rows.filter(F.col("strategy") == "A"), flags, "stay_id", ["lactate_2grp"])
-    return survival.weighted_km(stage(one, "by-level"), by=["lactate_2grp"]).select("time", "surv", "lactate_2grp")
+    both = left_join(rows, flags, "stay_id", ["lactate_2grp"])
+    curves = survival.weighted_km(stage(both, "by-level"), by=["strategy", "lactate_2grp"])
+    return curves.select("time", "surv", "strategy", "lactate_2grp")
 
 
 @query("km_grid", oracle("SELECT strategy, time, surv, 1 - surv AS risk FROM km_grid", num=["time", "surv", "risk"], plain=["strategy"]))
@@ -302,8 +303,8 @@ def rmst_report(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Cox -------------------------------------------------------------------------------------
 
-def _newton(rows: str, group: str, steps: int = 9) -> str:
-    """Unrolled Newton iterations of the weighted Efron partial likelihood, treated arm B."""
+def _newton(rows: str, group: str, steps: int = 12) -> str:
+    """Newton iterations of the weighted Efron partial likelihood, treated arm B, folded over lists."""
     prefix = f"cx_{group}"
     cte(f"{prefix}_t", f"""
 SELECT grp, time, d1, d0, k, sum(w1) OVER down AS r1, sum(w0) OVER down AS r0 FROM (
@@ -311,26 +312,37 @@ SELECT grp, time, d1, d0, k, sum(w1) OVER down AS r1, sum(w0) OVER down AS r0 FR
     sum(CASE WHEN strategy = 'B' THEN w * event ELSE 0 END) AS d1, sum(CASE WHEN strategy = 'A' THEN w * event ELSE 0 END) AS d0, sum(event) AS k
   FROM ({rows}) r WHERE w IS NOT NULL GROUP BY grp, time) q
 WINDOW down AS (PARTITION BY grp ORDER BY time DESC ROWS UNBOUNDED PRECEDING)""")
-    cte(f"{prefix}_l", f"""
-SELECT t.*, l / CAST(k AS DOUBLE) AS share FROM {prefix}_t t, LATERAL (SELECT unnest(range(CAST(k AS BIGINT))) AS l) z WHERE k > 0""")
-    cte(f"{prefix}_b0", f"SELECT DISTINCT grp, 0.0::DOUBLE AS b FROM {prefix}_l")
-    for i in range(steps):
-        cte(f"{prefix}_s{i}", f"""
-SELECT grp, any_value(b) AS b, sum(d1 / k - (d0 + d1) / k * m) AS score, sum((d0 + d1) / k * m * (1 - m)) AS info FROM (
-  SELECT x.*, b.b, exp(b.b) * (r1 - share * d1) / (exp(b.b) * (r1 - share * d1) + r0 - share * d0) AS m
-  FROM {prefix}_l x JOIN {prefix}_b{i} b ON b.grp = x.grp) q GROUP BY grp""")
-        cte(f"{prefix}_b{i + 1}", f"SELECT grp, b + score / info AS b FROM {prefix}_s{i} WHERE info > 0")
-    return f"SELECT s.grp, s.b AS log_hr, exp(s.b) AS hr, 1 / sqrt(s.info) AS se FROM {prefix}_s{steps - 1} s"
+    # per event: the mean deaths in both arms, those in arm B, and what is left of both risk sets
+    cte(f"{prefix}_x", f"""
+SELECT grp, list(struct_pack(d := (d0 + d1) / k, e := d1 / k, t := r1 - l / CAST(k AS DOUBLE) * d1, c := r0 - l / CAST(k AS DOUBLE) * d0)) AS xs
+FROM (SELECT *, unnest(range(CAST(k AS BIGINT))) AS l FROM {prefix}_t WHERE k > 0) z GROUP BY grp
+HAVING max(r1) > 0 AND max(r0) > 0""")
+    m = "(exp(b) * x.t / (exp(b) * x.t + x.c))"
+    score = f"list_sum(list_transform(xs, lambda x: x.e - x.d * {m}))"
+    info = f"list_sum(list_transform(xs, lambda x: x.d * {m} * (1 - {m})))"
+    cte(f"{prefix}_b", f"""
+SELECT grp, xs, list_reduce([0.0::DOUBLE] || CAST(range({steps}) AS DOUBLE[]), lambda b, i: b + {score} / {info}) AS b FROM {prefix}_x""")
+    return f"SELECT grp, b AS log_hr, exp(b) AS hr, 1 / sqrt({info}) AS se FROM {prefix}_b"
 
 
 _COX = _newton("SELECT *, 'all' AS everyone FROM surv_rows", "everyone")
 
 
-@query("cox_weighted", oracle(_COX, num=["log_hr", "hr", "se"]))
+def _normal_tail(z: str) -> str:
+    """Two-sided p-value in SQL: Simpson's rule over the density."""
+    weight = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(1 - sqrt(2 / pi()) * {z} / 6000 * list_sum(list_transform(range(2001), lambda i: ({weight}) * exp(-power({z} * i / 2000, 2) / 2))))"
+
+
+@query("cox_weighted", oracle(f"""SELECT *, log_hr / se AS z, {_normal_tail("abs(log_hr / se)")} AS p, log_hr - 1.959963984540054::DOUBLE * se AS log_lower,
+    log_hr + 1.959963984540054::DOUBLE * se AS log_upper, exp(log_hr - 1.959963984540054::DOUBLE * se) AS hr_lower,
+    exp(log_hr + 1.959963984540054::DOUBLE * se) AS hr_upper FROM ({_COX}) c""", num=["log_hr", "hr", "se", "z", "p", "log_lower", "log_upper", "hr_lower", "hr_upper"]))
 def cox_weighted(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted Cox effect of arm B against arm A, ties by Efron."""
     _, _, rows = _survival(spark, sf)
-    return survival.weighted_cox(stage(rows, "survival"), weight="ipcw_trunc_last").select("log_hr", "hr", "se")
+    return survival.weighted_cox(stage(rows, "survival"), weight="ipcw_trunc_last").select(
+        "log_hr", "hr", "se", "z", "p", "log_lower", "log_upper", "hr_lower", "hr_upper"
+    )
 
 
 @query("cox_robust")
@@ -350,10 +362,9 @@ _LEVELS = " UNION ALL ".join(
     f"SELECT s.*, '{g}|' || f.{g} AS subgroup_level FROM surv_rows s JOIN sub_flags f ON f.stay_id = s.stay_id"
     for g in panel.SUBGROUPS
 )
-_BY_LEVEL = _newton(
-    f"SELECT * FROM ({_LEVELS}) u WHERE subgroup_level IN (SELECT subgroup_level FROM ({_LEVELS}) v WHERE w IS NOT NULL GROUP BY 1 HAVING count(*) >= 50)",
-    "subgroup_level",
-)
+cte("level_rows", _LEVELS)
+cte("large_levels", "SELECT * FROM level_rows WHERE subgroup_level IN (SELECT subgroup_level FROM level_rows WHERE w IS NOT NULL GROUP BY 1 HAVING count(*) >= 50)")
+_BY_LEVEL = _newton("SELECT * FROM large_levels", "subgroup_level")
 
 
 @query("subgroup_cox", oracle(f"SELECT split_part(grp, '|', 1) AS subgroup, split_part(grp, '|', 2) AS level, hr, se FROM ({_BY_LEVEL}) z",
@@ -364,11 +375,18 @@ def subgroup_cox(spark: SparkSession, sf: str) -> DataFrame:
     return fits.filter(F.col("n_event") > 0).select("hr", "se", "subgroup", "level")
 
 
-@query("subgroup_interaction")
+_Q = f"""SELECT subgroup, count(*) AS levels, count(*) - 1 AS df,
+    greatest(sum(log_hr * log_hr / (se * se)) - power(sum(log_hr / (se * se)), 2) / sum(1 / (se * se)), 0) AS q
+    FROM (SELECT *, split_part(grp, '|', 1) AS subgroup FROM ({_BY_LEVEL}) f) y GROUP BY subgroup HAVING count(*) > 1"""
+
+
+@query("subgroup_interaction", oracle(f"""SELECT *, CASE WHEN df % 2 = 1 THEN {_normal_tail("sqrt(q)")} ELSE 0 END + coalesce(exp(-q / 2) * list_sum(list_transform(
+    range(df // 2), lambda j: power(q / 2, j + (df % 2) / 2.0) / gamma(j + (df % 2) / 2.0 + 1))), 0) AS p_interaction FROM ({_Q}) t""",
+    num=["q", "p_interaction"], plain=["subgroup", "levels", "df"]))
 def subgroup_interaction(spark: SparkSession, sf: str) -> DataFrame:
     """Test of treatment x subgroup interaction per subgroup variable."""
     fits = survival.subgroup_cox(_subgroup_rows(spark, sf), panel.SUBGROUPS, weight="ipcw_trunc_last")
-    return survival.interaction_test(fits)
+    return survival.interaction_test(fits).select("q", "p_interaction", "subgroup", "levels", "df")
 
 
 # --- diagnostics -----------------------------------------------------------------------------

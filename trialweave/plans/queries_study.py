@@ -54,10 +54,18 @@ def index_screen(spark: SparkSession, sf: str) -> DataFrame:
     return screened.select("stay_id", "infected_by_t0", "drug_overlap", "treated_before_t0")
 
 
-@query("index_cohort_strict", oracle("""SELECT i.stay_id, i.t0_time FROM screened i WHERE infected AND (SELECT l.lactate FROM lab l WHERE l.hadm_id = i.hadm_id
+@query("index_cohort_strict", oracle("""SELECT i.stay_id, i.t0_time FROM screened i WHERE infected AND on_drug AND NOT treated AND (SELECT l.lactate FROM lab l WHERE l.hadm_id = i.hadm_id
     AND l.charttime > i.t0_time - INTERVAL 6 HOUR AND l.charttime <= i.t0_time ORDER BY l.charttime DESC, l.event_id DESC LIMIT 1) > 2""", ts=["t0_time"], plain=["stay_id"]))
 def index_cohort_strict(spark: SparkSession, sf: str) -> DataFrame:
-    """The stricter lactate rule, together with the infection rule."""
+    """The index rules and the stricter lactate rule."""
+    _, screened, s = _index(spark, sf, min_lactate=2.0)
+    return s.index_cohort(screened).select("stay_id", "t0_time")
+
+
+@query("lactate_screen", oracle("""SELECT i.stay_id, i.t0_time FROM screened i WHERE infected AND (SELECT l.lactate FROM lab l WHERE l.hadm_id = i.hadm_id
+    AND l.charttime > i.t0_time - INTERVAL 6 HOUR AND l.charttime <= i.t0_time ORDER BY l.charttime DESC, l.event_id DESC LIMIT 1) > 2""", ts=["t0_time"], plain=["stay_id"]))
+def lactate_screen(spark: SparkSession, sf: str) -> DataFrame:
+    """The lactate rule with the infection rule alone, which more units meet."""
     _, screened, s = _index(spark, sf, min_lactate=2.0)
     strict = (F.col("infected_by_t0") == 1) & (F.col("lactate_t0") > s.params.min_lactate)
     return screened.filter(strict).select("stay_id", "t0_time")
@@ -175,11 +183,12 @@ def clone_stored_panel(spark: SparkSession, sf: str) -> DataFrame:
     return s.clones(stored, cohort).select(*_CENSOR_TS, "stay_id", "strategy", "hour_index", *_CENSOR_FLAGS)
 
 
-@query("censor_rate_by_hour", oracle("SELECT hour_index, avg(censor_k_total) AS censor_rate, count(*) AS n FROM clone_bare GROUP BY hour_index",
+@query("censor_rate_by_hour", oracle("SELECT hour_index, avg(censor_k_total) AS censor_rate, count(*) AS n FROM clone_bare WHERE total_censor_time IS NULL OR total_censor_time > t_start GROUP BY hour_index",
        num=["censor_rate"], plain=["hour_index", "n"]))
 def censor_rate_by_hour(spark: SparkSession, sf: str) -> DataFrame:
+    """Share censored per hour among clones at risk."""
     s, cohort = _start(spark, sf)
-    return diagnostics.censor_rate(bare_clones(s, cohort))
+    return diagnostics.censor_rate(bare_clones(s, cohort).filter(censor.at_risk("start")))
 
 
 @query("censor_rate_by_strategy", oracle("""SELECT hour_index, strategy, avg(censor_k_total) AS censor_rate, count(*) AS n FROM clone_bare
