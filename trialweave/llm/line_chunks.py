@@ -57,6 +57,7 @@ def remove_repeats(docs: DataFrame, window: int = 2, divisor: int = 2, text: str
     key or further up in the same text; what is left is joined by line feeds.  A null text
     stays null with no lines; an empty one is one empty line.  A null key comes first.  Rows
     that share a key have equal rank, so none removes the other's chunk at the same position.
+    Joins are by key at every size; what needs no join is sorted out before.
     Columns of ``docs`` called ``n_lines`` or ``n_removed`` are replaced.  The key is an
     integer.
     """
@@ -66,19 +67,19 @@ def remove_repeats(docs: DataFrame, window: int = 2, divisor: int = 2, text: str
     long = F.filter(chunks(F.col("t"), window, divisor), lambda c: c["n_lines"] > 1)
     hashed = F.transform(long, lambda c: F.struct(c["idx"].alias("idx"), F.xxhash64(c["body"]).alias("h")))
     hashed = rows.select("k", "v", F.explode(hashed).alias("c")).select("k", "v", "c.idx", "c.h")
-    repeated = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    suspects = hashed.join(repeated, "h").groupBy("k", "v").agg(F.collect_set("idx").alias("at"))
+    repeated = stage(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
+    suspects = hashed.join(repeated.hint("merge"), "h").groupBy("k", "v").agg(F.collect_set("idx").alias("at"))
     suspects = stage(suspects, "suspects")
     near = may_match(rows, "k", suspects, "near").where("near")
     parts = F.filter(chunks(F.col("t"), window, divisor), lambda c: F.array_contains("at", c["idx"]))
-    bodies = near.join(suspects, ["k", "v"]).select("k", "v", F.explode(parts).alias("c"))
+    bodies = near.join(suspects.hint("merge"), ["k", "v"]).select("k", "v", F.explode(parts).alias("c"))
     bodies = stage(bodies.select("k", "v", F.col("c.idx").alias("idx"), F.col("c.body").alias("body")), "bodies")
     first = bodies.groupBy("body").agg(F.count("*").alias("n"), F.min(F.struct("k", "idx")).alias("first")).where("n > 1")
-    again = bodies.join(first, "body").where(F.struct("k", "idx") != F.col("first"))
+    again = bodies.join(first.hint("merge"), "body").where(F.struct("k", "idx") != F.col("first"))
     gone = stage(again.groupBy("k", "v").agg(F.collect_set("idx").alias("gone")), "removals")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), whole_key(F.col(key)).alias("k"), F.xxhash64(text).alias("v"))
     keyed = may_match(keyed, "k", gone, "near")
-    there = keyed.where("near").join(gone, ["k", "v"], "left").select("row", "gone")
+    there = keyed.where("near").join(gone.hint("merge"), ["k", "v"], "left").select("row", "gone")
     both = there.unionAll(keyed.where("not near").select("row", F.lit(None).cast("array<int>").alias("gone")))
     before = F.col("row")[text]
     n_lines = F.when(before.isNull(), 0).otherwise(F.size(F.split(before, "\n", -1)))
