@@ -212,7 +212,9 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: i
     Sampled texts are cut to ``longest`` characters; both bounds concern the fit alone.
     """
     rows = docs.select(F.md5(F.col(key).cast("string")).alias("o"), F.substring(text, 1, longest).alias("t"))
-    found = rows.where("t is not null").orderBy("o", "t").limit(sample_rows).collect()
+    rows = rows.where("t is not null")
+    last = rows.select("o").orderBy("o").limit(sample_rows).agg(F.max("o").alias("o")).first().o
+    found = rows.where(F.col("o") <= (last or "")).orderBy("o", "t").limit(sample_rows).collect()
     return fit_model([p for r in found for p in r.t.split("\n") if p.strip()])
 
 
