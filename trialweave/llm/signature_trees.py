@@ -6,12 +6,14 @@
 2. Two documents that link share one of their rarest shingles.  Frequencies of the kept
    shingles are counted over all representatives, and each keeps as many of its rarest ones
    as the similarity asks for.  Documents whose rarest shingles occur nowhere else are done.
-3. What is left falls into candidate clusters.  A cluster of up to ``LEAF`` documents is one
-   leaf, compared directly.  A larger one is a tree: size bands, signature buckets, leaves.
-   Nodes hold the OR of their documents' token bitmaps and their size range.
-4. Leaves and neighbouring leaves are compared first.  Then pairs of nodes are followed from
-   the bands down, as joins of the node tables, as long as the largest possible overlap can
-   reach the similarity and the two nodes aren't one component already.
+3. Each rare shingle that several documents keep is a tree: its documents by size band, then
+   by leaf.  A leaf holds documents of one band with the same smallest shingle, most of them
+   near copies, ``NODE`` or so at most.  Nodes have the OR of their documents' token bitmaps
+   and their size range.
+4. Documents that agree in their smallest or their largest shingle are compared first, in
+   parts of ``LEAF`` or so, each with the next.  Then pairs of nodes are followed from the bands down to leaves, as joins of the node tables, as long as
+   the largest possible overlap can reach the similarity and the two nodes aren't one
+   component already; the sets in the remaining pairs of leaves are compared.
 5. Only links that join components leave a task; components are found by star contraction.
 """
 
@@ -31,7 +33,10 @@ from trialweave.llm.filters import may_match, shown_key, whole_key
 from trialweave.llm.words import LOWER, SPACE, Hasher, mix, runs, shingles, text_slices
 from trialweave.sources.stages import stage
 
+#: Documents that are compared together before the trees are built.
 LEAF = 256
+#: Documents of a tree's leaf: few, or the bitmap of their differing words would be full.
+NODE = 16
 #: Signature bits of a document, as 64-bit words.
 SIGNATURE_WORDS = 16
 
@@ -101,19 +106,18 @@ def _prefix(reps: DataFrame, percent: int, counted: int) -> DataFrame:
 
 
 def _candidate_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """``(comp, k, n, set, sig)`` of the documents in ``members``, read from their texts.
+    """``(k, n, pop, least, most, sig, set)`` of the documents in ``members``, read from their texts.
 
     Few other texts are shuffled to the join, thanks to a bounded filter of the wanted ids.
     """
-
     docs = may_match(docs, "k", members, "near").where("near")
-    rows = docs.select("k", "t").join(members, "k").select("comp", "k", "t")
+    rows = docs.select("k", "t").join(members.hint("merge"), "k").select("k", "t").dropDuplicates(["k", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             for part, data, offsets in text_slices(batch, "t"):
-                sets, sizes, first, signatures, popcounts = [], [], [], [], []
+                sets, sizes, first, last, signatures, popcounts = [], [], [], [], [], []
                 for own in shingle_sets(data, offsets, width, hasher):
                     bit = np.unique(own >> np.uint64(54))
                     signature = np.zeros(SIGNATURE_WORDS, np.uint64)
@@ -121,15 +125,16 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFram
                     sets.append(own.tobytes())
                     sizes.append(len(own))
                     first.append(int(_signed(own)[0]) if len(own) else 0)
+                    last.append(int(_signed(own)[-1]) if len(own) else 0)
                     popcounts.append(len(bit))
                     signatures.append(_signed(signature))
                 signature = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(signatures)), SIGNATURE_WORDS).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part["comp"], part["k"], pa.array(sizes, pa.int64()), pa.array(popcounts, pa.int64()), pa.array(first, pa.int64()), signature, pa.array(sets, pa.binary())],
-                    ["comp", "k", "n", "pop", "least", "sig", "set"],
+                    [part["k"], pa.array(sizes, pa.int64()), pa.array(popcounts, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), signature, pa.array(sets, pa.binary())],
+                    ["k", "n", "pop", "least", "most", "sig", "set"],
                 )
 
-    return rows.mapInArrow(run, "comp bigint, k bigint, n bigint, pop bigint, least bigint, sig array<bigint>, set binary")
+    return rows.mapInArrow(run, "k bigint, n bigint, pop bigint, least bigint, most bigint, sig array<bigint>, set binary")
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
@@ -174,7 +179,8 @@ def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator
 def _compare(rows: DataFrame, percent: int) -> DataFrame:
     """Links ``(a, b)`` found in groups of ``(task, unit, side, k, set)``.
 
-    A unit is one leaf (all rows on side 0) or a pair of leaves; a task holds several units.
+    A unit is one leaf (all rows on side 0) or a pair of leaves; a task holds several units,
+    some ``LEAF`` rows together.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -194,18 +200,19 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("task", "unit", "side", "k", "set").groupBy("task").applyInArrow(run, "a bigint, b bigint")
 
 
-_LEVELS = (["comp", "band"], ["comp", "band", "bucket"], ["comp", "band", "bucket", "sub"])
+_LEVELS = (["token", "band"], ["token", "band", "leaf"])
+_WORDS = [f"w{i}" for i in range(SIGNATURE_WORDS)]
 
 
-def _nodes(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """Nodes of one level: OR-combined bitmap words, size range, bitmap slack, component range."""
-    return docs.groupBy(*keys).agg(
-        *(F.bit_or(F.col("sig")[i]).alias(f"w{i}") for i in range(SIGNATURE_WORDS)),
-        F.min("n").alias("least_n"),
-        F.max("n").alias("most_n"),
-        F.max(F.col("n") - F.col("pop")).alias("slack"),
-        F.min("part").alias("low"),
-        F.max("part").alias("high"),
+def _combined(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes: OR-combined bitmap words, size range, bitmap slack, range of components."""
+    return rows.groupBy(*keys).agg(
+        *(F.bit_or(w).alias(w) for w in _WORDS),
+        F.min("least_n").alias("least_n"),
+        F.max("most_n").alias("most_n"),
+        F.max("slack").alias("slack"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
     )
 
 
@@ -217,43 +224,66 @@ def _followed(pairs: DataFrame | None, nodes: DataFrame, keys: list[str], percen
 
     a, b = side("a"), side("b")
     if pairs is None:
-        both = a.join(b, (a.a_comp == b.b_comp) & (b.b_band - a.a_band).isin(0, 1))
+        both = a.join(b, (a.a_token == b.b_token) & (b.b_band - a.a_band).isin(0, 1))
     else:
         above = keys[:-1]
         both = pairs.join(a, [f"a_{c}" for c in above]).join(b, [f"b_{c}" for c in above])
         order = [F.struct(*(f"{s}_{c}" for c in keys)) for s in "ab"]
-        both = both.where(order[0] <= order[1])
-    common = sum((F.bit_count(F.col(f"a_w{i}").bitwiseAND(F.col(f"b_w{i}"))) for i in range(SIGNATURE_WORDS)), F.lit(0))
+        both = both.where(order[0] < order[1])
+    common = sum((F.bit_count(F.col(f"a_{w}").bitwiseAND(F.col(f"b_{w}"))) for w in _WORDS), F.lit(0))
     most = F.least(F.col("a_slack") + common, F.col("b_slack") + common, "a_most_n", "b_most_n")
     possible = most * (100 + percent) >= (F.col("a_least_n") + F.col("b_least_n")) * percent
     joined = (F.col("a_low") == F.col("a_high")) & (F.col("b_low") == F.col("b_high")) & (F.col("a_low") == F.col("b_low"))
     return both.where(possible & ~joined).select(*(f"{s}_{c}" for s in "ab" for c in keys))
 
 
-def _tree_links(docs: DataFrame, percent: int) -> DataFrame:
-    """Links inside clusters of more than one leaf; ``docs`` is a stage with the cluster's size."""
-    band = F.floor(F.log("n") / math.log(100 / percent)).alias("band")
-    docs = docs.select("*", band, F.pmod(F.xxhash64("least"), F.ceil(F.col("size") / LEAF)).alias("bucket"))
-    count = docs.groupBy(*_LEVELS[1]).agg(F.count("*").alias("in_bucket"))
-    sub = F.pmod(F.xxhash64("k", F.lit(1)), F.ceil(F.col("in_bucket") / LEAF))
-    docs = stage(docs.join(count, _LEVELS[1]).withColumn("sub", sub), "tree-docs")
-    leaf = F.xxhash64(*_LEVELS[2])
-    near = docs.select("*", F.explode(F.array(F.lit(0), F.lit(-1))).alias("shift")).where("shift = 0 or sub > 0")
-    near = near.select(*_LEVELS[1], F.col("sub"), (F.col("sub") + F.col("shift")).alias("first"), "k", "set")
-    unit = F.xxhash64(*_LEVELS[1], "first")
-    near = near.select(unit.alias("unit"), unit.alias("task"), F.lit(0).alias("side"), "k", "set")
-    links = stage(_compare(near, percent), "leaf-links")
+def _leaves(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` without the sets, with ``band`` and ``leaf``."""
+    band = F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).alias("band")
+    docs = sets.select("k", "n", "pop", "sig", "least", band)
+    kinds = stage(docs.groupBy("band", "least").agg(F.count("*").alias("in_kind")), "kinds")
+    sub = F.pmod(F.xxhash64("k"), F.ceil(F.col("in_kind") / NODE))
+    docs = docs.join(kinds, ["band", "least"]).withColumn("sub", sub)
+    return docs.withColumn("leaf", F.xxhash64("band", "least", "sub"))
+
+
+def _packed(units: DataFrame, rows: int) -> DataFrame:
+    return units.withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(rows // LEAF + 1)))
+
+
+def _tree_links(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Links among documents with sets, given the rare tokens ``(k, token)`` of each."""
+    docs = stage(_leaves(sets, percent), "leaves")
+    same = ["k", "n", "least"]
+    # near copies mostly agree in their smallest or in their largest shingle
+    kind = F.explode(F.array(F.xxhash64(F.lit(0), "least"), F.xxhash64(F.lit(1), "most")))
+    kinds = sets.select(*same, kind.alias("kind"))
+    sizes = stage(kinds.groupBy("kind").agg(F.count("*").alias("size")).where("size > 1"), "kinds")
+    several = kinds.join(sizes, "kind").withColumn("part", F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / LEAF)))
+    several = several.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(-1)))).where("shift = 0 or part > 0")
+    several = stage(several.select(*same, F.xxhash64("kind", F.col("part") + F.col("shift")).alias("unit")), "several")
+    near = sets.select(*same, "set").join(several, same).select("unit", F.lit(0).alias("side"), "k", "set")
+    links = stage(_compare(_packed(near, several.count()), percent), "leaf-links")
     known = connected_components(links).select(F.col("id").alias("k"), F.col("component").alias("part"))
     parts = docs.join(known, "k", "left").withColumn("part", F.coalesce("part", "k"))
+    each = parts.select(
+        "band", "leaf", *(F.col("sig")[i].alias(w) for i, w in enumerate(_WORDS)),
+        F.col("n").alias("least_n"), F.col("n").alias("most_n"), (F.col("n") - F.col("pop")).alias("slack"), F.col("part").alias("low"), F.col("part").alias("high"),
+    )
+    nodes = stage(_combined(each, ["band", "leaf"]), "nodes")
+    spots = stage(tokens.join(docs.select("k", "leaf"), "k").select("token", "leaf").distinct(), "spots")
+    narrow = spots.join(nodes.select("leaf", "low", "high"), "leaf")
+    open_ = narrow.groupBy("token").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last")
+    trees = stage(spots.join(open_.select("token"), "token", "left_semi").join(nodes, "leaf"), "trees")
     pairs = None
     for keys in _LEVELS:
-        pairs = _followed(pairs, _nodes(parts, keys), keys, percent)
-    task = F.xxhash64(*pairs.columns)
-    ends = pairs.select(
-        task.alias("task"),
-        F.explode(F.array(*(F.struct(F.lit(i).alias("side"), *(F.col(f"{s}_{c}").alias(c) for c in _LEVELS[2])) for i, s in enumerate("ab")))).alias("x"),
-    ).select("task", "x.*")
-    rest = ends.join(docs.select(*_LEVELS[2], "k", "set"), _LEVELS[2]).select("task", F.col("task").alias("unit"), "side", "k", "set")
+        pairs = _followed(pairs, _combined(trees, keys), keys, percent)
+    pairs = stage(pairs.select("a_leaf", "b_leaf").distinct(), "pairs")
+    unit = F.xxhash64("a_leaf", "b_leaf").alias("unit")
+    ends = pairs.select(unit, F.posexplode(F.array("a_leaf", "b_leaf")).alias("side", "leaf"))
+    rest = ends.join(docs.select("leaf", *same), "leaf")
+    packed = stage(_packed(rest, rest.count()), "ends")
+    rest = packed.join(sets.select(*same, "set"), same)
     return links.unionAll(_compare(rest, percent))
 
 
@@ -266,7 +296,7 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, text: str
     link with nothing.  Rows that share a key are one document for the links of either.  A
     null key counts as the smallest and is returned as null.  The key is an integer.
     """
-    counted = int(min(1.0, (100 - percent) / 100 * 4 / 3) * (1 << 63)) * 2
+    counted = int(min(1.0, (100 - percent) / 100 * 5 / 3) * (1 << 63)) * 2
     counted = min(counted, (1 << 63) - 1)
     rows = docs.select(whole_key(F.col(key)).alias("k"), F.col(text).alias("t"))
     sketches = stage(_sketch(rows, width, percent, counted), "sketches")
@@ -275,19 +305,11 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, text: str
     )
     reps = stage(reps, "representatives")
     prefix = stage(_prefix(reps, percent, counted), "prefix")
-    least = prefix.groupBy("token").agg(F.min("rep").alias("to"))
-    clusters = connected_components(prefix.join(least, "token").select("rep", "to"), "rep", "to")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    members = stage(clusters.join(sizes, "component").select(F.col("id").alias("k"), F.col("component").alias("comp"), "size"), "members")
-    sets = stage(_candidate_sets(rows, members.drop("size"), width), "sets")
-    sets = sets.dropDuplicates(["k", "set"]).join(members.select("k", "size"), "k")
-    packs = F.pmod(F.xxhash64("comp"), F.lit(members.count() // LEAF + 1))
-    small = sets.where(F.col("size") <= LEAF).select(packs.alias("task"), F.col("comp").alias("unit"), F.lit(0).alias("side"), "k", "set")
-    links = _compare(small, percent)
-    large = stage(sets.where(F.col("size") > LEAF), "trees")
-    if not large.isEmpty():
-        links = links.unionAll(_tree_links(large, percent))
-    found = connected_components(links)
+    shared = prefix.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    tokens = stage(prefix.join(shared, "token").select(F.col("rep").alias("k"), "token"), "rare-tokens")
+    members = stage(tokens.select("k").distinct(), "members")
+    sets = stage(_candidate_sets(rows, members, width), "sets")
+    found = connected_components(_tree_links(sets, tokens, percent))
     names = reps.select("digest", "rep").join(found, reps.rep == found.id, "left")
     names = names.select("digest", F.coalesce("component", "rep").alias("component"))
     result = sketches.select("k", "n", "digest").join(names, "digest", "left")
