@@ -25,7 +25,7 @@ from trialweave.llm.words import Hasher, text_slices
 
 META = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
-CACHED_UNITS = 400_000
+CACHED_UNITS = 150_000
 
 
 class CharacterMap:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SHINGLE_BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -64,13 +64,13 @@ def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordB
     """Parts of a batch with the bytes and document offsets of its text; null counts as empty."""
     at = batch.schema.get_field_index(column)
     texts = batch.column(at)
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     n = len(texts)
     if n == 0:
         return
-    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    bounds = np.frombuffer(texts.buffers()[1], width)[texts.offset : texts.offset + n + 1].astype(np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     low = 0
