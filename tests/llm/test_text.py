@@ -91,7 +91,8 @@ def test_signature_trees(docs, rows, leaf, monkeypatch):
 
 
 def test_large_cluster_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(signature_trees, "LEAF", 8)
+    monkeypatch.setattr(signature_trees, "LEAF", 4)
+    monkeypatch.setattr(signature_trees, "NODE", 3)
     r = random.Random(4)
     base = [f"w{r.randint(0, 10**6)}" for _ in range(150)]
     texts = {}
