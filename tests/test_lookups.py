@@ -185,3 +185,24 @@ def test_hot_unit_is_split_and_complete(spark):
         assert sum(v for v in got.values() if v) == float(n)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_events_without_time_count_nowhere(spark):
+    """An unknown time or interval start lies in no window and in no hour slice."""
+
+
+    t0 = datetime(2024, 1, 1)
+    units = spark.createDataFrame([(1, t0)], "u int, t0 timestamp_ntz")
+    events = spark.createDataFrame([(1, None, 5.0), (1, t0 + timedelta(minutes=30), 1.0)], "u int, t timestamp_ntz, v double")
+    spans = spark.createDataFrame([(1, None, t0 + timedelta(hours=2)), (1, None, None)], "u int, a timestamp_ntz, b timestamp_ntz")
+    found = [
+        lookups.window_value(events, "u", "t", "v", "total", window=1, empty=0.0),
+        lookups.overlaps(spans, "u", "a", "b", "on", 1),
+    ]
+    rows = lookups.gather_slices(units, "u", "t0", 3, found).orderBy("hour_index").collect()
+    assert [(r.total, r.on) for r in rows] == [(1.0, 0), (0.0, 0), (0.0, 0)]
+    later = units.selectExpr("u", "t0 + INTERVAL 1 HOUR AS t0")
+    assert [(r.total, r.on) for r in lookups.gather(later, "u", "t0", found).collect()] == [(1.0, 0)]
+    twice = units.unionAll(units)
+    with pytest.raises(Exception, match="more than once"):
+        lookups.gather(twice, "u", "t0", found).collect()
