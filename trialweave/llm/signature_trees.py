@@ -262,7 +262,7 @@ def _tree_links(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     several = kinds.join(sizes, "kind").withColumn("part", F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / LEAF)))
     several = several.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(-1)))).where("shift = 0 or part > 0")
     several = stage(several.select(*same, F.xxhash64("kind", F.col("part") + F.col("shift")).alias("unit")), "several")
-    near = sets.select(*same, "set").join(several, same).select("unit", F.lit(0).alias("side"), "k", "set")
+    near = sets.select(*same, "set").join(several.hint("merge"), same).select("unit", F.lit(0).alias("side"), "k", "set")
     links = stage(_compare(_packed(near, several.count()), percent), "leaf-links")
     known = connected_components(links).select(F.col("id").alias("k"), F.col("component").alias("part"))
     parts = docs.join(known, "k", "left").withColumn("part", F.coalesce("part", "k"))
@@ -273,7 +273,10 @@ def _tree_links(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     nodes = stage(_combined(each, ["band", "leaf"]), "nodes")
     spots = stage(tokens.join(docs.select("k", "leaf"), "k").select("token", "leaf").distinct(), "spots")
     narrow = spots.join(nodes.select("leaf", "low", "high"), "leaf")
-    open_ = narrow.groupBy("token").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last")
+    content = [F.count("*").alias("n"), F.sum(F.col("leaf").cast("decimal(38,0)")).alias("total"), F.bit_xor("leaf").alias("odd")]
+    open_ = narrow.groupBy("token").agg(F.min("low").alias("first"), F.max("high").alias("last"), *content).where("first < last")
+    # shingles of one passage have the same leaves: one tree stands for all of them
+    open_ = open_.groupBy("n", "total", "odd").agg(F.min("token").alias("token"))
     trees = stage(spots.join(open_.select("token"), "token", "left_semi").join(nodes, "leaf"), "trees")
     pairs = None
     for keys in _LEVELS:
@@ -283,7 +286,7 @@ def _tree_links(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     ends = pairs.select(unit, F.posexplode(F.array("a_leaf", "b_leaf")).alias("side", "leaf"))
     rest = ends.join(docs.select("leaf", *same), "leaf")
     packed = stage(_packed(rest, rest.count()), "ends")
-    rest = packed.join(sets.select(*same, "set"), same)
+    rest = sets.select(*same, "set").join(packed.hint("merge"), same)
     return links.unionAll(_compare(rest, percent))
 
 
