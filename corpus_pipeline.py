@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the line chunks that an earlier document has; every document stays."""
-    return _like(line_chunks.remove_repeats(docs), docs)
+    return _like(line_chunks.remove_repeats(docs, spaced=True), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,6 +183,36 @@ def test_line_chunks(docs, rows):
     assert sum(x[3] for x in out) > 0
 
 
+def _spaced_chunks(text):
+    lines = text.split("\n")
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    meets = [i >= 1 and (h[i - 1] * 31 + h[i]) % 2 == 0 for i in range(len(lines))]
+    out, start = [], 0
+    for i in range(len(lines)):
+        if i == len(lines) - 1 or (meets[i] and not meets[i - 1] and i < len(lines) - 2):
+            out.append(lines[start : i + 1])
+            start = i + 1
+    return out
+
+
+def test_whole_copies_of_long_texts_go(spark):
+    r = random.Random(6)
+    texts = ["\n".join(f"line {r.random()}" for _ in range(r.randint(4, 40))) for _ in range(60)]
+    passage = "\n".join(f"shared {r.random()}" for _ in range(30))
+    mixed = [f"{a}\n{passage}\n{b}" for a, b in zip(texts[:6], texts[6:12], strict=True)]
+    rows = list(enumerate([*texts, *texts, *mixed]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
+    got = {x.doc_id: x for x in corpus_pipeline.lines(spark, df, "").collect()}
+    first = {}
+    for key, text in rows:
+        parts = _spaced_chunks(text)
+        assert all(len(c) > 1 for c in parts)
+        left = [c for i, c in enumerate(parts) if len(c) < 2 or first.setdefault(tuple(c), (key, i)) == (key, i)]
+        assert got[key].text == "\n".join("\n".join(c) for c in left)
+        if 60 <= key < 120:
+            assert got[key].text == "" and got[key].n_chars == 0
+
+
 def test_mixing(spark, docs, rows):
     levels = (
         mixing.Level("lang", F.col("lang"), F.when(F.col("lang") == "en", 5).otherwise(1)),
