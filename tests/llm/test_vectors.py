@@ -48,6 +48,29 @@ def test_near_duplicates(spark, window, monkeypatch):
         assert r.n_links == sum(i in p for p in pairs) and r.kept == (r.component_id == i)
 
 
+def test_passes_follow_the_largest_label(spark):
+    r = np.random.default_rng(5)
+    base = r.normal(size=(4000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = r.normal(size=base.shape)
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = r.uniform(0.931, 0.95, size=(4000, 1))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * aside])
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int")
+    got = {row.vec_id: row for row in projection_passes.near_duplicates(df, 0.93, window=4).collect()}
+    # blockwise brute force: every vector against all
+    pairs = [(a, int(b)) for low in range(0, 8000, 1000) for a, near in enumerate(x[low : low + 1000] @ x.T >= 0.93, low) for b in np.flatnonzero(near) if a < b]
+    assert len(pairs) >= 4000
+    assert np.mean([got[a].component_id == got[b].component_id for a, b in pairs]) > 0.98
+
+
+def test_passes_for():
+    assert [projection_passes.passes_for(n, 32, 0.93, 0.99) for n in (0, 32, 2000)] == [8, 8, 8]
+    assert projection_passes.passes_for(1_000_000, 32, 0.93, 0.99) > 25
+    assert projection_passes.passes_for(1_000_000, 32, 1.0, 0.99) == 8
+
+
 def test_empty_vectors_and_null_key(spark):
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert projection_passes.near_duplicates(empty).count() == 0

@@ -7,11 +7,15 @@ Inside a component every pair is then compared in blocks, so the numbers of link
 depend on the windows.  Equal vectors are one representative throughout.
 
 A pair of cosine ``c`` shares each sign with the chance ``1 - arccos(c) / pi``; a pass finds it
-when the shared leading signs leave no more than ``window`` vectors between the two.
+when the shared leading signs leave no more than ``window`` vectors between the two.  Among
+``n`` vectors spread evenly these are about ``log2(n / window)`` signs, so the number of passes
+grows with the largest label: enough that a pair just at the threshold is found with the
+chance ``recall``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +30,17 @@ from trialweave.sources.stages import stage
 BITS = 60
 #: Rows of one comparison block.
 BLOCK = 2048
+#: Passes at least, however small the labels are.
+LEAST_PASSES = 8
+
+
+def passes_for(n: int, window: int, least: float, recall: float) -> int:
+    """Passes after which a pair of cosine ``least`` among ``n`` vectors is found with the chance ``recall``."""
+    same = 1 - math.acos(min(max(least, -1), 1)) / math.pi
+    one = same ** math.log2(max(n / window, 1))
+    if not 0 < recall < 1 or one == 0:
+        raise ValueError(f"no number of passes finds pairs of cosine {least} with the chance {recall}")
+    return LEAST_PASSES if one == 1 else max(LEAST_PASSES, math.ceil(math.log(1 - recall) / math.log1p(-one)))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -196,7 +211,14 @@ def _degrees(members: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(
-    vectors: DataFrame, least: float = 0.93, passes: int = 8, window: int = 32, key: str = "vec_id", vector: str = "embedding", label: str = "label"
+    vectors: DataFrame,
+    least: float = 0.93,
+    passes: int | None = None,
+    window: int = 32,
+    key: str = "vec_id",
+    vector: str = "embedding",
+    label: str = "label",
+    recall: float = 0.99,
 ) -> DataFrame:
     """``(key, n_links, component_id, kept)`` for every row.
 
@@ -205,7 +227,8 @@ def near_duplicates(
     non-finite numbers link with nothing.  ``component_id`` is the smallest key reachable;
     ``kept`` says whether it is the row's own.  Rows that repeat a key count as one row each
     in ``n_links``.  A row with a null key links with nothing and is kept, with a null
-    component.  The key is an integer.
+    component.  The key is an integer.  Without ``passes`` there are as many as ``recall`` asks
+    for in the label with the most different vectors.
     """
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(label).alias("l"), F.col(vector).alias("v"))
     number = F.lit(float("inf"))
@@ -213,6 +236,9 @@ def near_duplicates(
     usable = rows.where(F.col("id").isNotNull() & F.col("l").isNotNull() & fine)
     classes = usable.groupBy("l", "v").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
     classes = stage(classes.select(F.col("rep").alias("id"), "mult", "l", "v"), "classes")
+    if passes is None:
+        most = classes.groupBy("l", F.size("v")).count().agg(F.max("count").alias("n")).first().n
+        passes = passes_for(most or 0, window, least, recall)
     ordered = _passes(classes.select("id", "l", "v"), passes).repartitionByRange("pass", "l", "dim", "key", "id")
     ordered = ordered.sortWithinPartitions("pass", "l", "dim", "key", "id")
     swept = stage(_sweep(ordered, window, least), "sweep")
