@@ -310,6 +310,27 @@ def test_licences(spark, docs, rows):
     assert {r.family for r in licences.scan(vague, model).collect()} <= {"unknown"}
 
 
+def test_wrapped_and_embedded_notices(spark):
+    prose = "the house by the river was sold in spring and nobody of the family came back to it " * 12
+    model = licences.fit_model([prose[k : k + 80] for k in range(0, 900, 60)])
+    gpl = licences.TEMPLATES["gpl"][1]
+    bsd = licences.TEMPLATES["bsd"][1]
+    mit = "Released under the MIT License."
+    wanted = [
+        ("gpl", gpl.replace("modify it", "modify\nit"), "", "\nas published"),
+        ("bsd", bsd.replace("without mod", "without\nmod"), "intro\n\n", ":\n"),
+        ("gpl", gpl.replace("modify it", "modify\n# it"), "# ", "\n#\n# more"),
+        ("mit", mit, prose, " " + prose),
+        ("gpl", gpl, prose, ", " + prose),
+        ("bsd", bsd, "h\u00e9 " + prose + "\n" + prose, "\n" + prose),
+    ]
+    df = spark.createDataFrame([(i, a + t + b) for i, (_, t, a, b) in enumerate(wanted)], "doc_id int, text string")
+    got = [(r.doc_id, r.family, r.begin, r.end) for r in licences.scan(df, model).orderBy("doc_id", "begin").collect()]
+    assert got == [(i, f, len(a.encode()), len((a + t).encode())) for i, (f, t, a, _) in enumerate(wanted)]
+    apart = spark.createDataFrame([(1, gpl.replace("modify it", "modify\n\nit"))], "doc_id int, text string")
+    assert "gpl" not in {r.family for r in licences.scan(apart, model).collect()}
+
+
 def test_quality(spark, docs, rows):
     r = np.random.default_rng(0)
     x = r.normal(size=(800, 3))

@@ -1,9 +1,11 @@
-"""Licence notices in texts: a trained paragraph classifier, confirmed by templates.
+"""Licence notices in texts: a trained passage classifier, confirmed by templates.
 
-A paragraph (a line, by default) is a sparse vector of hashed word n-grams of one to three
-words.  Multinomial logistic regression names its licence family or ``none``; a family whose
-calibrated probability is too low, or whose templates the paragraph matches only in part,
-becomes ``unknown``; without any trace of a template the paragraph is ``none``.  Training rows are made from the templates (cut, interrupted and embedded in
+Passages are proposed inside paragraphs, which end at blank lines: stretches of words, over
+line ends and in the middle of prose, with enough n-grams of one template near each other.  A
+passage is a sparse vector of hashed word n-grams of one to three words.  Multinomial logistic
+regression names its licence family or ``none``; a family whose calibrated probability is too
+low, or whose templates the passage matches only in part, becomes ``unknown``, and so does
+``none`` where a template matches; without any trace of a template it is ``none``.  Training rows are made from the templates (cut, interrupted and embedded in
 prose) and from a bounded sample of the corpus's own paragraphs as ordinary prose.
 """
 
@@ -58,6 +60,8 @@ _FOLD = LOWER.copy()
 _FOLD[ord("0") : ord("9") + 1] = ord("0")
 _APART = SPACE.copy()
 _APART[[ord(c) for c in ".,;:()\"'!?[]{}<>*#/"]] = True
+_CLOSING = np.zeros(256, dtype=bool)
+_CLOSING[[ord(c) for c in ".)\"'!?]"]] = True
 
 
 def paragraph_grams(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -101,24 +105,77 @@ class LicenceModel:
         chance = p[np.arange(n), best]
         match = np.zeros(n)
         none = len(self.families) - 1
-        hits = np.flatnonzero(best != none)
-        if len(hits):
-            chosen = np.zeros(n, bool)
-            chosen[hits] = True
-            value = np.concatenate([v[chosen[d]] for v, d in grams[1:]])
-            doc = np.concatenate([d[chosen[d]] for v, d in grams[1:]])
-            order = np.argsort(doc, kind="stable")
-            value, doc = value[order], doc[order]
-            for i in hits:
-                own = value[np.searchsorted(doc, i) : np.searchsorted(doc, i, "right")]
-                for family, template in self.templates:
-                    if family == best[i]:
-                        match[i] = max(match[i], np.isin(template, own).mean())
-            unsure = hits[(chance[hits] < self.least_probability) | (match[hits] < self.least_match)]
-            best[unsure] = none + 1
-            best[hits[match[hits] < self.least_hint]] = none
+        value = np.concatenate([v for v, _ in grams[1:]])
+        doc = np.concatenate([d for _, d in grams[1:]])
+        order = np.argsort(doc, kind="stable")
+        value, bounds = value[order], np.searchsorted(doc[order], np.arange(n + 1))
+        match = np.zeros(n)
+        for i in range(n):
+            own = value[bounds[i] : bounds[i + 1]]
+            shares = [np.isin(template, own).mean() for family, template in self.templates if best[i] in (none, family)]
+            match[i] = max(shares, default=0)
+        doubted = (best == none) & (match >= self.least_match)
+        unsure = (best != none) & ((chance < self.least_probability) | (match < self.least_match))
+        hint = match >= self.least_hint
+        best[doubted | (unsure & hint)] = none + 1
+        best[~hint] = none
         return best, chance, match
 
+    def passages(self, data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+        """Byte spans, in order, that hold n-grams of a template: at least the share ``least_hint``.
+
+        A span is within one paragraph and at most half as long again as the template, and a
+        few words; where spans overlap, the one with more of the n-grams wins.
+        """
+        folded = _FOLD[data]
+        start, end, doc = runs(folded, offsets, _APART)
+        if not len(start):
+            return start, end
+        line_start, line_end, _ = runs(data, offsets, NEWLINE)
+        line = np.searchsorted(line_start, start, "right") - 1
+        step, gap = np.diff(line), line_start[line[1:]] - line_end[line[:-1]]
+        apart = (np.diff(doc) != 0) | (step > 1) | ((step == 1) & (gap > 1))
+        para = np.append(0, np.cumsum(apart))
+        hashes = hasher.spans(folded, start, end)
+        known = np.unique(np.concatenate([t for _, t in self.templates]))
+        grams, firsts, lasts = [], [], []
+        for size in SIZES[1:]:
+            value, at = shingles(hashes, para, size)
+            hit = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
+            grams.append(value[hit])
+            firsts.append(at[hit])
+            lasts.append(at[hit] + size - 1)
+        gram, first, last = (np.concatenate(x) for x in (grams, firsts, lasts))
+        order = np.lexsort((last, first))
+        gram, first, last = gram[order], first[order], last[order]
+        found = []
+        for _, template in self.templates:
+            own = np.isin(gram, template)
+            g, p, q = np.searchsorted(template, gram[own]), first[own], last[own]
+            need = int(np.ceil(self.least_hint * len(template)))
+            reach = 3 * (len(template) + 3) // 4 + 6
+            far = np.minimum(np.searchsorted(p, p + reach), np.searchsorted(para[p], para[p], "right"))
+            for i in np.flatnonzero(far - np.arange(len(p)) >= need):
+                seen, stop = set(), 0
+                for j in range(i, far[i]):
+                    if g[j] not in seen:
+                        seen.add(g[j])
+                        stop = max(stop, int(q[j]))
+                if len(seen) >= need:
+                    found.append((-len(seen), len(template), stop - int(p[i]), int(p[i]), stop))
+        taken, spans = np.zeros(len(start), bool), []
+        for *_, low, high in sorted(found):
+            if not taken[low : high + 1].any():
+                taken[low : high + 1] = True
+                spans.append((low, high))
+        spans = np.array(sorted(spans), np.int64).reshape(-1, 2)
+        begin, stop = start[spans[:, 0]], end[spans[:, 1]]
+        limit = offsets[doc[spans[:, 1]] + 1]
+        for i in range(len(stop)):
+            while stop[i] < limit[i] and _CLOSING[data[stop[i]]]:
+                stop[i] += 1
+        return begin, stop
+
     def logits(self, grams: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
         total, count = np.zeros((n, self.weights.shape[1])), np.zeros(n)
         for value, para in grams:
@@ -219,10 +276,10 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: i
 
 
 def scan(docs: DataFrame, model: LicenceModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each paragraph that is not ordinary prose.
+    """One row for each passage that is not ordinary prose.
 
-    Columns: key, ``paragraph`` (its number among the non-empty lines, from 0), ``begin`` and
-    ``end`` (byte span), ``family`` (or ``unknown``), ``probability``, ``template_match``.
+    Columns: key, ``paragraph`` (the number among the non-empty lines, from 0, of the line it
+    begins in), ``begin`` and ``end`` (byte span, possibly of several lines or part of one), ``family`` (or ``unknown``), ``probability``, ``template_match``.
     Null and empty texts have no rows.
     """
 
@@ -232,12 +289,15 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", key: str = "d
         none = len(model.families) - 1
         for batch in batches:
             for part, data, offsets in text_slices(batch, "t"):
-                start, end, doc = runs(data, offsets, NEWLINE)
+                start, end = model.passages(data, offsets, hasher)
                 if not len(start):
                     continue
-                best, chance, match = model.classify(data, np.append(start, len(data)), hasher)
+                own = np.concatenate([data[a:b] for a, b in zip(start, end, strict=True)])
+                best, chance, match = model.classify(own, np.append(0, np.cumsum(end - start)), hasher)
                 at = np.flatnonzero(best != none)
-                number = np.arange(len(start)) - np.searchsorted(doc, doc, "left")
+                doc = np.searchsorted(offsets, start, "right") - 1
+                line, _, line_doc = runs(data, offsets, NEWLINE)
+                number = np.searchsorted(line, start, "right") - 1 - np.searchsorted(line_doc, doc, "left")
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["k"].take(pa.array(doc[at])),
