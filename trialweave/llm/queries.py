@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import filters, language, licences, line_chunks, mixing, pieces, projection_passes, quality_trees, signature_trees, sketches, window_dedup
+from trialweave.llm import bit_planes, digest_index, filters, language, licences, line_chunks, mixing, pieces, postorder_log, projection_passes, quality_trees, signature_trees, sketches, window_dedup
 
 #: The place of the piece model: a function of the tokenizer files' folder.
 MODEL = "piece_bpe_32k.model"
@@ -110,8 +110,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_postorder_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return postorder_log.manifest(
+        table(spark, sf_dir, "documents"),
+        ["doc_id", "source", "lang", "n_chars", "text"],
+        tampered={"text": F.translate("text", upper, upper.lower())},
+        when=number % 3 == 0,
+    )
+
+
+def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_index.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bit_planes.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_sketches, op3_licence_scan, op4_line_chunks, op5_projection_passes, op6_signature_trees, op7_window_dedup, op8_quality_trees, op9_piece_codec, op10_language_id)
+    f.__name__: f for f in (op1_mixing, op2_sketches, op3_licence_scan, op4_line_chunks, op5_projection_passes, op6_signature_trees, op7_window_dedup, op8_quality_trees, op9_piece_codec, op10_language_id, op11_postorder_log, op12_digest_index, op13_bit_planes)
 }
 SQL: dict[str, str] = {
     "op1_mixing": r"""
@@ -188,5 +209,88 @@ WITH lines AS (
 SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed,
        sha256(coalesce(k.body, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op11_postorder_log": """
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf,
+         CASE WHEN (4294967295 - list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                lambda crc, byte: list_reduce([xor(crc, byte)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+                  lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE z END)))) % 3 = 0
+              THEN sha256(head || coalesce(strlen(lower_az) || ':' || lower_az, '-')) END AS other
+  FROM (
+    SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf FROM (
+      SELECT doc_id, lang, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az,
+             coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+             || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+      FROM documents))
+), up AS (
+  SELECT lang, 0 AS level, i, leaf AS digest, count(*) OVER (PARTITION BY lang) AS width FROM rows
+  UNION ALL
+  SELECT lang, level + 1, i // 8, string_agg(digest, '' ORDER BY i).sha256(), any_value((width + 7) // 8)
+  FROM up WHERE width > 1 GROUP BY lang, level, i // 8
+), subroots AS (
+  SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM up WHERE width = 1
+), over_all AS (
+  SELECT 0 AS level, i, digest, count(*) OVER () AS width FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i)), any_value((width + 7) // 8)
+  FROM over_all WHERE width > 1 GROUP BY level, i // 8
+), heights AS (
+  SELECT lang, max(level) AS height FROM up GROUP BY lang
+), around AS (
+  SELECT a.lang, a.level AS step, a.i,
+         coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+         coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM up a JOIN up b ON a.lang IS NOT DISTINCT FROM b.lang AND a.level = b.level AND a.i // 8 = b.i // 8
+  WHERE a.width > 1 GROUP BY a.lang, a.level, a.i
+), around_all AS (
+  SELECT a.level, a.i,
+         coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+         coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM over_all a JOIN over_all b ON a.level = b.level AND a.i // 8 = b.i // 8
+  WHERE a.width > 1 GROUP BY a.level, a.i
+), ways AS (
+  SELECT r.doc_id, r.lang, r.i, r.leaf, r.other, w.step, w.before, w.after
+  FROM rows r JOIN heights h ON r.lang IS NOT DISTINCT FROM h.lang, unnest(range(0, h.height)) AS s(step)
+  JOIN around w ON w.lang IS NOT DISTINCT FROM r.lang AND w.step = s.step AND w.i = r.i // (8 ** s.step)::BIGINT
+  UNION ALL
+  SELECT r.doc_id, r.lang, r.i, r.leaf, r.other, h.height + w.level, w.before, w.after
+  FROM rows r JOIN heights h ON r.lang IS NOT DISTINCT FROM h.lang JOIN subroots s ON s.lang IS NOT DISTINCT FROM r.lang
+  JOIN around_all w ON w.i = s.i // (8 ** w.level)::BIGINT
+), folds AS (
+  SELECT lang, i, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256,
+         list_reduce([{'before': '', 'after': coalesce(any_value(other), any_value(leaf))}] || list({'before': before, 'after': after} ORDER BY step),
+           lambda x, w: {'before': '', 'after': sha256(w.before || x.after || w.after)}).after AS folded_root
+  FROM ways GROUP BY lang, i
+), root AS (SELECT digest FROM over_all WHERE width = 1)
+SELECT r.doc_id, r.leaf, s.digest AS subroot, root.digest AS root, coalesce(f.proof_sha256, sha256('')) AS proof_sha256,
+       coalesce(f.folded_root, r.other, r.leaf) AS folded_root, coalesce(f.folded_root, r.other, r.leaf) = root.digest AS verified
+FROM rows r JOIN subroots s ON r.lang IS NOT DISTINCT FROM s.lang LEFT JOIN folds f ON f.lang IS NOT DISTINCT FROM r.lang AND f.i = r.i, root
+""",
+    "op12_digest_index": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""",
+    "op13_bit_planes": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id, score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER best)::INTEGER AS rank, n.vec_id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same
+ AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW best AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY rank <= 10
 """,
 }
