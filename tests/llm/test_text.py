@@ -92,7 +92,6 @@ def test_signature_trees(docs, rows, leaf, monkeypatch):
 
 def test_large_cluster_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(signature_trees, "LEAF", 4)
-    monkeypatch.setattr(signature_trees, "NODE", 3)
     r = random.Random(4)
     base = [f"w{r.randint(0, 10**6)}" for _ in range(150)]
     texts = {}
@@ -104,6 +103,44 @@ def test_large_cluster_of_near_copies(spark, monkeypatch):
     assert {x.doc_id: x.component for x in got.collect()} == linked(texts, 4, 85)
 
 
+def test_common_passage_and_loose_cluster(spark, monkeypatch):
+    """Several hundred documents share rare shingles; some link, some only nearly, sizes differ."""
+    monkeypatch.setattr(signature_trees, "LEAF", 4)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(420):
+        own = list(base[: r.choice([120, 118, 112, 60])])
+        for _ in range(r.choice([0, 1, 2, 3, 4, 6])):
+            own[r.randrange(len(own))] = f"e{r.randrange(40)}"
+        texts[i] = " ".join(own + [f"t{i}" for _ in range(r.choice([0, 0, 3]))])
+    long = [f"l{r.randrange(10**9)}" for _ in range(3000)]
+    for i in range(30):  # wider signatures
+        own = list(long[: 3000 - 40 * (i % 5)])
+        for _ in range(r.choice([5, 60, 130])):
+            own[r.randrange(len(own))] = f"x{i}"
+        texts[1000 + i] = " ".join(own)
+    got = signature_trees.link_documents(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), 4, 85)
+    want = linked(texts, 4, 85)
+    assert {x.doc_id: x.component for x in got.collect()} == want
+    assert 20 < len(set(want.values())) < 440
+
+
+def test_signatures_bound_the_overlap():
+    r = np.random.default_rng(5)
+    for n, m in ((3, 500), (900, 700), (5000, 600), (70_000, 4000)):
+        pool = r.integers(0, 1 << 63, size=n + m, dtype=np.uint64) * np.uint64(2)
+        a, b = np.unique(pool[:n]), np.unique(pool[n // 2 : n // 2 + m])
+        (x, slack_a), (y, slack_b) = signature_trees.signature(a), signature_trees.signature(b)
+        while len(x) != len(y):
+            x, y = (signature_trees.fold(x), y) if len(x) > len(y) else (x, signature_trees.fold(y))
+        w = (len(x) * 8).bit_length() - 1 - signature_trees.BITS
+        common = int(np.bitwise_count(x & y).sum())
+        overlap = len(np.intersect1d(a, b))
+        assert overlap <= min(common + slack_a[w], common + slack_b[w])
+        assert common + slack_a[w] < 0.8 * len(a) or overlap > 0.3 * len(a) or n < 10 or n > 60_000
+
+
 def test_sketches(spark, docs, rows):
     got = sketches.fingerprints(docs).collect()
     by_text = {}

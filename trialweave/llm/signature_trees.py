@@ -6,26 +6,28 @@
 2. Two documents that link share one of their rarest shingles.  Frequencies of the kept
    shingles are counted over all representatives, and each keeps as many of its rarest ones
    as the similarity asks for.  Documents whose rarest shingles occur nowhere else are done.
-3. Each rare shingle that several documents keep is a tree: its documents by size band, then
-   by leaf.  A leaf holds documents of one band with the same smallest shingle, most of them
-   near copies, ``NODE`` or so at most.  Nodes have the OR of their documents' token bitmaps
-   and their size range.
-4. Documents that agree in their smallest or their largest shingle are compared first, in
-   parts of ``LEAF`` or so, each with the next.  Then pairs of nodes are followed from the bands down to leaves, as joins of the node tables, as long as
-   the largest possible overlap can reach the similarity and the two nodes aren't one
-   component already; the sets in the remaining pairs of leaves are compared.
-5. Only links that join components leave a task; components are found by star contraction.
+3. Documents that agree in their smallest or their largest shingle are compared first, in
+   parts of ``LEAF`` or so, each with the next; most groups of near copies are then components.
+4. All documents stand in one order: by the most frequent of their rare shingles, by component,
+   by size.  ``NODE`` neighbours are a leaf and ``FANOUT`` neighbouring nodes one of the next
+   level, with the OR of their documents' token bitmaps, their range of sizes and of
+   components.  Bitmaps grow with the document; a node has the narrowest width below it.
+5. A rare shingle is followed from the lowest level at which ``FANOUT`` nodes hold its
+   documents.  Pairs of nodes go down level by level, to children that hold the shingle, as
+   long as the largest possible overlap can reach the similarity and the two are not one
+   component.  The sets in the remaining pairs of leaves are compared, each fetched once for
+   all the pairs of two parents.
+6. Only links that join components leave a task; components are found by star contraction.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.llm.components import connected_components
@@ -35,10 +37,13 @@ from trialweave.sources.stages import stage
 
 #: Documents that are compared together before the trees are built.
 LEAF = 256
-#: Documents of a tree's leaf: few, or the bitmap of their differing words would be full.
-NODE = 16
-#: Signature bits of a document, as 64-bit words.
-SIGNATURE_WORDS = 16
+#: Documents of a leaf, as a power of two, and children of a node.
+NODE_BITS, FANOUT_BITS = 4, 3
+FANOUT = 1 << FANOUT_BITS
+#: Levels of nodes that one task builds.
+LEVELS = 3
+#: A signature has 2 ** BITS bits for 512 shingles, and twice as many with each doubling.
+BITS, WIDTHS = 10, 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, hasher: Hasher) -> Iterator[np.ndarray]:
@@ -106,7 +111,7 @@ def _prefix(reps: DataFrame, percent: int, counted: int) -> DataFrame:
 
 
 def _candidate_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """``(k, n, pop, least, most, sig, set)`` of the documents in ``members``, read from their texts.
+    """``(k, n, least, most, slack, sig, set)`` of the documents in ``members``, read from their texts.
 
     Few other texts are shuffled to the join, thanks to a bounded filter of the wanted ids.
     """
@@ -117,24 +122,38 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFram
         hasher = Hasher()
         for batch in batches:
             for part, data, offsets in text_slices(batch, "t"):
-                sets, sizes, first, last, signatures, popcounts = [], [], [], [], [], []
-                for own in shingle_sets(data, offsets, width, hasher):
-                    bit = np.unique(own >> np.uint64(54))
-                    signature = np.zeros(SIGNATURE_WORDS, np.uint64)
-                    np.bitwise_or.at(signature, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-                    sets.append(own.tobytes())
-                    sizes.append(len(own))
-                    first.append(int(_signed(own)[0]) if len(own) else 0)
-                    last.append(int(_signed(own)[-1]) if len(own) else 0)
-                    popcounts.append(len(bit))
-                    signatures.append(_signed(signature))
-                signature = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(signatures)), SIGNATURE_WORDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [part["k"], pa.array(sizes, pa.int64()), pa.array(popcounts, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), signature, pa.array(sets, pa.binary())],
-                    ["k", "n", "pop", "least", "most", "sig", "set"],
-                )
-
-    return rows.mapInArrow(run, "k bigint, n bigint, pop bigint, least bigint, most bigint, sig array<bigint>, set binary")
+                own = list(shingle_sets(data, offsets, width, hasher))
+                signs = [signature(x) for x in own]
+                columns = [
+                    part["k"],
+                    pa.array([len(x) for x in own], pa.int64()),
+                    pa.array([int(_signed(x)[0]) if len(x) else 0 for x in own], pa.int64()),
+                    pa.array([int(_signed(x)[-1]) if len(x) else 0 for x in own], pa.int64()),
+                    pa.array([x for _, x in signs], pa.list_(pa.int64())),
+                    pa.array([x.tobytes() for x, _ in signs], pa.binary()),
+                    pa.array([x.tobytes() for x in own], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "n", "least", "most", "slack", "sig", "set"])
+
+    return rows.mapInArrow(run, "k bigint, n bigint, least bigint, most bigint, slack array<bigint>, sig binary, set binary")
+
+
+def fold(sig: np.ndarray) -> np.ndarray:
+    """Signatures, the last axis in bytes, at half the width."""
+    bits = np.unpackbits(sig, axis=-1)
+    return np.packbits(bits[..., ::2] | bits[..., 1::2], axis=-1)
+
+
+def signature(tokens: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Bitmap of a set's tokens by their leading bits, and at each width up to its own how many tokens share a bit."""
+    width = min((max(len(tokens) - 1, 0) // 512).bit_length(), WIDTHS - 1)
+    bits = np.zeros(1 << (BITS + width), bool)
+    bits[(tokens >> np.uint64(64 - BITS - width)).astype(np.int64)] = True
+    sig, slack = np.packbits(bits), [0] * WIDTHS
+    for w in range(width, -1, -1):
+        slack[w] = len(tokens) - int(bits.sum())
+        bits = bits[::2] | bits[1::2]
+    return sig, slack
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
@@ -177,117 +196,236 @@ def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator
 
 
 def _compare(rows: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` found in groups of ``(task, unit, side, k, set)``.
-
-    A unit is one leaf (all rows on side 0) or a pair of leaves; a task holds several units,
-    some ``LEAF`` rows together.
-    """
+    """Links ``(a, b)`` found in groups of ``(task, unit, k, set)``; a task holds several units, all of a unit is compared."""
 
     def run(table: pa.Table) -> pa.Table:
-        unit, side, key = (table[c].to_numpy() for c in ("unit", "side", "k"))
-        order = np.lexsort((key, side, unit))
+        unit, key = table["unit"].to_numpy(), table["k"].to_numpy()
+        order = np.lexsort((key, unit))
         sets = table["set"]
         found: list[tuple[int, int]] = []
         for own in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
-            parts = [own[side[own] == s] for s in (0, 1)]
-            if not len(parts[1]):
-                parts[1] = parts[0]
-            lists = [[np.frombuffer(sets[int(i)].as_py(), np.uint64) for i in p] for p in parts]
-            if all(lists):
-                found.extend(_forest(similar(*lists, percent), key[parts[0]], key[parts[1]]))
-        return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-
-    return rows.select("task", "unit", "side", "k", "set").groupBy("task").applyInArrow(run, "a bigint, b bigint")
-
-
-_LEVELS = (["token", "band"], ["token", "band", "leaf"])
-_WORDS = [f"w{i}" for i in range(SIGNATURE_WORDS)]
-
-
-def _combined(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Nodes: OR-combined bitmap words, size range, bitmap slack, range of components."""
-    return rows.groupBy(*keys).agg(
-        *(F.bit_or(w).alias(w) for w in _WORDS),
-        F.min("least_n").alias("least_n"),
-        F.max("most_n").alias("most_n"),
-        F.max("slack").alias("slack"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-    )
+            part = [np.frombuffer(sets[int(i)].as_py(), np.uint64) for i in own]
+            found.extend(_forest(similar(part, part, percent), key[own], key[own]))
+        return _links(found)
 
+    return rows.select("task", "unit", "k", "set").groupBy("task").applyInArrow(run, "a bigint, b bigint")
 
-def _followed(pairs: DataFrame | None, nodes: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Pairs of one level's nodes below the pairs of the level above that can still hold a link."""
 
-    def side(name: str) -> DataFrame:
-        return nodes.select(*(F.col(c).alias(f"{name}_{c}") for c in nodes.columns))
+def _links(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    a, b = side("a"), side("b")
-    if pairs is None:
-        both = a.join(b, (a.a_token == b.b_token) & (b.b_band - a.a_band).isin(0, 1))
-    else:
-        above = keys[:-1]
-        both = pairs.join(a, [f"a_{c}" for c in above]).join(b, [f"b_{c}" for c in above])
-        order = [F.struct(*(f"{s}_{c}" for c in keys)) for s in "ab"]
-        both = both.where(order[0] <= order[1])
-    common = sum((F.bit_count(F.col(f"a_{w}").bitwiseAND(F.col(f"b_{w}"))) for w in _WORDS), F.lit(0))
-    most = F.least(F.col("a_slack") + common, F.col("b_slack") + common, "a_most_n", "b_most_n")
-    possible = most * (100 + percent) >= (F.col("a_least_n") + F.col("b_least_n")) * percent
-    joined = (F.col("a_low") == F.col("a_high")) & (F.col("b_low") == F.col("b_high")) & (F.col("a_low") == F.col("b_low"))
-    return both.where(possible & ~joined).select(*(f"{s}_{c}" for s in "ab" for c in keys))
 
+def _compare_leaves(rows: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between components, in groups of ``(task, unit, leaf, against, k, part, set)``.
 
-def _leaves(sets: DataFrame, percent: int) -> DataFrame:
-    """``sets`` without the sets, with ``band`` and ``leaf``."""
-    band = F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).alias("band")
-    docs = sets.select("k", "n", "pop", "sig", "least", band)
-    kinds = stage(docs.groupBy("band", "least").agg(F.count("*").alias("in_kind")), "kinds")
-    sub = F.pmod(F.xxhash64("k"), F.ceil(F.col("in_kind") / NODE))
-    docs = docs.join(kinds, ["band", "least"]).withColumn("sub", sub)
-    return docs.withColumn("leaf", F.xxhash64("band", "least", "sub"))
+    A unit holds the documents of some leaves under two nodes; ``against`` are the leaves that
+    a leaf is compared with.  Pairs of leaves that links found before have joined are passed over.
+    """
 
+    def run(table: pa.Table) -> pa.Table:
+        unit, leaf, key, part = (table[c].to_numpy() for c in ("unit", "leaf", "k", "part"))
+        sets, against = table["set"], table["against"]
+        order = np.lexsort((key, leaf, unit))
+        found: list[tuple[int, int]] = []
+        for own in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+            leaves = {int(leaf[x[0]]): x for x in np.split(own, np.flatnonzero(np.diff(leaf[own])) + 1)}
+            names, spot = np.unique(part[own], return_inverse=True)
+            place = dict(zip(own.tolist(), spot.tolist(), strict=True))
+            root = np.arange(len(names))  # of each component, after the links of this unit
+            for a, left in leaves.items():
+                for b in sorted(set(against[int(left[0])].as_py() or ())):
+                    right = leaves[b]
+                    at = [np.array([place[int(i)] for i in side]) for side in (left, right)]
+                    apart = root[at[0]][:, None] != root[at[1]][None, :]
+                    if not apart.any():
+                        continue
+                    lists = [[np.frombuffer(sets[int(i)].as_py(), np.uint64) for i in side] for side in (left, right)]
+                    for i, j in np.argwhere(similar(*lists, percent) & apart):
+                        one, other = root[at[0][i]], root[at[1][j]]
+                        if one != other:
+                            root[root == other] = one
+                            found.append((int(key[left[i]]), int(key[right[j]])))
+        return _links(found)
+
+    return rows.select("task", "unit", "leaf", "against", "k", "part", "set").groupBy("task").applyInArrow(run, "a bigint, b bigint")
+
+
+_NODE = "level int, node bigint, low bigint, high bigint, least_n bigint, most_n bigint, slack array<bigint>, sig binary"
+
+
+def _grow(table: pa.Table, level: int) -> pa.Table:
+    """Nodes of ``LEVELS`` levels, the lowest of them ``level``, over one aligned range of children."""
+    order = np.argsort(table["node"].to_numpy())
+    number, low, high, least, most = (table[c].to_numpy()[order] for c in ("node", "low", "high", "least_n", "most_n"))
+    slack = np.array(table["slack"].to_pylist(), np.int64).reshape(-1, WIDTHS)[order]
+    sigs = [np.frombuffer(table["sig"][int(i)].as_py(), np.uint8) for i in order]
+    out: list[list] = []
+    for k in range(level, level + LEVELS):
+        parent = number >> (FANOUT_BITS if k else NODE_BITS)
+        edges = np.flatnonzero(np.diff(parent, prepend=parent[0] - 1))
+        merged = []
+        for first, last in zip(edges, [*edges[1:], len(parent)], strict=True):
+            narrow = min(len(x) for x in sigs[first:last])
+            total = np.zeros(narrow, np.uint8)
+            for x in sigs[first:last]:
+                while len(x) > narrow:
+                    x = fold(x)
+                total |= x
+            merged.append(total)
+        number, sigs = parent[edges], merged
+        low, least = np.minimum.reduceat(low, edges), np.minimum.reduceat(least, edges)
+        high, most = np.maximum.reduceat(high, edges), np.maximum.reduceat(most, edges)
+        slack = np.maximum.reduceat(slack, edges, axis=0)
+        out += [[k, *x] for x in zip(number.tolist(), low.tolist(), high.tolist(), least.tolist(), most.tolist(), slack.tolist(), [x.tobytes() for x in sigs], strict=True)]
+    kinds = [pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.binary()]
+    names = [x.split(" ")[0] for x in _NODE.split(", ")]
+    return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+def _hierarchy(docs: DataFrame, top: int) -> DataFrame:
+    """Nodes ``_NODE`` of the levels 0 to ``top`` or more over documents in order of ``rank``."""
+    children = docs.select(F.col("rank").alias("node"), F.col("part").alias("low"), F.col("part").alias("high"), F.col("n").alias("least_n"), F.col("n").alias("most_n"), "slack", "sig")
+
+    def grow(lowest: int):
+        return lambda table: _grow(table, lowest)
+
+    parts, level = [], 0
+    while level <= top:
+        shift = (FANOUT_BITS if level else NODE_BITS) + FANOUT_BITS * (LEVELS - 1)
+        block = F.shiftright("node", shift).alias("block")
+        grown = children.select("*", block).groupBy("block").applyInArrow(grow(level), _NODE)
+        parts.append(stage(grown, "nodes"))
+        level += LEVELS
+        children = parts[-1].where(F.col("level") == level - 1).drop("level")
+    nodes = parts[0]
+    for part in parts[1:]:
+        nodes = nodes.unionAll(part)
+    return nodes
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` of nodes ``(a, b)`` that can still hold a link between two components."""
+    for side in "ab":
+        columns = [F.col(c).alias(f"{side}_{c}") for c in nodes.columns if c not in ("level", "node")]
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *columns), side)
+    pairs = pairs.where(~((F.col("a_low") == F.col("b_low")) & (F.col("a_high") == F.col("b_high")) & (F.col("a_low") == F.col("a_high"))))
+    # sizes alone rule out many
+    pairs = pairs.where(F.least("a_most_n", "b_most_n") * (100 + percent) >= (F.col("a_least_n") + F.col("b_least_n")) * percent)
 
-def _packed(units: DataFrame, rows: int) -> DataFrame:
-    return units.withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(rows // LEAF + 1)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, len(whole), 1024):
+                batch = whole.slice(first, 1024)
+                sigs = [batch[f"{side}_sig"] for side in "ab"]
+                sizes = np.array([[len(x.as_buffer()) for x in column] for column in sigs]).reshape(2, -1)
+                slack = [np.array(batch[f"{side}_slack"].to_pylist(), np.int64).reshape(-1, WIDTHS) for side in "ab"]
+                n = {c: batch[c].to_numpy() for c in ("a_least_n", "a_most_n", "b_least_n", "b_most_n")}
+                keep = np.zeros(len(batch), bool)
+                for own in np.unique(sizes, axis=1).T:
+                    at = np.flatnonzero((sizes == own[:, None]).all(0))
+                    wide = [np.stack([np.frombuffer(column[int(i)].as_buffer(), np.uint8) for i in at]) for column in sigs]
+                    for k in (0, 1):
+                        while wide[k].shape[1] > min(own):
+                            wide[k] = fold(wide[k])
+                    common = np.bitwise_count(wide[0] & wide[1]).sum(1, dtype=np.int64)
+                    w = int(min(own) * 8).bit_length() - 1 - BITS
+                    most = np.minimum(np.minimum(slack[0][at, w], slack[1][at, w]) + common, np.minimum(n["a_most_n"][at], n["b_most_n"][at]))
+                    keep[at] = most * (100 + percent) >= (n["a_least_n"][at] + n["b_least_n"][at]) * percent
+                yield batch.filter(pa.array(keep)).select(["token", "a", "b"])
+
+    return pairs.mapInArrow(run, "token bigint, a bigint, b bigint")
+
+
+def _ranked(docs: DataFrame, order: list[str]) -> DataFrame:
+    """``docs`` with ``rank``, their place in the order; ranges are counted, no task sees more than one."""
+    laid = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    laid = stage(laid.withColumn("range", F.shiftright("at", 33)), "ordered")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy("range").agg(F.count("*").alias("size"), F.min("at").alias("first"))  # a row per range
+    sizes = sizes.select("range", "first", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    return laid.join(sizes, "range").withColumn("rank", F.col("offset") + F.col("at") - F.col("first")).drop("range", "at", "first", "offset")
+
+
+def _open_pairs(spots: DataFrame, nodes_to, percent: int) -> DataFrame:
+    """Pairs of leaves ``(a, b)`` that hold a common token and can hold a link between components.
+
+    ``spots`` has the leaves ``(token, node)`` of each token, ``nodes_to(level)`` gives the
+    nodes up to a level.
+    """
+    levels = [spots]
+    rooted = []
+    while True:
+        many = levels[-1].groupBy("token").agg((F.count("*") > FANOUT).alias("many"))
+        rooted.append(stage(many, "rooted"))
+        above = rooted[-1].where("many").select("token")
+        if not above.limit(1).count():
+            break
+        up = levels[-1].join(above, "token").select("token", F.shiftright("node", FANOUT_BITS).alias("node")).distinct()
+        levels.append(stage(up, "spots"))
+    nodes = nodes_to(len(levels) - 1)
+    pairs = None
+    for level in range(len(levels) - 1, -1, -1):
+        own = levels[level].join(rooted[level].where("not many").select("token"), "token")
+        a, b = own.select("token", F.col("node").alias("a")), own.select("token", F.col("node").alias("b"))
+        both = a.join(b, "token").where("a <= b")
+        if pairs is not None:
+            below = levels[level].withColumn("up", F.shiftright("node", FANOUT_BITS))
+            a = below.select("token", F.col("up").alias("up_a"), F.col("node").alias("a"))
+            b = below.select("token", F.col("up").alias("up_b"), F.col("node").alias("b"))
+            down = pairs.select("token", F.col("a").alias("up_a"), F.col("b").alias("up_b")).join(a, ["token", "up_a"]).join(b, ["token", "up_b"])
+            both = both.unionAll(down.where("a <= b").select("token", "a", "b"))
+        if level == 0:  # the same two leaves are compared once, whatever they share
+            both = both.groupBy("a", "b").agg(F.min("token").alias("token"))
+        pairs = stage(_possible(both.select("token", "a", "b"), nodes.where(F.col("level") == level), percent), "pairs")
+    return pairs.select("a", "b")
+
+
+def _weight() -> F.Column:
+    """Documents' share of a task's memory, in sets of 512 shingles."""
+    return F.greatest(F.col("n"), F.lit(512)) / 512
+
+
+def _packed(units: DataFrame) -> DataFrame:
+    """Units dealt to tasks of some ``LEAF`` sets each."""
+    total = units.agg(F.sum(_weight())).first()[0] or 0
+    return units.withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(int(total) // LEAF + 1)))
 
 
 def _tree_links(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Links among documents with sets, given the rare tokens ``(k, token)`` of each."""
-    docs = stage(_leaves(sets, percent), "leaves")
+    """Links among documents with sets, given the rare tokens ``(k, token, df)`` of each."""
     same = ["k", "n", "least"]
     # near copies mostly agree in their smallest or in their largest shingle
     kind = F.explode(F.array(F.xxhash64(F.lit(0), "least"), F.xxhash64(F.lit(1), "most")))
     kinds = sets.select(*same, kind.alias("kind"))
-    sizes = stage(kinds.groupBy("kind").agg(F.count("*").alias("size")).where("size > 1"), "kinds")
-    several = kinds.join(sizes, "kind").withColumn("part", F.pmod(F.xxhash64("k"), F.ceil(F.col("size") / LEAF)))
+    sizes = stage(kinds.groupBy("kind").agg(F.count("*").alias("size"), F.sum(_weight()).alias("weight")).where("size > 1"), "kinds")
+    several = kinds.join(sizes, "kind").withColumn("part", F.pmod(F.xxhash64("k"), F.ceil(F.col("weight") / LEAF)))
     several = several.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(-1)))).where("shift = 0 or part > 0")
     several = stage(several.select(*same, F.xxhash64("kind", F.col("part") + F.col("shift")).alias("unit")), "several")
-    near = sets.select(*same, "set").join(several.hint("merge"), same).select("unit", F.lit(0).alias("side"), "k", "set")
-    links = stage(_compare(_packed(near, several.count()), percent), "leaf-links")
+    near = sets.select(*same, "set").join(_packed(several).hint("merge"), same)
+    links = stage(_compare(near, percent), "near-links")
+
     known = connected_components(links).select(F.col("id").alias("k"), F.col("component").alias("part"))
-    parts = docs.join(known, "k", "left").withColumn("part", F.coalesce("part", "k"))
-    each = parts.select(
-        "band", "leaf", *(F.col("sig")[i].alias(w) for i, w in enumerate(_WORDS)),
-        F.col("n").alias("least_n"), F.col("n").alias("most_n"), (F.col("n") - F.col("pop")).alias("slack"), F.col("part").alias("low"), F.col("part").alias("high"),
-    )
-    nodes = stage(_combined(each, ["band", "leaf"]), "nodes")
-    spots = stage(tokens.join(docs.select("k", "leaf"), "k").select("token", "leaf").distinct(), "spots")
-    narrow = spots.join(nodes.select("leaf", "low", "high"), "leaf")
-    content = [F.count("*").alias("n"), F.sum(F.col("leaf").cast("decimal(38,0)")).alias("total"), F.bit_xor("leaf").alias("odd")]
-    open_ = narrow.groupBy("token").agg(F.min("low").alias("first"), F.max("high").alias("last"), *content).where("first < last")
-    # shingles of one passage have the same leaves: one tree stands for all of them
-    open_ = open_.groupBy("n", "total", "odd").agg(F.min("token").alias("token"))
-    trees = stage(spots.join(open_.select("token"), "token", "left_semi").join(nodes, "leaf"), "trees")
-    pairs = None
-    for keys in _LEVELS:
-        pairs = _followed(pairs, _combined(trees, keys), keys, percent)
-    pairs = stage(pairs.select("a_leaf", "b_leaf").distinct(), "pairs")
-    unit = F.xxhash64("a_leaf", "b_leaf").alias("unit")
-    ends = pairs.select(unit, F.posexplode(F.array("a_leaf", "b_leaf")).alias("side", "leaf"))
-    rest = ends.join(docs.select("leaf", *same), "leaf")
-    packed = stage(_packed(rest, rest.count()), "ends")
-    rest = sets.select(*same, "set").join(packed.hint("merge"), same)
-    return links.unionAll(_compare(rest, percent))
+    parts = sets.select(*same, "slack", "sig").join(known, "k", "left").withColumn("part", F.coalesce("part", "k"))
+    large = known.groupBy("part").agg(F.count("*").alias("size")).where(F.col("size") >= 1 << NODE_BITS).select("part", F.col("part").alias("cluster"))
+    hottest = tokens.groupBy("k").agg(F.max(F.struct("df", "token"))["token"].alias("segment"))
+    docs = parts.join(large, "part", "left").join(hottest, "k")
+    docs = stage(_ranked(docs, ["segment", "cluster", "n", "least", "k"]), "documents").withColumn("leaf", F.shiftright("rank", NODE_BITS))
+
+    held = stage(tokens.join(docs.select("k", "leaf", "part"), "k").select("token", "leaf", "part"), "held")
+    content = [F.count("*").alias("n"), F.sum(F.col("leaf").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("leaf")).alias("odd")]
+    leaves = held.groupBy("token", "leaf").agg(F.min("part").alias("first"), F.max("part").alias("last"))
+    open_ = leaves.groupBy("token").agg(F.min("first").alias("first"), F.max("last").alias("last"), *content).where("first < last")
+    # shingles of one passage have the same leaves: one stands for all of them
+    open_ = open_.groupBy("n", "total", "odd").agg(F.min("token").alias("token")).select("token")
+    spots = stage(held.join(open_, "token", "left_semi").select("token", F.col("leaf").alias("node")).distinct(), "spots")
+    pairs = _open_pairs(spots, lambda top: _hierarchy(docs, top), percent)
+
+    unit = F.xxhash64(F.shiftright("a", FANOUT_BITS), F.shiftright("b", FANOUT_BITS)).alias("unit")
+    ends = pairs.select(unit, "a", F.explode(F.array_distinct(F.array("a", "b"))).alias("leaf"), "b")
+    ends = ends.groupBy("unit", "leaf").agg(F.collect_set(F.when(F.col("leaf") == F.col("a"), F.col("b"))).alias("against"))
+    rest = _packed(stage(ends.join(docs.select("leaf", "part", *same), "leaf"), "ends"))
+    rest = sets.select(*same, "set").join(rest.hint("merge"), same)
+    return links.unionAll(_compare_leaves(rest, percent))
 
 
 def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -308,8 +446,8 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, text: str
     )
     reps = stage(reps, "representatives")
     prefix = stage(_prefix(reps, percent, counted), "prefix")
-    shared = prefix.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    tokens = stage(prefix.join(shared, "token").select(F.col("rep").alias("k"), "token"), "rare-tokens")
+    shared = prefix.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    tokens = stage(prefix.join(shared, "token").select(F.col("rep").alias("k"), "token", "df"), "rare-tokens")
     members = stage(tokens.select("k").distinct(), "members")
     sets = stage(_candidate_sets(rows, members, width), "sets")
     found = connected_components(_tree_links(sets, tokens, percent))
