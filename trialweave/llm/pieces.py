@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm.words import Hasher, text_slices
+from trialweave.llm.workers import giving_back
 
 META = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -370,7 +371,7 @@ def _with_model(docs: DataFrame, blob: bytes, rows, fields: list[pa.Field], sche
                 yield pa.RecordBatch.from_arrays([part["k"], *arrays], [key, *(f.name for f in fields)])
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}"
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(giving_back(run), schema)
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", key: str = "doc_id", decoded: str | None = None) -> DataFrame:

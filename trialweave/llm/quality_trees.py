@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm.words import NEWLINE, SPACE, Hasher, mix, runs, shingles, text_slices
+from trialweave.llm.workers import giving_back
 
 _CLASSES = np.full(256, 6, np.int64)  # other ASCII
 _CLASSES[ord("a") : ord("z") + 1] = 0
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 yield pa.RecordBatch.from_arrays([part["k"], part["y"], values], ["k", "y", "x"])
 
     schema = f"k {docs.schema[key].dataType.simpleString()}, y double, x array<double>"
-    table = rows.select("k", "y", "text").mapInArrow(measure, schema).toArrow().sort_by("k")
+    table = rows.select("k", "y", "text").mapInArrow(giving_back(measure), schema).toArrow().sort_by("k")
     if not len(table):
         return fit_trees(np.zeros((0, 1)), np.zeros(0))
     x = np.array(table["x"].to_pylist())
@@ -187,7 +188,7 @@ def score(docs: DataFrame, model: Trees, text: str = "text", key: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([part["k"], pa.array(values)], [key, "score"])
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, score double"
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(giving_back(run), schema)
 
 
 def keep(docs: DataFrame, model: Trees, threshold: float = 0.7, text: str = "text") -> DataFrame:
@@ -199,4 +200,4 @@ def keep(docs: DataFrame, model: Trees, threshold: float = 0.7, text: str = "tex
             for part, data, offsets in text_slices(batch, text):
                 yield part.filter(pa.array(model.score(statistics(data, offsets, hasher)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

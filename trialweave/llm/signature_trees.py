@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from trialweave.llm.components import connected_components
 from trialweave.llm.filters import may_match, shown_key, whole_key
 from trialweave.llm.words import LOWER, SPACE, Hasher, mix, runs, shingles, text_slices
+from trialweave.llm.workers import giving_back
 from trialweave.sources.stages import stage
 
 #: Documents that are compared together before the trees are built.
@@ -91,7 +92,7 @@ def _sketch(docs: DataFrame, width: int, percent: int, counted: int) -> DataFram
                     ["k", "n", "digest", "counted", "tokens"],
                 )
 
-    return docs.mapInArrow(run, "k bigint, n bigint, digest binary, counted bigint, tokens array<bigint>")
+    return docs.mapInArrow(giving_back(run), "k bigint, n bigint, digest binary, counted bigint, tokens array<bigint>")
 
 
 def _prefix(reps: DataFrame, percent: int, counted: int) -> DataFrame:
@@ -135,7 +136,7 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFram
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["k", "n", "least", "most", "slack", "sig", "set"])
 
-    return rows.mapInArrow(run, "k bigint, n bigint, least bigint, most bigint, slack array<bigint>, sig binary, set binary")
+    return rows.mapInArrow(giving_back(run), "k bigint, n bigint, least bigint, most bigint, slack array<bigint>, sig binary, set binary")
 
 
 def fold(sig: np.ndarray) -> np.ndarray:
@@ -333,7 +334,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                     keep[at] = most * (100 + percent) >= (n["a_least_n"][at] + n["b_least_n"][at]) * percent
                 yield batch.filter(pa.array(keep)).select(["token", "a", "b"])
 
-    return pairs.mapInArrow(run, "token bigint, a bigint, b bigint")
+    return pairs.mapInArrow(giving_back(run), "token bigint, a bigint, b bigint")
 
 
 def _ranked(docs: DataFrame, order: list[str]) -> DataFrame:
