@@ -87,7 +87,7 @@ def test_whole_study_runs(spark, tmp_path):
     params = Params(
         rules=rules, window_h=48,
         denominator_terms=("strategy", "age", "vaso_flag_last1h"),
-        reg_param=1e-4,
+        ridge=1e-4,
     )
     tables = dict(proxies.tables(spark, "/root/testdata/sf0.1"))
     result = Study(tables, params, ("event_id",)).run(str(tmp_path))

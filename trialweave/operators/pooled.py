@@ -34,17 +34,24 @@ def saturated_hazard(days: DataFrame, by: Sequence[str] = ("strategy", "day")) -
 
 
 def logistic_hazard(
-    days: DataFrame, weight: str = "w", arm: str = "strategy", interaction: bool = False, reg_param: float = 0.0
+    days: DataFrame, weight: str = "w", arm: str = "strategy", terms: Sequence[str] = (), interaction: bool = False, ridge: float = 0.0
 ) -> DataFrame:
     """Hazard per arm and day from a weighted pooled logistic model with a day factor.
 
-    Person-days are merged to one weighted row per arm, day and outcome before the fit.
+    Without ``terms``, person-days are merged to one weighted row per arm, day and outcome
+    before the fit, and with ``interaction`` the model is saturated.  With covariate ``terms``
+    the hazards are standardised: the mean over all person-days of a day, with the arm set to
+    each arm in turn.
     """
-    terms = [f"{arm}:factor_day"] if interaction else []
-    model = censor_model(
-        days, (arm,), ("day",), "died", weight=weight, reg_param=reg_param, interactions=terms, merge=True
-    )
-    return predict_hazard(days.select(arm, "day").distinct(), model, "hazard")
+    if interaction and not terms:
+        return saturated_hazard(days.withColumnRenamed(weight, "w"), (arm, "day"))
+    model = censor_model(days, (arm, *terms), "day", "died", weight=weight, ridge=ridge, merge=not terms)
+    cells = days.select(arm, "day").distinct()
+    if not terms:
+        return predict_hazard(cells, model, "hazard")
+    arms = F.explode(F.array(*[F.lit(a) for a in model.levels[arm]])).alias(arm)
+    both = predict_hazard(days.select("day", weight, *terms, arms), model, "p").filter(F.col("p").isNotNull())
+    return both.groupBy(arm, "day").agg((F.sum(F.col(weight) * F.col("p")) / F.sum(weight)).alias("hazard"))
 
 
 def curve(hazard: DataFrame, arm: str = "strategy", day: str = "day") -> DataFrame:

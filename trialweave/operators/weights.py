@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import replace
 
-from pyspark import StorageLevel
-from pyspark.ml.feature import RFormula
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from trialweave.functions.exprs import clamp
 from trialweave.functions.running import exact_quantiles
+from trialweave.operators.logit import LogitModel, ModelSpec, fit_models, predicted
 from trialweave.sources.stages import stage
 
 # Terms of the two censoring models, beside the hour factor.
@@ -29,99 +25,43 @@ NUMERATOR_TERMS = ("strategy",)
 LOWER_TAIL, UPPER_TAIL = 0.01, 0.99
 
 
-@dataclass(frozen=True)
-class HazardModel:
-    """A fitted pooled logistic model and the columns a row needs to be predicted."""
+def censor_models(df: DataFrame, specs: Sequence[ModelSpec], merge: bool = False) -> list[LogitModel]:
+    """Pooled logistic regressions over clone-hours, fitted together; see ``logit.fit_models``.
 
-    features: object
-    regression: object
-    needed: tuple[str, ...]
-    factors: tuple[str, ...]
-    # Levels that the fit has seen, of factors and of text terms.
-    levels: Mapping[str, tuple]
-    converged: bool = True
-
-
-def _with_factors(df: DataFrame, factors: Sequence[str]) -> DataFrame:
-    return df.withColumns({f"factor_{c}": F.col(c).cast("string") for c in factors})
+    ``merge`` first counts equal rows and fits on the counts, which has the same likelihood;
+    use it when all terms are discrete.  ``df`` should be a stage.
+    """
+    if not merge:
+        return fit_models(df, specs)
+    if len({(s.label, s.weight) for s in specs}) != 1:
+        raise ValueError("merged models need the same label and weight")
+    first = specs[0]
+    columns = list(dict.fromkeys(c for s in specs for c in (*s.terms, *([s.factor] if s.factor else []), s.label)))
+    size = F.sum(first.weight) if first.weight else F.count(F.lit(1)).cast("double")
+    counted = stage(df.groupBy(*columns).agg(size.alias("__rows")), "merged-rows")
+    fitted = fit_models(counted, [replace(s, weight="__rows") for s in specs])
+    return [replace(m, spec=s) for m, s in zip(fitted, specs, strict=True)]
 
 
 def censor_model(
     df: DataFrame,
     terms: Sequence[str],
-    factors: Sequence[str] = ("hour_index",),
+    factor: str | None = "hour_index",
     label: str = "censor_k_total",
     weight: str | None = None,
-    reg_param: float = 0.0,
-    interactions: Sequence[str] = (),
+    ridge: float = 0.0,
     merge: bool = False,
-    max_iter: int = 30,
-    tol: float = 1e-8,
-) -> HazardModel:
-    """Pooled logistic regression over clone-hours; rows with a missing term do not take part.
+) -> LogitModel:
+    """One such model."""
+    return censor_models(df, [ModelSpec(tuple(terms), factor, label, weight, ridge)], merge)[0]
 
-    ``factors`` are dummy-coded, ``interactions`` are extra formula terms such as ``a:b``.
-    ``merge`` first counts equal rows and fits on the counts, which has the same likelihood;
-    use it when all terms are discrete.  A small ``reg_param`` keeps coefficients finite where some hours hold no censoring.
-    ``df`` should be a stage.  The feature vectors are kept for the iterations of the fit and
-    are rebuilt from that stage if an executor is lost.
-    """
-    needed = (*terms, *factors)
-    columns = [*needed, label, *([weight] if weight else [])]
-    complete = df.select(*columns).dropna(subset=list(columns))
-    if merge:
-        size = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
-        weight = weight or "__rows"
-        complete = stage(complete.groupBy(*needed, label).agg(size.alias(weight)), "merged-rows")
-    complete = _with_factors(complete, factors)
-    right = " + ".join([*terms, *[f"factor_{c}" for c in factors], *interactions])
-    texts = [c for c in needed if c in factors or isinstance(df.schema[c].dataType, StringType)]
-    seen = complete.agg(*[F.collect_set(c).alias(c) for c in texts]).first().asDict() if texts else {}
-    formula = RFormula(formula=f"{label} ~ {right}", featuresCol="features", labelCol="label")
-    features = formula.fit(complete)
-    kept = ["features", "label", *([weight] if weight else [])]
-    cached = features.transform(complete).select(*kept).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = cached
-    if weight:
-        # The iterations start from weighted frequencies; large weights would start them at
-        # probabilities of almost 0 or 1, from where they may diverge.  The scale of the
-        # weights does not change the estimates.
-        largest = rows.agg(F.max(weight)).first()[0]
-        rows = rows.withColumn(weight, F.col(weight) / F.lit(largest))
-    try:
-        glm = GeneralizedLinearRegression(
-            family="binomial", link="logit", maxIter=max_iter, tol=tol, regParam=reg_param
-        )
-        if weight:
-            glm = glm.setWeightCol(weight)
-        fitted = glm.fit(rows)
-    finally:
-        cached.unpersist()
-    converged = fitted.summary.numIterations < max_iter
-    if not converged:
-        warnings.warn(f"the fit of {label} stopped after {max_iter} iterations without converging", stacklevel=2)
-    return HazardModel(features, fitted, needed, tuple(factors), {c: tuple(v) for c, v in seen.items()}, converged)
-
-
-def predict_hazard(df: DataFrame, model: HazardModel, name: str) -> DataFrame:
-    """Add the predicted probability, in one pass.
+
+def predict_hazard(df: DataFrame, model: LogitModel, name: str) -> DataFrame:
+    """Add the predicted probability, a column expression.
 
     Rows with a missing term, or a level that the fit has not seen, have a NULL prediction.
     """
-    known, filled = F.lit(True), {}
-    for c in model.needed:
-        ok = F.col(c).isNotNull()
-        if c in model.levels:
-            ok = ok & F.col(c).isin(*model.levels[c])
-            stand_in = F.lit(model.levels[c][0] if model.levels[c] else None)
-        else:
-            stand_in = F.lit(0)
-        known = known & F.coalesce(ok, F.lit(False))
-        filled[c] = F.when(ok, F.col(c)).otherwise(stand_in.cast(df.schema[c].dataType))
-    rows = df.select(F.struct(*df.columns).alias("__row"), known.alias("__known"), *[v.alias(c) for c, v in filled.items()])
-    scored = model.regression.transform(model.features.transform(_with_factors(rows, model.factors)))
-    prediction = F.when(F.col("__known"), F.col("prediction"))
-    return scored.select("__row.*", prediction.alias(name))
+    return df.withColumn(name, predicted(model))
 
 
 def cell_hazards(

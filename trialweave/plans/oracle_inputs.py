@@ -9,30 +9,31 @@ from __future__ import annotations
 from trialweave.plans.registry import cte
 
 cte("ev", """
-SELECT event_id, ts, user_id, event_type, value,
-       user_id * 100 + date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 AS stay_id
-FROM events""")
+SELECT event_id, make_timestamp(opens + (epoch_us(ts) - opens) // 8) AS ts, user_id, user_id * 2 + part % 2 AS subject_id,
+       event_type, value, user_id * 100 + part AS stay_id
+FROM (SELECT *, epoch_us(TIMESTAMP '2024-01-01') + part * 1209600000000 AS opens
+      FROM (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 14 AS part FROM events) w) m""")
 
 cte("units", """
-SELECT e.stay_id, e.user_id AS subject_id, e.stay_id AS hadm_id, e.intime, e.outtime,
+SELECT e.stay_id, e.user_id, e.subject_id, e.stay_id AS hadm_id, e.intime, e.outtime,
        CAST(10 + e.user_id % 80 AS DOUBLE) AS age,
        if(c.c_nationkey % 2 = 0, 'F', 'M') AS gender,
        'R' || CAST(c.c_nationkey % 5 AS VARCHAR) AS race,
        (epoch_us(e.outtime) - epoch_us(e.intime)) / 86400000000.0 AS los_icu
-FROM (SELECT stay_id, user_id, min(ts) AS intime, max(ts) AS outtime FROM ev GROUP BY stay_id, user_id) e
+FROM (SELECT stay_id, user_id, subject_id, min(ts) AS intime, max(ts) AS outtime FROM ev GROUP BY stay_id, user_id, subject_id) e
 LEFT JOIN customer c ON c.c_custkey = e.user_id""")
 
 cte("adm", """
 SELECT u.hadm_id, c.c_mktsegment AS insurance, u.intime - INTERVAL 24 HOUR AS admittime,
        CASE WHEN d.died >= u.intime THEN d.died END AS deathtime
 FROM units u
-LEFT JOIN (SELECT user_id, max(ts) AS died FROM events WHERE event_type = 'signup' AND value > 100 GROUP BY user_id) d
-  ON d.user_id = u.subject_id
-LEFT JOIN customer c ON c.c_custkey = u.subject_id""")
+LEFT JOIN (SELECT user_id, max(ts) AS died FROM ev WHERE event_type = 'signup' AND value > 100 GROUP BY user_id) d
+  ON d.user_id = u.user_id
+LEFT JOIN customer c ON c.c_custkey = u.user_id""")
 
 cte("infection", """
 SELECT stay_id, min(ts) AS suspected_infection_time, stay_id % 11 <> 0 AS sepsis3
-FROM ev WHERE event_type = 'signup' GROUP BY stay_id""")
+FROM ev WHERE event_type <> 'error' GROUP BY stay_id""")
 
 cte("wt", """
 SELECT stay_id, intime - INTERVAL 1 HOUR AS starttime,
@@ -43,7 +44,7 @@ FROM units""")
 cte("icd", """
 SELECT o_custkey AS subject_id,
        CASE o_orderstatus WHEN 'P' THEN 10 WHEN 'F' THEN 9 END AS icd_version,
-       o_orderpriority || '/' || CAST(o_orderkey % 4 AS VARCHAR) AS icd_code
+       o_orderpriority || '/' || CAST(o_orderkey % 16 AS VARCHAR) AS icd_code
 FROM orders""")
 
 cte("stg", """
@@ -52,11 +53,11 @@ SELECT stay_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, event_id,
 FROM ev WHERE event_type = 'error'""")
 
 cte("drug", """
-SELECT stay_id, CASE WHEN event_id % 41 <> 0 THEN ts END AS starttime, event_id,
-       CASE WHEN event_id % 10 <> 0 THEN ts + to_seconds(CAST(round(value * 600) AS BIGINT)) END AS endtime,
-       CASE WHEN event_id % 4 <> 0 THEN value / 100 END AS dose,
+SELECT stay_id, CASE WHEN event_id % 41 <> 0 THEN ts - INTERVAL 1 HOUR END AS starttime, event_id,
+       CASE WHEN event_id % 10 <> 0 THEN ts + to_seconds(CAST(round(value * 1200) AS BIGINT)) END AS endtime,
+       CASE WHEN event_id % 12 <> 0 THEN value / 100 END AS dose,
        CASE WHEN event_id % 8 = 4 THEN value / 50 END AS vasopressin
-FROM ev WHERE event_type = 'click'""")
+FROM ev WHERE event_type <> 'error'""")
 
 cte("drug_on", "SELECT * FROM drug WHERE coalesce(dose, 0) > 0 OR coalesce(vasopressin, 0) > 0")
 
@@ -65,27 +66,27 @@ SELECT stay_id, CASE WHEN event_id % 41 <> 0 THEN ts END AS starttime, ts + to_s
 FROM ev WHERE event_type = 'view' AND event_id % 2 = 0""")
 
 cte("rrt", """
-SELECT stay_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, CASE WHEN event_id % 10 = 0 THEN 1 END AS dialysis_present,
-       CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS dialysis_active
+SELECT stay_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, CASE WHEN event_id % 20 = 0 THEN 1 END AS dialysis_present,
+       CASE WHEN event_id % 22 = 0 THEN 1 ELSE 0 END AS dialysis_active
 FROM ev WHERE event_type = 'purchase'""")
 
 cte("crrt", """
-SELECT stay_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, event_id, event_id % 2 AS system_active,
-       CASE WHEN event_id % 3 = 0 THEN 'CVVH' END AS crrt_mode
+SELECT stay_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, event_id, CAST(event_id % 14 = 1 AS INTEGER) AS system_active,
+       CASE WHEN event_id % 18 = 0 THEN 'CVVH' END AS crrt_mode
 FROM ev WHERE event_type = 'purchase'""")
 
 cte("vital", """
 SELECT stay_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, event_id, 60 + value / 10 AS hr, 100 + value / 5 AS sbp, 50 + value / 8 AS dbp,
-       CASE WHEN event_id % 5 <> 0 THEN 40 + value END AS mbp, 10 + value / 20 AS rr,
+       CASE WHEN event_id % 15 <> 0 THEN 40 + value END AS mbp, 10 + value / 20 AS rr,
        CASE WHEN event_id % 3 <> 0 THEN 90 + value / 100 END AS spo2, 36 + value / 200 AS temp_c
-FROM ev WHERE event_type = 'click'""")
+FROM ev""")
 
 cte("lab", """
 SELECT stay_id AS hadm_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, event_id, 130 + value / 50 AS na, 95 + value / 40 AS cl,
-       3 + value / 100 AS k, CASE WHEN event_id % 7 <> 0 THEN 20 + value / 20 END AS hco3, 1 + value / 50 AS scr,
-       10 + value / 4 AS bun, 7 + value / 1000 AS ph, CASE WHEN event_id % 6 <> 0 THEN value / 10 END AS lactate,
-       40 + value AS pao2, CASE WHEN event_id % 9 <> 0 THEN CAST(event_id % 8 AS DOUBLE) / 10 END AS fio2
-FROM ev WHERE event_type IN ('view', 'error')""")
+       3 + event_id * 3 % 23 / 10.0::DOUBLE AS k, CASE WHEN event_id % 7 <> 0 THEN 20 + value / 20 END AS hco3, 1 + value / 50 AS scr,
+       10 + value / 4 AS bun, 7 + event_id * 5 % 11 / 20.0::DOUBLE AS ph, CASE WHEN event_id % 18 <> 0 THEN event_id * 7 % 50 / 5.0::DOUBLE END AS lactate,
+       40 + value AS pao2, CASE WHEN event_id % 27 <> 0 THEN CAST(event_id % 16 AS DOUBLE) / 20 END AS fio2
+FROM ev WHERE event_type IN ('view', 'error', 'signup')""")
 
 cte("urine", "SELECT stay_id, CASE WHEN event_id % 37 <> 0 THEN ts END AS charttime, 10 * value AS urineoutput FROM ev WHERE event_type IN ('purchase', 'signup')")
 

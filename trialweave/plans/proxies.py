@@ -1,6 +1,8 @@
 """Proxy inputs of the study over the synthetic test tables.
 
-``stay_id`` is a user's week; every rule below is repeated, independently, in the SQL oracle.
+``stay_id`` is a user's fortnight, with its time run eight times as fast so that an hour holds
+enough events; ``subject_id`` joins every second fortnight of a user.  Every rule below is repeated,
+independently, in the SQL oracle.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from trialweave.sources.tables import TableSpec, read_input
 
 # Fixed values of the proxies: first day of the events, and the excluded codes.
 START = "2024-01-01 00:00:00"
+PART_DAYS, SPEED = 14, 8
 CODES = {10: ("1-URGENT/0",), 9: ("2-HIGH/1", "5-LOW/2")}
 
 
@@ -30,14 +33,18 @@ def _seconds(n: Column) -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    week = floor_div(micros_between(F.lit(START).cast("timestamp_ntz"), "ts"), 7 * DAY_US)
+    start = F.lit(START).cast("timestamp_ntz")
+    since = micros_between(start, "ts")
+    part = floor_div(since, PART_DAYS * DAY_US)
+    opens = part * (PART_DAYS * DAY_US)
     return load(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value", (F.col("user_id") * 100 + week).alias("stay_id")
+        "event_id", F.timestamp_add("MICROSECOND", opens + floor_div(since - opens, SPEED), start).alias("ts"), "user_id",
+        (F.col("user_id") * 2 + part % 2).alias("subject_id"), "event_type", "value", (F.col("user_id") * 100 + part).alias("stay_id"),
     )
 
 
 def units(ev: DataFrame, customer: DataFrame) -> DataFrame:
-    spans = ev.groupBy("stay_id", "user_id").agg(F.min("ts").alias("intime"), F.max("ts").alias("outtime"))
+    spans = ev.groupBy("stay_id", "user_id", "subject_id").agg(F.min("ts").alias("intime"), F.max("ts").alias("outtime"))
     people = customer.select(
         F.col("c_custkey").alias("user_id"),
         F.when(F.col("c_nationkey") % 2 == 0, "F").otherwise("M").alias("gender"),
@@ -45,7 +52,7 @@ def units(ev: DataFrame, customer: DataFrame) -> DataFrame:
     )
     return spans.join(people, "user_id", "left").select(
         "stay_id",
-        F.col("user_id").alias("subject_id"),
+        "subject_id",
         F.col("stay_id").alias("hadm_id"),
         "intime",
         "outtime",
@@ -104,14 +111,16 @@ def tables(spark: SparkSession, sf_dir: str) -> Inputs:
     # some times are unknown
     charted = F.when(i % 37 != 0, ts).alias("charttime")
     started = F.when(i % 41 != 0, ts).alias("starttime")
+    # drugs run for an hour when they are charted
+    running = F.when(i % 41 != 0, plus_hours(ts, -1)).alias("starttime")
     point = [F.col("stay_id"), charted, i]
     episode = [F.col("stay_id").alias("hadm_id"), charted, i]
-    rate = F.when(i % 4 != 0, v / 100)
-    drug_end = F.when(i % 10 != 0, ts + _seconds(F.round(v * 600)))
+    rate = F.when(i % 12 != 0, v / 100)
+    drug_end = F.when(i % 10 != 0, ts + _seconds(F.round(v * 1200)))
     return Inputs({
         "units": lambda: units(ev, customer),
         "admissions": lambda: admissions(ev, customer),
-        "sepsis3": lambda: _of(ev, "signup").groupBy("stay_id").agg(F.min("ts").alias("suspected_infection_time")).withColumn(
+        "sepsis3": lambda: _of(ev, "signup", "view", "click", "purchase").groupBy("stay_id").agg(F.min("ts").alias("suspected_infection_time")).withColumn(
             "sepsis3", F.col("stay_id") % 11 != 0
         ),
         "weight_durations": lambda: units(ev, customer).select(
@@ -123,7 +132,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Inputs:
         "diagnoses_icd": lambda: load(spark, sf_dir, "orders").select(
             F.col("o_custkey").alias("subject_id"),
             F.when(F.col("o_orderstatus") == "P", 10).when(F.col("o_orderstatus") == "F", 9).alias("icd_version"),
-            F.concat(F.col("o_orderpriority"), F.lit("/"), (F.col("o_orderkey") % 4).cast("string")).alias("icd_code"),
+            F.concat(F.col("o_orderpriority"), F.lit("/"), (F.col("o_orderkey") % 16).cast("string")).alias("icd_code"),
         ),
         "kdigo_stages": lambda: _of(ev, "error").select(
             *point,
@@ -131,53 +140,53 @@ def tables(spark: SparkSession, sf_dir: str) -> Inputs:
             (1 + i % 3).cast("int").alias("aki_stage_uo"),
             (1 + floor_div(i, 3) % 3).cast("int").alias("aki_stage_creat"),
         ),
-        "vasoactive_agent": lambda: _of(ev, "click").select(
-            "stay_id", started, drug_end.alias("endtime"), i,
+        "vasoactive_agent": lambda: _of(ev, "click", "purchase", "view", "signup").select(
+            "stay_id", running, drug_end.alias("endtime"), i,
             rate.alias("norepinephrine"),
             F.when(i % 8 == 0, F.lit(0.0)).alias("epinephrine"),
             F.lit(None).cast("double").alias("phenylephrine"),
             F.when(i % 8 == 4, v / 50).alias("vasopressin"),
             F.lit(None).cast("double").alias("dopamine"),
         ),
-        "norepinephrine_equivalent_dose": lambda: _of(ev, "click").select(
-            "stay_id", started, drug_end.alias("endtime"), i, rate.alias("norepinephrine_equivalent_dose")
+        "norepinephrine_equivalent_dose": lambda: _of(ev, "click", "purchase", "view", "signup").select(
+            "stay_id", running, drug_end.alias("endtime"), i, rate.alias("norepinephrine_equivalent_dose")
         ),
         "ventilation": lambda: _of(ev, "view").filter(i % 2 == 0).select(
             "stay_id", started, (ts + _seconds(F.round(v * 300))).alias("endtime"), i
         ),
         "rrt": lambda: _of(ev, "purchase").select(
             *point,
-            F.when(i % 10 == 0, 1).alias("dialysis_present"),
-            F.when(i % 7 == 0, 1).otherwise(0).alias("dialysis_active"),
+            F.when(i % 20 == 0, 1).alias("dialysis_present"),
+            F.when(i % 22 == 0, 1).otherwise(0).alias("dialysis_active"),
         ),
         "crrt": lambda: _of(ev, "purchase").select(
-            *point, (i % 2).cast("int").alias("system_active"), F.when(i % 3 == 0, "CVVH").alias("crrt_mode")
+            *point, (i % 14 == 1).cast("int").alias("system_active"), F.when(i % 18 == 0, "CVVH").alias("crrt_mode")
         ),
-        "vitalsign": lambda: _of(ev, "click").select(
+        "vitalsign": lambda: ev.select(
             *point,
             (60 + v / 10).alias("heart_rate"),
             (100 + v / 5).alias("sbp"),
             (50 + v / 8).alias("dbp"),
-            F.when(i % 5 != 0, 40 + v).alias("mbp"),
+            F.when(i % 15 != 0, 40 + v).alias("mbp"),
             (10 + v / 20).alias("resp_rate"),
             F.when(i % 3 != 0, 90 + v / 100).alias("spo2"),
             (36 + v / 200).alias("temperature"),
         ),
-        "chemistry": lambda: _of(ev, "view", "error").select(
+        "chemistry": lambda: _of(ev, "view", "error", "signup").select(
             *episode,
             (130 + v / 50).alias("sodium"),
             (95 + v / 40).alias("chloride"),
-            (3 + v / 100).alias("potassium"),
+            (3 + (i * 3 % 23) / 10).alias("potassium"),
             F.when(i % 7 != 0, 20 + v / 20).alias("bicarbonate"),
             (1 + v / 50).alias("creatinine"),
             (10 + v / 4).alias("bun"),
         ),
-        "bg": lambda: _of(ev, "view", "error").select(
+        "bg": lambda: _of(ev, "view", "error", "signup").select(
             *episode,
-            (7 + v / 1000).alias("ph"),
-            F.when(i % 6 != 0, v / 10).alias("lactate"),
+            (7 + (i * 5 % 11) / 20).alias("ph"),
+            F.when(i % 18 != 0, (i * 7 % 50) / 5).alias("lactate"),
             (40 + v).alias("po2"),
-            F.when(i % 9 != 0, (i % 8) / 10).alias("fio2"),
+            F.when(i % 27 != 0, (i % 16) / 20).alias("fio2"),
         ),
         "enzyme": lambda: _of(ev, "signup").select(*episode, v.alias("ast"), (v / 2).alias("alt")),
         "coagulation": lambda: _of(ev, "purchase").select(*episode, (1 + v / 100).alias("inr")),

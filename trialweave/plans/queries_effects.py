@@ -8,11 +8,12 @@ repeat them; the model-based weights are checked through the score equations of
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.operators import censor, diagnostics, panel, pooled, survival, weights
+from trialweave.operators import censor, diagnostics, logit, panel, pooled, survival, weights
 from trialweave.operators.joins import left_join
 from trialweave.operators.lookups import gather, gather_slices
 from trialweave.plans import oracle_inputs, proxies  # noqa: F401
@@ -100,31 +101,88 @@ def last_weight(spark: SparkSession, sf: str) -> DataFrame:
     return weights.last_weight(weighted.filter(F.col("at_risk_after_k") == 1))
 
 
-# Terms that are present in the proxy data for most rows.
-_MODEL_TERMS = (
-    "strategy", "age", "sex", "weight_kg", "charlson_comorbidity_index", "mv_baseline", "uo_mlkgph_last6h",
-    "vaso_flag_last1h", "mv_flag_last1h",
+# The name in the model -> the SQL of the term.
+_TERM_SQL = {
+    "age": "age", "weight_kg": "weight_kg", "charlson_comorbidity_index": "cci", "ne_eq_baseline": "ne_eq_baseline",
+    "mv_baseline": "mv_baseline", "pfratio": "pf_ratio", "lactate": "lactate", "ph": "ph", "scr_baseline_win": "scr",
+    "potassium": "k", "uo_mlkgph_last6h": "uo_mlkgph_last6h", "map_last1h": "map_last1h", "vaso_flag_last1h": "vaso_flag_last1h",
+    "ne_eq_last1h": "ne_eq_last1h", "mv_flag_last1h": "mv_flag_last1h", "lactate_last6h": "lactate_last6h", "ph_last6h": "ph_last6h",
+    "k_last6h": "k_last6h", "scr_last6h": "scr_last6h",
+}
+_BASELINE_TERMS = (
+    "strategy", "age", "sex", "weight_kg", "charlson_comorbidity_index", "ne_eq_baseline", "mv_baseline", "pfratio", "lactate", "ph",
+    "scr_baseline_win", "potassium",
 )
+cte("model_rows", """SELECT c.*, b.age, b.gender, b.weight_kg, b.cci, b.ne_eq_baseline, b.mv_baseline, b.pf_ratio, b.lactate, b.ph, b.scr, b.k
+    FROM clone_full c JOIN base b ON b.stay_id = c.stay_id WHERE c.total_censor_time IS NULL OR c.total_censor_time > c.t_start""")
+_ALL_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in ("gender", *_TERM_SQL.values()))
+cte("full_rows", f"SELECT * FROM model_rows WHERE {_ALL_KNOWN}")
+_BASE_KNOWN = " AND ".join(f"{_TERM_SQL[c]} IS NOT NULL" for c in _BASELINE_TERMS if c in _TERM_SQL)
+cte("baseline_rows", f"SELECT * FROM model_rows WHERE gender IS NOT NULL AND {_BASE_KNOWN}")
 
 
-@query("weights_glm")
+@query("weights_glm", oracle("""SELECT stay_id, strategy, hour_index, censor_k_total FROM full_rows""", plain=[*_KEYS, "censor_k_total"]))
 def weights_glm(spark: SparkSession, sf: str) -> DataFrame:
-    """Weights from the two pooled logistic models."""
-    s = proxies.study(spark, sf, denominator_terms=_MODEL_TERMS)
+    """Clone-hours with weights from the two pooled logistic models, all 21 terms: which rows have one.
+
+    A weight is unknown from a clone's first incomplete hour on, so a known one shows that all
+    rows up to it were scored; the probabilities themselves are checked by the score equations.
+    """
+    s = proxies.study(spark, sf)
     out = s.weighted(full_frame(s, proxies.relaxed_cohort(s)))
-    return out.select("p_denom", "p_num", "w_slice", "ipcw", "ipcw_trunc", *_KEYS)
+    known = F.col("p_denom").isNotNull() & F.col("p_denom").between(0, 1) & F.col("p_num").isNotNull()
+    return out.filter(known).select(*_KEYS, "censor_k_total")
+
+
+def _observed(rows: str, terms: Sequence[str]) -> str:
+    """SQL of the observed total of every term, which maximum likelihood makes the expected one."""
+    parts = [f"SELECT '{n}' AS term, sum(censor_k_total * {c}) AS total FROM {rows}" for n, c in _TERM_SQL.items() if n in terms]
+    levels = [("strategy", "strategy"), ("sex", "gender"), ("hour", "hour_index")]
+    parts += [f"SELECT '{n}=' || {c}, sum(censor_k_total) FROM {rows} GROUP BY {c}" for n, c in levels]
+    parts.append(f"SELECT 'rows', count(*) FROM {rows}")
+    return "SELECT term, round(CAST(total AS DOUBLE), 3) AS total FROM (" + " UNION ALL ".join(parts) + ") y"
+
+
+def _expected(frame: DataFrame, model: logit.LogitModel) -> DataFrame:
+    """The expected total of every term under a fitted model, and the number of rows it scores."""
+    scored = weights.predict_hazard(frame, model, "p").filter(F.col("p").isNotNull())
+    cells = [
+        F.concat(F.lit(f"{label}="), F.col(c).cast("string"))
+        for label, c in (("strategy", "strategy"), ("sex", "sex"), ("hour", "hour_index"))
+    ]
+    terms = [F.struct(F.lit(n).alias("term"), F.col(n).cast("double").alias("x")) for n in _TERM_SQL if n in model.spec.terms]
+    terms += [F.struct(c.alias("term"), F.lit(1.0).alias("x")) for c in cells]
+    long = scored.select("p", F.explode(F.array(*terms)).alias("t"))
+    totals = long.groupBy("t.term").agg(F.sum(F.col("p") * F.col("t.x")).alias("total"))
+    rows = scored.agg(F.count("*").cast("double").alias("total")).select(F.lit("rows").alias("term"), "total")
+    return totals.unionAll(rows).select((F.round("total", 3) + 0.0).alias("total"), "term")
+
+
+def _both_models(spark: SparkSession, sf: str) -> tuple[DataFrame, list[logit.LogitModel]]:
+    s = proxies.study(spark, sf)
+    frame = full_frame(s, proxies.relaxed_cohort(s))
+    return frame, weights.censor_models(frame, [logit.ModelSpec(t) for t in (s.params.denominator_terms, _BASELINE_TERMS)])
+
 
+@query("denominator_score_equations", oracle(_observed("full_rows", tuple(_TERM_SQL)), num=["total"], plain=["term"]))
+def denominator_score_equations(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected total of every term of the 21-term denominator model, hours and levels included.
 
-@query("weights_glm_baseline_numerator")
+    At the maximum of the likelihood these equal the observed totals, term by term, which
+    holds for no other coefficients.
+    """
+    frame, (model, _) = _both_models(spark, sf)
+    return _expected(frame, model)
+
+
+@query("weights_glm_baseline_numerator", oracle(_observed("baseline_rows", _BASELINE_TERMS), num=["total"], plain=["term"]))
 def weights_glm_baseline_numerator(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with baseline covariates in the numerator as well."""
-    numerator = ("strategy", "age", "sex", "weight_kg", "charlson_comorbidity_index", "mv_baseline")
-    s = proxies.study(spark, sf, denominator_terms=_MODEL_TERMS, numerator_terms=numerator)
-    out = s.weighted(full_frame(s, proxies.relaxed_cohort(s)))
-    return out.select("p_denom", "p_num", "w_slice", "ipcw", "ipcw_trunc", *_KEYS)
+    """The same for the numerator with baseline covariates, fitted together with the denominator."""
+    frame, (_, model) = _both_models(spark, sf)
+    return _expected(frame, model)
 
 
-@query("hazard_score_equations", oracle("""SELECT * FROM (SELECT hour_index, strategy, round(CAST(sum(censor_k_total) AS DOUBLE), 2) AS expected FROM risk_rows
+@query("hazard_score_equations", oracle("""SELECT * FROM (SELECT hour_index, strategy, round(CAST(sum(censor_k_total) AS DOUBLE), 3) AS expected FROM risk_rows
     GROUP BY CUBE (hour_index, strategy)) q WHERE hour_index IS NULL OR strategy IS NULL""", num=["expected"], plain=["hour_index", "strategy"]))
 def hazard_score_equations(spark: SparkSession, sf: str) -> DataFrame:
     """Expected censorings of the fitted numerator model per hour and per arm.
@@ -139,45 +197,49 @@ def hazard_score_equations(spark: SparkSession, sf: str) -> DataFrame:
         .cube("hour_index", "strategy").agg(F.sum("expected").alias("expected"))
         .filter(F.col("hour_index").isNull() | F.col("strategy").isNull())
     )
-    return sums.select((F.round("expected", 2) + 0.0).alias("expected"), "hour_index", "strategy")
-
-
-_COMPLETE = """SELECT k.*, b.age, b.gender, b.weight_kg, b.cci, b.mv_baseline FROM clone_full k JOIN base b ON b.stay_id = k.stay_id
-    WHERE (k.total_censor_time IS NULL OR k.total_censor_time > k.t_start) AND b.weight_kg IS NOT NULL AND b.gender IS NOT NULL"""
-# Name in the model -> column in the SQL above.
-_SCORES = {
-    "age": "age", "weight_kg": "weight_kg", "charlson_comorbidity_index": "cci", "mv_baseline": "mv_baseline",
-    "uo_mlkgph_last6h": "uo_mlkgph_last6h", "vaso_flag_last1h": "vaso_flag_last1h", "mv_flag_last1h": "mv_flag_last1h",
-}
-_SCORE_SQL = " UNION ALL ".join(
-    [f"SELECT '{n}' AS term, sum(censor_k_total * {c}) AS total FROM ({_COMPLETE}) z" for n, c in _SCORES.items()]
-    + [
-        f"SELECT 'strategy=' || strategy, sum(censor_k_total) FROM ({_COMPLETE}) z GROUP BY strategy",
-        f"SELECT 'sex=' || gender, sum(censor_k_total) FROM ({_COMPLETE}) z GROUP BY gender",
-        f"SELECT 'hour=' || hour_index, sum(censor_k_total) FROM ({_COMPLETE}) z GROUP BY hour_index",
-    ]
-)
+    return sums.select((F.round("expected", 3) + 0.0).alias("expected"), "hour_index", "strategy")
 
 
-@query("denominator_score_equations", oracle(f"SELECT term, round(CAST(total AS DOUBLE), 2) AS total FROM ({_SCORE_SQL}) y", num=["total"], plain=["term"]))
-def denominator_score_equations(spark: SparkSession, sf: str) -> DataFrame:
-    """Expected total of every model term under the fitted denominator model.
+def _newton_logit(factor: str, steps: int = 25) -> str:
+    """Newton steps of a logistic model, arm B beside a factor, folded over lists of its levels.
 
-    At the maximum of the likelihood these equal the observed totals, term by term, which
-    holds for no other coefficients.
+    A level is its number of rows and events by arm; levels without events stay at 0 and those
+    with events only at 1, as the likelihood has it in the limit.
     """
-    s = proxies.study(spark, sf)
-    frame = full_frame(s, proxies.relaxed_cohort(s))
-    scored = weights.predict_hazard(frame, weights.censor_model(frame, _MODEL_TERMS), "p").filter(F.col("p").isNotNull())
-    cells = [
-        F.concat(F.lit(f"{label}="), F.col(c).cast("string"))
-        for label, c in (("strategy", "strategy"), ("sex", "sex"), ("hour", "hour_index"))
-    ]
-    terms = [F.struct(F.lit(n).alias("term"), F.col(n).cast("double").alias("x")) for n in _SCORES]
-    terms += [F.struct(c.alias("term"), F.lit(1.0).alias("x")) for c in cells]
-    long = scored.select("p", F.explode(F.array(*terms)).alias("t"))
-    totals = long.groupBy("t.term").agg(F.sum(F.col("p") * F.col("t.x")).alias("total"))
-    return totals.select((F.round("total", 2) + 0.0).alias("total"), "term")
+    at = "(1 / (1 + exp(-(c.a + s.b))))", "(1 / (1 + exp(-c.a)))"
+    v1, v0 = (f"(c.{n} * {p} * (1 - {p}))" for n, p in zip(("n1", "n0"), at))
+    r1, r0 = (f"(c.{y} - c.{n} * {p})" for y, n, p in zip(("y1", "y0"), ("n1", "n0"), at))
+    right = f"list_sum(list_transform(s.cells, lambda c: {r1} - {v1} * ({r1} + {r0}) / ({v1} + {v0})))"
+    inner = f"list_sum(list_transform(s.cells, lambda c: {v1} - {v1} * {v1} / ({v1} + {v0})))"
+    moved = f"struct_pack(f := c.f, n1 := c.n1, n0 := c.n0, y1 := c.y1, y0 := c.y0, a := c.a + ({r1} + {r0} - {v1} * {right} / {inner}) / ({v1} + {v0}))"
+    return f"""
+SELECT u.c.f AS f, 1 / (1 + exp(-(u.c.a + b))) AS p_b, 1 / (1 + exp(-u.c.a)) AS p_a FROM (
+  SELECT z.b, unnest(z.cells) AS c FROM (SELECT list_reduce(list_transform(range({steps + 1}), lambda i: struct_pack(b := 0.0::DOUBLE, cells := cells)),
+    lambda s, i: struct_pack(b := s.b + {right} / {inner}, cells := list_transform(s.cells, lambda c: {moved}))) AS z FROM (
+    SELECT list(struct_pack(f := f, n1 := n1, n0 := n0, y1 := y1, y0 := y0, a := ln((y1 + y0) / (n1 + n0 - y1 - y0)))) AS cells FROM levels_{factor}
+    WHERE y1 + y0 > 0 AND y1 + y0 < n1 + n0) l) t) u
+UNION ALL SELECT f, (y1 + y0) / (n1 + n0), (y1 + y0) / (n1 + n0) FROM levels_{factor} WHERE y1 + y0 <= 0 OR y1 + y0 >= n1 + n0"""
+
+
+cte("levels_hour_index", """
+SELECT hour_index AS f, CAST(count(*) FILTER (strategy = 'B') AS DOUBLE) AS n1, CAST(count(*) FILTER (strategy = 'A') AS DOUBLE) AS n0,
+  CAST(coalesce(sum(censor_k_total) FILTER (strategy = 'B'), 0) AS DOUBLE) AS y1, CAST(coalesce(sum(censor_k_total) FILTER (strategy = 'A'), 0) AS DOUBLE) AS y0
+FROM risk_rows GROUP BY hour_index""")
+cte("arm_hour_model", _newton_logit("hour_index"))
+cte("hour_model", "SELECT f, (y1 + y0) / (n1 + n0) AS p_hour FROM levels_hour_index")
+
+
+@query("weights_glm_discrete", oracle("""SELECT stay_id, strategy, hour_index, p_denom, p_num, product((1 - p_num) / (1 - p_denom)) OVER
+    (PARTITION BY stay_id, strategy ORDER BY hour_index ROWS UNBOUNDED PRECEDING) AS ipcw FROM (
+      SELECT r.stay_id, r.strategy, r.hour_index, CASE WHEN r.strategy = 'B' THEN m.p_b ELSE m.p_a END AS p_denom, h.p_hour AS p_num
+      FROM risk_rows r JOIN arm_hour_model m ON m.f = r.hour_index JOIN hour_model h ON h.f = r.hour_index) q""",
+    num=["p_denom", "p_num", "ipcw"], plain=_KEYS))
+def weights_glm_discrete(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights from two fitted models of discrete terms: arm and hour against the hour alone."""
+    _, _, rows = _risk_rows(spark, sf)
+    den, num = weights.censor_models(rows, [logit.ModelSpec(("strategy",)), logit.ModelSpec(())], merge=True)
+    scored = weights.predict_hazard(weights.predict_hazard(rows, den, "p_denom"), num, "p_num")
+    return weights.stabilized_weights(scored, "p_num", "p_denom").select("p_denom", "p_num", "ipcw", *_KEYS)
 
 
 # --- survival --------------------------------------------------------------------------------
@@ -496,7 +558,16 @@ def outcome_hazard_contrast(spark: SparkSession, sf: str) -> DataFrame:
     return pooled.contrast(pooled.curve(pooled.saturated_hazard(days)), 28).select("risk_difference", "rmtl_difference")
 
 
-@query("outcome_hazard_glm")
+cte("levels_day", """
+SELECT day AS f, coalesce(sum(w) FILTER (strategy = 'B'), 0) AS n1, coalesce(sum(w) FILTER (strategy = 'A'), 0) AS n0,
+  coalesce(sum(w * died) FILTER (strategy = 'B'), 0) AS y1, coalesce(sum(w * died) FILTER (strategy = 'A'), 0) AS y0
+FROM person_days GROUP BY day""")
+cte("arm_day_model", _newton_logit("day"))
+
+
+@query("outcome_hazard_glm", oracle("""SELECT strategy, day, hazard, product(1 - hazard) OVER (PARTITION BY strategy ORDER BY day ROWS UNBOUNDED PRECEDING) AS surv
+    FROM (SELECT c.strategy, c.day, CASE WHEN c.strategy = 'B' THEN m.p_b ELSE m.p_a END AS hazard
+          FROM (SELECT DISTINCT strategy, day FROM person_days) c JOIN arm_day_model m ON m.f = c.day) q""", num=["hazard", "surv"], plain=["strategy", "day"]))
 def outcome_hazard_glm(spark: SparkSession, sf: str) -> DataFrame:
     """Curves from the weighted pooled logistic outcome model: arm plus day."""
     _, _, rows = _survival(spark, sf)

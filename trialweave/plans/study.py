@@ -59,7 +59,7 @@ class Params:
     weight_mode: str = "documented"
     numerator_terms: tuple[str, ...] = weights.NUMERATOR_TERMS
     denominator_terms: tuple[str, ...] = weights.DENOMINATOR_TERMS
-    reg_param: float = 0.0
+    ridge: float = 0.0
     as_coded_survivors: bool = False
     stop_at_censor: bool = False
 
@@ -241,9 +241,8 @@ class Study:
     def weighted(self, frame: DataFrame) -> DataFrame:
         """Model-based weights; ``frame`` should be a stage, it is read once per iteration."""
         p = self.params
-        den = weights.censor_model(frame, p.denominator_terms, reg_param=p.reg_param)
-        discrete = set(p.numerator_terms) <= {"strategy"}
-        num = weights.censor_model(frame, p.numerator_terms, reg_param=p.reg_param, merge=discrete)
+        terms = (p.denominator_terms, p.numerator_terms)
+        den, num = weights.censor_models(frame, [weights.ModelSpec(t, ridge=p.ridge) for t in terms])
         scored = weights.predict_hazard(weights.predict_hazard(frame, den, "p_denom"), num, "p_num")
         raw = stage(weights.stabilized_weights(scored, "p_num", "p_denom", p.weight_mode), "ipcw")
         return weights.truncate_weights(raw)
