@@ -182,3 +182,36 @@ def time_to_event(
     if stop_at:
         bounds.append(days_between(t0, stop_at))
     return alive.withColumn("time", F.least(*bounds)).withColumn("event", flag(days <= F.col("time")))
+
+
+def clone_hours(
+    weighted: DataFrame,
+    outcome: DataFrame,
+    counting: bool = False,
+    weight: str = "ipcw_trunc",
+    horizon: float = 28,
+    panel_h: int = 24,
+    as_coded: bool = False,
+    key: str = "stay_id",
+    arm: str = "strategy",
+    order: str = "hour_index",
+) -> DataFrame:
+    """Every uncensored clone-hour with its own weight, as rows of a survival fit.
+
+    Without ``counting`` each clone-hour is an observation from t0 to death or the horizon,
+    the reading of the study's own scripts.  With it, hour h is at risk in (h, h + 1] hours
+    only (``start``, ``time``, in days), so that a clone's weight changes over time and a
+    censored clone leaves the risk set; the last hour of the panel lasts to death or the
+    horizon.  An hour that begins at or after death is left out.  ``outcome`` has ``t0_time``
+    and ``deathtime`` by ``key``.
+    """
+    hours = weighted.filter(F.col("at_risk_after_k") == 1).select(key, arm, order, weight)
+    rows = left_join(hours, outcome, key, ["deathtime", "t0_time"])
+    rows = time_to_event(rows, horizon=horizon, as_coded=as_coded and not counting)
+    if not counting:
+        return rows
+    begins = F.col(order) / F.lit(24.0)
+    ends = F.when(F.col(order) >= panel_h - 1, F.col("time")).otherwise(F.least((F.col(order) + 1) / F.lit(24.0), F.col("time")))
+    known = rows.withColumns({"start": begins, "__end": ends}).filter(F.col("start") < F.col("time"))
+    event = flag((F.col("event") == 1) & (F.col("__end") >= F.col("time")))
+    return known.withColumn("event", event).withColumn("time", F.col("__end")).drop("__end")

@@ -28,37 +28,70 @@ def _ticks(time: str) -> Column:
     return F.round(F.col(time) * F.lit(float(DAY_US))).cast("long")
 
 
+def _marks(rows: DataFrame, by: Sequence[str], entries: dict[str, Column], ends: dict[str, Column]) -> DataFrame:
+    """Sums per group and time of what enters the risk set there and what ends there.
+
+    ``rows`` have ``start`` and ``ticks``, an interval (start, ticks]; every row counts at both.
+    ``entries`` are summed at the start, as ``in_...``, and both kinds at the end.
+    """
+    zero = F.lit(0.0)
+    kinds = {**{f"in_{k}": (v, zero) for k, v in entries.items()}, **{k: (zero, v) for k, v in {**entries, **ends}.items()}}
+    marks = [F.struct(F.col(at).alias("ticks"), *[v[i].cast("double").alias(k) for k, v in kinds.items()]) for i, at in enumerate(("start", "ticks"))]
+    long = rows.select(*by, F.explode(F.array(*marks)).alias("m")).select(*by, "m.*")
+    return long.groupBy(*by, "ticks").agg(*[F.sum(k).alias(k) for k in kinds])
+
+
+def _counted(marks: DataFrame, by: Sequence[str], risk: dict[str, str]) -> DataFrame:
+    """``marks`` with what is at risk at each time: entered before it, not ended before it."""
+    net = marks.withColumns({f"__{out}": F.col(f"in_{c}") - F.col(c) for out, c in risk.items()})
+    sums = running_sums(net, by, "ticks", {out: f"__{out}" for out in risk})
+    # the running sum holds the entries at this time and lacks the ends at it
+    return sums.withColumns({out: F.col(out) - F.col(f"in_{c}") + F.col(c) for out, c in risk.items()})
+
+
 def weighted_km(
-    df: DataFrame, time: str = "time", event: str = "event", weight: str | None = None, by: Sequence[str] = ("strategy",)
+    df: DataFrame, time: str = "time", event: str = "event", weight: str | None = None, by: Sequence[str] = ("strategy",),
+    start: str | None = None,
 ) -> DataFrame:
     """Weighted Kaplan-Meier curve per group: one row per distinct time.
 
     Rows with a missing time, event or weight do not take part.  ``n_risk`` and ``n_event``
     are weighted, ``count_risk`` and ``count_event`` are not.  ``std_err`` is the Greenwood
     standard error of the log survival and ``lower``/``upper`` its 95 % interval.
-    ``drop`` is the size of the step at that time.
+    ``drop`` is the size of the step at that time.  With ``start`` a row is at risk in
+    (start, time] only, so a subject may have several rows whose weights differ; rows that
+    start at or after their end take no part.
     """
     by = list(by)
     w = F.col(weight) if weight else F.lit(1.0)
-    rows = df.select(*by, _ticks(time).alias("ticks"), F.col(event).alias("e"), w.cast("double").alias("w"))
-    steps = (
-        rows.dropna(subset=["ticks", "e", "w"])
-        .groupBy(*by, "ticks")
-        .agg(
+    begin = [_ticks(start).alias("start")] if start else []
+    rows = df.select(*by, *begin, _ticks(time).alias("ticks"), F.col(event).alias("e"), w.cast("double").alias("w"))
+    rows = rows.dropna(subset=["ticks", "e", "w"])
+    died = F.when(F.col("e") == 1, F.col("w")).otherwise(0.0)
+    if start:
+        marks = _marks(
+            rows.filter(F.col("start") < F.col("ticks")), by, {"w": F.col("w"), "n": F.lit(1.0)},
+            {"n_event": died, "count_event": F.col("e")},
+        )
+        at_risk = _counted(marks, by, {"n_risk": "w", "count_risk": "n"}).filter(F.col("n") > 0)
+        counts = {c: F.round(c).cast("long") for c in ("count_risk", "count_event")}
+        at_risk = at_risk.withColumns(counts).drop("in_w", "in_n")
+    else:
+        steps = rows.groupBy(*by, "ticks").agg(
             F.sum("w").alias("w"),
-            F.sum(F.when(F.col("e") == 1, F.col("w")).otherwise(0.0)).alias("n_event"),
+            F.sum(died).alias("n_event"),
             F.count(F.lit(1)).alias("n"),
             F.sum(F.col("e").cast("long")).alias("count_event"),
         )
-    )
-    at_risk = running_sums(steps, by, "ticks", {"n_risk": "w", "count_risk": "n"}, descending=True)
+        at_risk = running_sums(steps, by, "ticks", {"n_risk": "w", "count_risk": "n"}, descending=True)
     d, n = F.col("n_event"), F.col("n_risk")
     falls = d > 0
-    survives = falls & (d < n)
+    # sums that differ by rounding only are equal
+    survives = falls & (d < n * (1 - 1e-12))
     terms = at_risk.withColumns(
         {
             "__log": F.when(survives, F.log1p(-d / n)).otherwise(0.0),
-            "__end": flag(falls & (d >= n)),
+            "__end": flag(falls & ~survives),
             "__var": F.when(survives, d / (n * (n - d))).otherwise(0.0),
         }
     )
@@ -246,6 +279,12 @@ def _event_times(rows: DataFrame, by: list[str]) -> DataFrame:
     """Per group and event time: weighted sums at risk and of events, by arm."""
     w, x, e = F.col("w"), F.col("x"), F.col("e")
     zero = F.lit(0.0)
+    if "start" in rows.columns:
+        arms = {"w1": F.when(x == 1, w).otherwise(zero), "w0": F.when(x == 0, w).otherwise(zero)}
+        events = {f"d{k[1]}": F.when(e == 1, v).otherwise(zero) for k, v in arms.items()}
+        counted = _counted(_marks(rows, by, arms, {**events, "k": e}), by, {"r1": "w1", "r0": "w0"})
+        counted = counted.withColumns({"k": F.round("k").cast("long"), "r1": F.greatest("r1", "d1"), "r0": F.greatest("r0", "d0")})
+        return counted.filter(F.col("k") > 0).drop("in_w1", "in_w0")
     steps = rows.groupBy(*by, "ticks").agg(
         F.sum(F.when(x == 1, w).otherwise(zero)).alias("w1"),
         F.sum(F.when(x == 0, w).otherwise(zero)).alias("w0"),
@@ -281,6 +320,7 @@ def weighted_cox(
     treated: str = "B",
     ties: str = "efron",
     cluster: str | None = None,
+    start: str | None = None,
     max_groups: int = 10_000,
     max_iter: int = 30,
     tol: float = 1e-10,
@@ -289,9 +329,11 @@ def weighted_cox(
 
     Returns the log hazard ratio of ``treated`` against the other arm and its model-based
     standard error, z, p and 95 % limits on both scales; with ``cluster`` also a standard
-    error robust to rows of the same cluster.  All groups iterate together: each Newton step
-    is one aggregation of the event-time table, which is written as a stage once.  Only one
-    number per group passes through the driver; more than ``max_groups`` groups are refused.
+    error robust to rows of the same cluster.  With ``start`` a row is at risk in (start, time]
+    only.  All groups iterate together: each Newton step is one aggregation of the event-time
+    table, which is written as a stage once.  Only one number per group passes through the
+    driver; more than ``max_groups`` groups are refused.  Estimates are NULL for a group whose
+    fit did not converge or that has no events in one comparison.
     """
     if ties not in ("efron", "breslow"):
         raise ValueError(f"ties must be 'efron' or 'breslow', not {ties!r}")
@@ -301,6 +343,7 @@ def weighted_cox(
     w = F.col(weight) if weight else F.lit(1.0)
     group = F.xxhash64(*[F.col(c) for c in names])
     extra = [F.col(cluster).alias("__cluster")] if cluster else []
+    extra += [_ticks(start).alias("start")] if start else []
     rows = (
         df.select(*keys, *extra, _ticks(time).alias("ticks"), F.col(event).alias("e"),
                   flag(F.col(arm) == treated).alias("x"), w.cast("double").alias("w"))
@@ -308,6 +351,8 @@ def weighted_cox(
         .filter(F.col("w") > 0)
         .withColumn("__g", group)
     )
+    if start:
+        rows = rows.filter(F.col("start") < F.col("ticks"))
     times = stage(_tied(_event_times(rows, ["__g"]), ["__g"], ties), "event-times")
     groups = stage(
         rows.groupBy(*names, "__g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e").cast("long")).alias("n_event")),
@@ -338,7 +383,7 @@ def weighted_cox(
         if not moving:
             break
     fitted = spark.createDataFrame(
-        [(g, beta[g] if g in info else None, info.get(g), g in done) for g in ids],
+        [(g, beta[g] if g in done else None, info[g] if g in done else None, g in done) for g in ids],
         T.StructType([*_COX_SCHEMA.fields, T.StructField("info", T.DoubleType()), T.StructField("converged", T.BooleanType())]),
     )
     out = groups.join(F.broadcast(fitted), "__g", "inner").withColumn("se", 1 / F.sqrt("info"))
@@ -408,15 +453,24 @@ def _robust(rows: DataFrame, times: DataFrame, fitted: DataFrame) -> DataFrame:
         )
     )
     # Every distinct time of the rows, so that running hazards exist for censored rows too.
-    all_times = rows.select("__g", "ticks").distinct().join(per_time, ["__g", "ticks"], "left").fillna(0.0)
+    ends = rows.select("__g", "ticks")
+    if "start" in rows.columns:
+        ends = ends.unionAll(rows.select("__g", F.col("start").alias("ticks")))
+    all_times = ends.distinct().join(per_time, ["__g", "ticks"], "left").fillna(0.0)
     hazards = running_sums(all_times, ["__g"], "ticks", {"cum_h": "h", "cum_hm": "hm"})
     hazards = hazards.join(F.broadcast(fitted.select("__g", "__beta")), "__g", "inner")
     joined = spread_join(rows, hazards, ["__g", "ticks"])
+    if "start" in rows.columns:
+        before = hazards.select("__g", F.col("ticks").alias("start"), F.col("cum_h").alias("start_h"), F.col("cum_hm").alias("start_hm"))
+        joined = spread_join(joined, before, ["__g", "start"])
     x, e = F.col("x"), F.col("e")
     died = e == 1
     # A subject that dies among ties leaves their risk sets step by step.
     h = F.when(died, F.col("cum_h") - F.col("h") + F.col("h_tied")).otherwise(F.col("cum_h"))
     hm = F.when(died, F.col("cum_hm") - F.col("hm") + F.col("hm_tied")).otherwise(F.col("cum_hm"))
+    if "start" in rows.columns:
+        # a row collects hazard from its own start only
+        h, hm = h - F.col("start_h"), hm - F.col("start_hm")
     observed = F.when(died, x - F.col("mean")).otherwise(0.0)
     residual = observed - F.exp(F.col("__beta") * x) * (x * h - hm)
     return (
@@ -436,13 +490,14 @@ def subgroup_cox(
     event: str = "event",
     arm: str = "strategy",
     weight: str | None = None,
+    start: str | None = None,
     **cox,
 ) -> DataFrame:
     """Cox effects within every level of several flags; levels with fewer rows are skipped.
 
     Flags become (subgroup, level) rows, so all levels of all flags are one grouped fit.
     """
-    ids = [time, event, arm, *([weight] if weight else []), *([cox["cluster"]] if cox.get("cluster") else [])]
+    ids = [time, event, arm, *(c for c in (weight, start, cox.get("cluster")) if c)]
     long = df.select(*ids, *flags).unpivot(ids, list(flags), "subgroup", "level")
     known = [c for c in (time, event, weight) if c]
     long = long.dropna(subset=["level", *known])
@@ -450,7 +505,7 @@ def subgroup_cox(
         long = long.filter(F.col(weight) > 0)
     sizes = long.groupBy("subgroup", "level").agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") >= min_rows)
     large = long.join(sizes.drop("__rows"), ["subgroup", "level"], "left_semi")
-    return weighted_cox(large, time, event, arm, weight, by=("subgroup", "level"), **cox)
+    return weighted_cox(large, time, event, arm, weight, by=("subgroup", "level"), start=start, **cox)
 
 
 def interaction_test(fits: DataFrame, by: str = "subgroup") -> DataFrame:

@@ -365,10 +365,21 @@ def rmst_report(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Cox -------------------------------------------------------------------------------------
 
-def _newton(rows: str, group: str, steps: int = 12) -> str:
-    """Newton iterations of the weighted Efron partial likelihood, treated arm B, folded over lists."""
-    prefix = f"cx_{group}"
-    cte(f"{prefix}_t", f"""
+def _newton(rows: str, group: str, steps: int = 12, prefix: str = "cx", entry: bool = False) -> str:
+    """Newton iterations of the weighted Efron partial likelihood, treated arm B, folded over lists.
+
+    With ``entry`` rows are at risk in (start, time], found by a range join per event time.
+    """
+    prefix = f"{prefix}_{group}"
+    if entry:
+        cte(f"{prefix}_r", f"SELECT {group} AS grp, start, time, strategy, w, event FROM ({rows}) r WHERE w IS NOT NULL")
+        cte(f"{prefix}_t", f"""
+SELECT t.grp, t.time, t.d1, t.d0, t.k, coalesce(sum(r.w) FILTER (r.strategy = 'B'), 0) AS r1, coalesce(sum(r.w) FILTER (r.strategy = 'A'), 0) AS r0
+FROM (SELECT grp, time, coalesce(sum(w) FILTER (strategy = 'B'), 0) AS d1, coalesce(sum(w) FILTER (strategy = 'A'), 0) AS d0, count(*) AS k
+  FROM {prefix}_r WHERE event = 1 GROUP BY grp, time) t
+JOIN {prefix}_r r ON r.grp = t.grp AND r.start < t.time AND r.time >= t.time GROUP BY ALL""")
+    else:
+        cte(f"{prefix}_t", f"""
 SELECT grp, time, d1, d0, k, sum(w1) OVER down AS r1, sum(w0) OVER down AS r0 FROM (
   SELECT {group} AS grp, time, sum(CASE WHEN strategy = 'B' THEN w ELSE 0 END) AS w1, sum(CASE WHEN strategy = 'A' THEN w ELSE 0 END) AS w0,
     sum(CASE WHEN strategy = 'B' THEN w * event ELSE 0 END) AS d1, sum(CASE WHEN strategy = 'A' THEN w * event ELSE 0 END) AS d0, sum(event) AS k
@@ -429,12 +440,13 @@ cte("large_levels", "SELECT * FROM level_rows WHERE subgroup_level IN (SELECT su
 _BY_LEVEL = _newton("SELECT * FROM large_levels", "subgroup_level")
 
 
-@query("subgroup_cox", oracle(f"SELECT split_part(grp, '|', 1) AS subgroup, split_part(grp, '|', 2) AS level, hr, se FROM ({_BY_LEVEL}) z",
+@query("subgroup_cox", oracle(f"""SELECT split_part(l.subgroup_level, '|', 1) AS subgroup, split_part(l.subgroup_level, '|', 2) AS level, z.hr, z.se
+    FROM (SELECT DISTINCT subgroup_level FROM large_levels) l LEFT JOIN ({_BY_LEVEL}) z ON z.grp = l.subgroup_level""",
        num=["hr", "se"], plain=["subgroup", "level"]))
 def subgroup_cox(spark: SparkSession, sf: str) -> DataFrame:
-    """Cox effect in every subgroup level with at least 50 clones, in one grouped fit."""
+    """Cox effect in every subgroup level with at least 50 clones, in one grouped fit; NULL without events."""
     fits = survival.subgroup_cox(_subgroup_rows(spark, sf), panel.SUBGROUPS, weight="ipcw_trunc_last")
-    return fits.filter(F.col("n_event") > 0).select("hr", "se", "subgroup", "level")
+    return fits.select("hr", "se", "subgroup", "level")
 
 
 _Q = f"""SELECT subgroup, count(*) AS levels, count(*) - 1 AS df,
@@ -451,6 +463,107 @@ def subgroup_interaction(spark: SparkSession, sf: str) -> DataFrame:
     return survival.interaction_test(fits).select("q", "p_interaction", "subgroup", "levels", "df")
 
 
+# --- the same fits on clone-hours -------------------------------------------------------------
+
+cte("hour_rows", """
+SELECT t.stay_id, t.strategy, t.hour_index, t.ipcw_trunc AS w, o.deathtime, o.t0_time, o.death_28d AS event,
+  CASE WHEN o.deathtime IS NULL THEN 28.0::DOUBLE ELSE least((epoch_us(o.deathtime) - epoch_us(o.t0_time)) / 86400000000.0::DOUBLE, 28.0::DOUBLE) END AS time
+FROM trunc_rows t JOIN outc o ON o.stay_id = t.stay_id
+WHERE t.at_risk_after_k = 1 AND (o.deathtime IS NULL OR o.deathtime > o.t0_time)""")
+
+# times to the microsecond, as the operators count them
+cte("counting_rows", """
+SELECT stay_id, strategy, w, CAST(round(hour_index * 3600000000) AS BIGINT) / 86400000000.0::DOUBLE AS start,
+  CASE WHEN hour_index < 23 AND hour_index + 1 < 24 * time THEN CAST(round((hour_index + 1) * 3600000000) AS BIGINT) / 86400000000.0::DOUBLE ELSE time END AS time,
+  CASE WHEN hour_index < 23 AND hour_index + 1 < 24 * time THEN 0 ELSE event END AS event
+FROM hour_rows WHERE hour_index < 24 * time""")
+
+
+def _hours(spark: SparkSession, sf: str, counting: bool) -> tuple[Study, DataFrame, DataFrame]:
+    s, cohort, weighted = _weighted(spark, sf)
+    outcome = left_join(cohort, s.tables["admissions"], "hadm_id", ["deathtime"])
+    rows = censor.clone_hours(weighted, outcome, counting, panel_h=s.params.panel_h, horizon=s.params.horizon_days)
+    return s, cohort, stage(rows, "clone-hours")
+
+
+_KM_COLUMNS = ("time", "n_event", "n_risk", "surv", "std_err", "strategy", "count_event", "count_risk")
+
+
+def _km_sql(rows: str, entry: bool) -> str:
+    at_risk = "r.start < t.time AND r.time >= t.time" if entry else "r.time >= t.time"
+    prefix = f"km_{rows}"
+    cte(f"{prefix}_t", f"""
+SELECT t.strategy, t.time, t.n_event, t.count_event, sum(r.w) AS n_risk, count(*) AS count_risk
+FROM (SELECT strategy, time, sum(w * event) AS n_event, sum(event) AS count_event FROM {rows} WHERE w IS NOT NULL GROUP BY strategy, time) t
+JOIN {rows} r ON r.strategy = t.strategy AND r.w IS NOT NULL AND {at_risk} GROUP BY ALL""")
+    cte(prefix, f"""
+SELECT strategy, time, CAST(count_event AS BIGINT) AS count_event, n_event, n_risk, CAST(count_risk AS BIGINT) AS count_risk,
+  product(1 - n_event / n_risk) OVER up AS surv,
+  sqrt(sum(CASE WHEN n_event > 0 AND n_event < n_risk THEN n_event / (n_risk * (n_risk - n_event)) ELSE 0 END) OVER up) AS std_err
+FROM {prefix}_t WINDOW up AS (PARTITION BY strategy ORDER BY time ROWS UNBOUNDED PRECEDING)""")
+    cte(f"{prefix}_area", f"""
+SELECT strategy, time, surv, n_event, n_risk, lead(time, 1, 28.0) OVER (PARTITION BY strategy ORDER BY time) - time AS width
+FROM (SELECT strategy, time, surv, n_event, n_risk FROM {prefix} WHERE time < 28
+      UNION ALL SELECT strategy, 0.0, 1.0, 0, 1 FROM (SELECT DISTINCT strategy FROM {prefix}) z) q""")
+    return prefix
+
+
+def _rmst_sql(prefix: str) -> str:
+    return f"""SELECT strategy, rmst, rmst_se, 28 - rmst AS rmtl FROM (SELECT strategy, sum(surv * width) AS rmst,
+  sqrt(sum(tail * tail * CASE WHEN n_event > 0 AND n_event < n_risk THEN n_event / (n_risk * (n_risk - n_event)) ELSE 0 END)) AS rmst_se
+  FROM (SELECT *, sum(surv * width) OVER (PARTITION BY strategy ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS tail FROM {prefix}_area) q GROUP BY strategy) y"""
+
+
+_COX_NUM = ["log_hr", "hr", "se", "z", "p", "log_lower", "log_upper", "hr_lower", "hr_upper"]
+
+
+def _cox_columns(fit: str) -> str:
+    return f"""SELECT *, log_hr / se AS z, {_normal_tail("abs(log_hr / se)")} AS p, log_hr - 1.959963984540054::DOUBLE * se AS log_lower,
+    log_hr + 1.959963984540054::DOUBLE * se AS log_upper, exp(log_hr - 1.959963984540054::DOUBLE * se) AS hr_lower,
+    exp(log_hr + 1.959963984540054::DOUBLE * se) AS hr_upper FROM ({fit}) c"""
+
+
+def _clone_hour_queries(name: str, counting: bool) -> None:
+    """Curve, restricted mean, Cox and subgroup effects on clone-hours in one of the two readings."""
+    rows = f"{name}_rows"
+    start = "start" if counting else None
+    curve_sql = _km_sql(rows, counting)
+    cox_sql = _newton(f"SELECT *, 'all' AS everyone FROM {rows}", "everyone", prefix=f"cx_{name}", entry=counting)
+    levels = " UNION ALL ".join(f"SELECT s.*, '{g}|' || f.{g} AS subgroup_level FROM {rows} s JOIN sub_flags f ON f.stay_id = s.stay_id" for g in panel.SUBGROUPS)
+    cte(f"{name}_levels", levels)
+    cte(f"{name}_large", f"SELECT * FROM {name}_levels WHERE subgroup_level IN (SELECT subgroup_level FROM {name}_levels WHERE w IS NOT NULL GROUP BY 1 HAVING count(*) >= 50)")
+    level_sql = _newton(f"SELECT * FROM {name}_large", "subgroup_level", prefix=f"cx_{name}", entry=counting)
+
+    def curve(spark: SparkSession, sf: str) -> DataFrame:
+        _, _, hours = _hours(spark, sf, counting)
+        return stage(survival.weighted_km(hours, weight="ipcw_trunc", start=start), "curve")
+
+    @query(f"km_{name}", oracle(f"SELECT * FROM {curve_sql}", num=list(_KM_COLUMNS[:5]), plain=list(_KM_COLUMNS[5:])))
+    def km(spark: SparkSession, sf: str) -> DataFrame:
+        return curve(spark, sf).select(*_KM_COLUMNS)
+
+    @query(f"rmst_{name}", oracle(_rmst_sql(curve_sql), num=["rmst", "rmst_se", "rmtl"], plain=["strategy"]))
+    def rmst_hours(spark: SparkSession, sf: str) -> DataFrame:
+        return survival.rmst(curve(spark, sf)).select("rmst", "rmst_se", "rmtl", "strategy")
+
+    @query(f"cox_{name}", oracle(_cox_columns(cox_sql), num=_COX_NUM))
+    def cox(spark: SparkSession, sf: str) -> DataFrame:
+        _, _, hours = _hours(spark, sf, counting)
+        return survival.weighted_cox(hours, weight="ipcw_trunc", start=start).select(*_COX_NUM)
+
+    @query(f"subgroup_cox_{name}", oracle(f"""SELECT split_part(l.subgroup_level, '|', 1) AS subgroup, split_part(l.subgroup_level, '|', 2) AS level, z.hr, z.se
+        FROM (SELECT DISTINCT subgroup_level FROM {name}_large) l LEFT JOIN ({level_sql}) z ON z.grp = l.subgroup_level""", num=["hr", "se"], plain=["subgroup", "level"]))
+    def subgroups(spark: SparkSession, sf: str) -> DataFrame:
+        s, cohort, hours = _hours(spark, sf, counting)
+        flags = s.subgroups(stage(s.baseline(cohort), "baseline"), creat_stage="aki_stage_creat")
+        both = stage(left_join(hours, flags, "stay_id", list(panel.SUBGROUPS)), "by-subgroup")
+        return survival.subgroup_cox(both, panel.SUBGROUPS, weight="ipcw_trunc", start=start).select("hr", "se", "subgroup", "level")
+
+
+_clone_hour_queries("hour", counting=False)
+_clone_hour_queries("counting", counting=True)
+
+
 # --- diagnostics -----------------------------------------------------------------------------
 
 _DIAG = ", ".join(
