@@ -7,23 +7,36 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialweave.functions.exprs import code_match, flag, plus_hours
 from trialweave.operators.joins import exclude, left_join, require
-from trialweave.operators.lookups import Lookup, gather
+from trialweave.operators.lookups import NEVER, Lookup, gather, order_key, time_micros
 
 
 def first_per_key(df: DataFrame, key: str, order: str, tiebreak: str) -> DataFrame:
     """The first row of every key by ``order`` (NULLs last), ties broken by ``tiebreak``.
 
     An aggregate rather than a ranking window: it combines on the map side, so a key with
-    very many rows is never sorted in one task.
+    very many rows is never sorted in one task.  Rows of fixed width with a time and a whole
+    number to order by are merged by hashing.
     """
+    ordered = isinstance(df.schema[order].dataType, (T.TimestampNTZType, T.TimestampType))
+    fixed = all(isinstance(f.dataType, _FIXED) for f in df.schema.fields)
+    if ordered and fixed and isinstance(df.schema[tiebreak].dataType, T.IntegralType):
+        rank = order_key(df, F.coalesce(time_micros(order), F.lit(NEVER)), [tiebreak], [])
+        rest = [c for c in df.columns if c != key]
+        ranked = df.select("*", rank.alias("__rank"))
+        return ranked.groupBy(key).agg(*[F.min_by(c, "__rank").alias(c) for c in rest]).select(*df.columns)
     rank = F.struct(F.col(order).isNull(), F.col(order), F.col(tiebreak))
     firsts = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), rank).alias("__row"))
     return firsts.select("__row.*")
 
 
+# Types that a hash aggregate can hold.
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 @dataclass(frozen=True)
 class Eligibility:
     """Limits and code lists of the core cohort."""

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialweave.functions.exprs import (
     HOUR_US,
@@ -32,15 +34,18 @@ LO, AT, UNIT = "__lo", "__at", "__unit"
 class Lookup:
     """One event table and how its rows turn into output columns.
 
-    ``value`` is computed per event row; ``combine`` merges values (max, min or sum);
-    ``outputs`` maps column names to functions of the merged value.
+    Either ``value`` is computed per event row, ``combine`` merges values (max, min or sum) and
+    ``outputs`` maps column names to functions of the merged value; or ``order`` ranks the rows
+    and ``fields`` are those of the highest one.
     """
 
     events: DataFrame
     key: str
-    value: Column
-    combine: str
-    outputs: Mapping[str, object]
+    value: Column | None = None
+    combine: str = "max"
+    outputs: Mapping[str, object] = field(default_factory=dict)
+    order: Column | None = None
+    fields: Mapping[str, Column] = field(default_factory=dict)
     # Point events carry one time; intervals carry a start and a nullable end.
     time: str | None = None
     span: tuple[str, str] | None = None
@@ -53,6 +58,25 @@ class Lookup:
     where: Column | None = None
     needs: tuple[str, ...] = field(default=())
 
+    def parts(self, i: int) -> dict[str, Column]:
+        """What an event row of the ``i``-th lookup contributes, all of fixed width."""
+        if self.order is None:
+            return {f"__v{i}": self.value}
+        return {f"__o{i}": self.order, **{f"__v{i}_{j}": c for j, c in enumerate(self.fields.values())}}
+
+    def merged(self, i: int) -> list[Column]:
+        """Aggregates of these parts, under the same names."""
+        if self.order is None:
+            return [{"max": F.max, "min": F.min, "sum": F.sum}[self.combine](f"__v{i}").alias(f"__v{i}")]
+        chosen = [F.max_by(f"__v{i}_{j}", f"__o{i}").alias(f"__v{i}_{j}") for j in range(len(self.fields))]
+        return [*chosen, F.max(f"__o{i}").alias(f"__o{i}")]
+
+    def finished(self, i: int) -> list[Column]:
+        """The output columns, from the merged parts."""
+        if self.order is None:
+            return [read(F.col(f"__v{i}")).alias(name) for name, read in self.outputs.items()]
+        return [F.col(f"__v{i}_{j}").alias(name) for j, name in enumerate(self.fields)]
+
     def columns(self) -> list[str]:
         times = [self.time] if self.time else list(self.span or ())
         return list(dict.fromkeys([self.key, *times, *self.needs]))
@@ -86,11 +110,30 @@ def _names(cols: Mapping[str, str] | Sequence[str] | str) -> dict[str, str]:
     return {c: c for c in cols}
 
 
-def _newest(order: Sequence[Column], names: Mapping[str, str]) -> tuple[Column, dict]:
-    """A value whose maximum is the newest row, and how to read its fields."""
-    ranked = [c.alias(f"o{i}") for i, c in enumerate(order)]
-    value = F.struct(*ranked, *[F.col(src).alias(f"c_{out}") for out, src in names.items()])
-    return value, {out: (lambda v, f=f"c_{out}": v.getField(f)) for out in names}
+# Digits of a tie-break in an order key, and the microseconds no time reaches.
+_TIE, NEVER = 10**20, 10**18 - 1
+
+
+def order_key(events: DataFrame, micros: Column, tiebreak: Sequence[str], fields: Sequence[Column]) -> Column:
+    """A time in microseconds and a tie-break as one whole number of 38 digits.
+
+    Keys of fixed width let Spark merge rows in hash aggregates; a struct would be sorted.
+    One whole-number column can break ties this way.  Without a tie-break a hash of the
+    fields does, so that a task that is run again chooses the same row.  Other tie-breaks make
+    a struct.
+    """
+    if not tiebreak:
+        tie = F.xxhash64(*fields)
+    elif len(tiebreak) == 1 and isinstance(events.schema[tiebreak[0]].dataType, T.IntegralType):
+        tie = F.coalesce(F.col(tiebreak[0]).cast("bigint"), F.lit(-(1 << 63)))
+    else:
+        return F.struct(micros.alias("o"), *tiebreak)
+    wide = F.lit(Decimal(_TIE)).cast(T.DecimalType(21, 0))
+    return (micros.cast(T.DecimalType(18, 0)) * wide + (tie.cast(T.DecimalType(20, 0)) + F.lit(Decimal(1 << 63)))).cast(T.DecimalType(38, 0))
+
+
+def time_micros(time: str) -> Column:
+    return micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), time)
 
 
 def last(
@@ -109,12 +152,13 @@ def last(
     ordered by ``tiebreak``, larger last.
     """
     names = _names(cols)
-    value, outputs = _newest([F.col(time), *[F.col(c) for c in tiebreak]], names)
+    fields = {out: F.col(src) for out, src in names.items()}
+    order = order_key(events, time_micros(time), tiebreak, list(fields.values()))
     where = F.col(time).isNotNull()
     if not_null:
         where = where & F.col(not_null).isNotNull()
     needs = (*names.values(), *tiebreak, *((not_null,) if not_null else ()))
-    return Lookup(events, key, value, "max", outputs, time=time, window=window, side=side, where=where, needs=needs)
+    return Lookup(events, key, order=order, fields=fields, time=time, window=window, side=side, where=where, needs=needs)
 
 
 def last_ahead(events, key, time, cols, window, not_null=None, tiebreak=()) -> Lookup:
@@ -202,11 +246,11 @@ def overlap_last(
 ) -> Lookup:
     """Newest overlapping interval by end time; an open interval is newest if ``open_first``."""
     names = _names(cols)
-    is_open = F.col(end).isNull()
-    rank = is_open if open_first else ~is_open
-    value, outputs = _newest([rank, F.col(end), *[F.col(c) for c in tiebreak]], names)
+    fields = {out: F.col(src) for out, src in names.items()}
+    ends = F.coalesce(time_micros(end), F.lit(NEVER if open_first else -NEVER))
+    order = order_key(intervals, ends, tiebreak, list(fields.values()))
     return Lookup(
-        intervals, key, value, "max", outputs, span=(start, end), window=window,
+        intervals, key, order=order, fields=fields, span=(start, end), window=window,
         where=F.col(not_null).isNotNull() if not_null else None,
         needs=(*names.values(), *tiebreak, *((not_null,) if not_null else ())),
     )
@@ -215,9 +259,10 @@ def overlap_last(
 def valid_at(intervals, key, start, end, cols, not_null=None, tiebreak=()) -> Lookup:
     """Interval that contains t (closed ends, NULL end = still valid); latest start wins."""
     names = _names(cols)
-    value, outputs = _newest([F.col(start), *[F.col(c) for c in tiebreak]], names)
+    fields = {out: F.col(src) for out, src in names.items()}
+    order = order_key(intervals, time_micros(start), tiebreak, list(fields.values()))
     return Lookup(
-        intervals, key, value, "max", outputs, span=(start, end), side="valid",
+        intervals, key, order=order, fields=fields, span=(start, end), side="valid",
         where=F.col(not_null).isNotNull() if not_null else None,
         needs=(*names.values(), *tiebreak, *((not_null,) if not_null else ())),
     )
@@ -238,29 +283,23 @@ def _joined(units: DataFrame, unit: str, at: str, lookup: Lookup, salts: int) ->
     return spread_join(facts, units.select(*side), [lookup.key], salts)
 
 
-def _reduce(base: DataFrame, keys: Sequence[str], parts: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
-    """Stack the base rows and all value rows and aggregate once by ``keys``.
+def _reduce(base: DataFrame, keys: Sequence[str], lookups: Sequence[Lookup], parts: Sequence[DataFrame]) -> DataFrame:
+    """Stack the keys of ``base`` and all parts, aggregate once by ``keys`` and join the rest of ``base``.
 
-    ``base`` has the keys and one struct ``__row``; it decides which keys exist.  A key that
-    it holds twice is an error.
+    ``base`` decides which keys exist; a key that it holds twice is an error.  Only columns of
+    fixed width are aggregated, which Spark does by hashing.
     """
-    stacked = base
-    for rows, _, _ in parts:
+    stacked = base.select(*keys, F.lit(1).alias("__copies"))
+    for rows in parts:
         stacked = stacked.unionByName(rows, allowMissingColumns=True)
-    merge = {"max": F.max, "min": F.min, "sum": F.sum}
-    repeated = F.count("__row") > 1
-    return stacked.groupBy(*keys).agg(
-        F.when(repeated, F.raise_error(F.lit("a unit occurs more than once"))).otherwise(F.any_value("__row", True)).alias("__row"),
-        *[merge[how](name).alias(name) for _, name, how in parts],
-    )
+    merged = [c for i, lookup in enumerate(lookups) for c in lookup.merged(i)]
+    wide = stacked.groupBy(*keys).agg(F.count("__copies").alias("__copies"), *merged).filter(F.col("__copies") > 0)
+    once = F.when(F.col("__copies") > 1, F.raise_error(F.lit("a unit occurs more than once")).cast("int"))
+    return base.join(wide.withColumn("__copies", once), list(keys), "inner").filter(F.col("__copies").isNull())
 
 
 def _finish(lookups: Sequence[Lookup]) -> list[Column]:
-    return [
-        read(F.col(f"__v{i}")).alias(name)
-        for i, lookup in enumerate(lookups)
-        for name, read in lookup.outputs.items()
-    ]
+    return [c for i, lookup in enumerate(lookups) for c in lookup.finished(i)]
 
 
 def gather(
@@ -270,12 +309,9 @@ def gather(
     parts = []
     for i, lookup in enumerate(lookups):
         rows = _joined(units, unit, at, lookup, salts).filter(lookup.matches())
-        parts.append((rows.select(F.col(UNIT).alias(unit), lookup.value.alias(f"__v{i}")), f"__v{i}", lookup.combine))
-    rest = [c for c in units.columns if c != unit]
-    base = units.select(unit, F.struct(*rest).alias("__row"))
-    wide = _reduce(base, [unit], parts)
-    row = [F.col(unit) if c == unit else F.col("__row").getField(c).alias(c) for c in units.columns]
-    return wide.select(*row, *_finish(lookups))
+        parts.append(rows.select(F.col(UNIT).alias(unit), *[c.alias(n) for n, c in lookup.parts(i).items()]))
+    wide = _reduce(units, [unit], lookups, parts)
+    return wide.select(*units.columns, *_finish(lookups))
 
 
 def hour_grid(units: DataFrame, at: str, n: int, name: str = "hour_index") -> DataFrame:
@@ -288,7 +324,7 @@ def hour_grid(units: DataFrame, at: str, n: int, name: str = "hour_index") -> Da
     )
 
 
-def _slice_rows(units: DataFrame, unit: str, at: str, n: int, lookup: Lookup, name: str, salts: int) -> DataFrame:
+def _slice_rows(units: DataFrame, unit: str, at: str, n: int, lookup: Lookup, i: int, salts: int) -> DataFrame:
     """Values of one lookup on the slices it counts for.
 
     With d the offset from the reference time in hours, a point falls in cell ceil(d) - 1
@@ -317,19 +353,19 @@ def _slice_rows(units: DataFrame, unit: str, at: str, n: int, lookup: Lookup, na
         start, end = lookup.span
         lo = hours_down(start)
         hi = F.coalesce(hours_up(end) + (w - 2), F.lit(n - 1))
-    merge = {"max": F.max, "min": F.min, "sum": F.sum}[lookup.combine]
+    values = lookup.parts(i)
     ends = (
         rows.select(
             F.col(UNIT).alias(unit),
             F.greatest(lo, F.lit(0)).cast("int").alias("__from"),
             F.least(hi, F.lit(n - 1)).cast("int").alias("__to"),
-            lookup.value.alias(name),
+            *[c.alias(name) for name, c in values.items()],
         )
         .filter(F.col("__from") <= F.col("__to"))
     )
     if lookup.time is None or w > 1:
-        ends = ends.groupBy(unit, "__from", "__to").agg(merge(name).alias(name))
-    return ends.select(unit, F.explode(F.sequence("__from", "__to")).alias("hour_index"), name)
+        ends = ends.groupBy(unit, "__from", "__to").agg(*lookup.merged(i))
+    return ends.select(unit, F.explode(F.sequence("__from", "__to")).alias("hour_index"), *values)
 
 
 def gather_slices(
@@ -347,21 +383,14 @@ def gather_slices(
     that the narrow ``units`` alone is joined to every event table.
     """
     carried = units if attributes is None else attributes
-    parts = [
-        (_slice_rows(units, unit, at, n, lookup, f"__v{i}", salts), f"__v{i}", lookup.combine)
-        for i, lookup in enumerate(lookups)
-    ]
-    rest = [c for c in carried.columns if c != unit]
-    base = carried.select(
-        unit, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("hour_index"), F.struct(*rest).alias("__row")
-    )
-    wide = _reduce(base, [unit, "hour_index"], parts)
-    row = [F.col(unit) if c == unit else F.col("__row").getField(c).alias(c) for c in carried.columns]
+    parts = [_slice_rows(units, unit, at, n, lookup, i, salts) for i, lookup in enumerate(lookups)]
+    base = carried.withColumn("hour_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    wide = _reduce(base, [unit, "hour_index"], lookups, parts)
     h = F.col("hour_index")
     return wide.select(
-        *row,
+        *carried.columns,
         h,
-        plus_hours(F.col("__row").getField(at), h).alias("t_start"),
-        plus_hours(F.col("__row").getField(at), h + 1).alias("t_end"),
+        plus_hours(at, h).alias("t_start"),
+        plus_hours(at, h + 1).alias("t_end"),
         *_finish(lookups),
     )
