@@ -18,6 +18,9 @@
    component.  The sets in the remaining pairs of leaves are compared, each fetched once for
    all the pairs of two parents.
 6. Only links that join components leave a task; components are found by star contraction.
+
+Joins have one form at every size: tables of broadcast joins, each with memory pages of its
+own, stayed in the executors from step to step.
 """
 
 from __future__ import annotations
@@ -99,7 +102,7 @@ def _prefix(reps: DataFrame, percent: int, counted: int) -> DataFrame:
     """``(rep, token)``: the rarest tokens of each representative that another one has too."""
     tokens = reps.select("rep", "n", "counted", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    own = tokens.join(shared, "token")
+    own = tokens.join(shared.hint("merge"), "token")
     needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     is_counted = (F.col("token") >= 0) & (F.col("token") < counted)
     each = own.groupBy("rep", "n", "counted").agg(
@@ -308,7 +311,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The rows of ``pairs`` of nodes ``(a, b)`` that can still hold a link between two components."""
     for side in "ab":
         columns = [F.col(c).alias(f"{side}_{c}") for c in nodes.columns if c not in ("level", "node")]
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), *columns), side)
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *columns).hint("merge"), side)
     pairs = pairs.where(~((F.col("a_low") == F.col("b_low")) & (F.col("a_high") == F.col("b_high")) & (F.col("a_low") == F.col("a_high"))))
     # sizes alone rule out many
     pairs = pairs.where(F.least("a_most_n", "b_most_n") * (100 + percent) >= (F.col("a_least_n") + F.col("b_least_n")) * percent)
@@ -361,19 +364,19 @@ def _open_pairs(spots: DataFrame, nodes_to, percent: int) -> DataFrame:
         above = rooted[-1].where("many").select("token")
         if not above.limit(1).count():
             break
-        up = levels[-1].join(above, "token").select("token", F.shiftright("node", FANOUT_BITS).alias("node")).distinct()
+        up = levels[-1].join(above.hint("merge"), "token").select("token", F.shiftright("node", FANOUT_BITS).alias("node")).distinct()
         levels.append(stage(up, "spots"))
     nodes = nodes_to(len(levels) - 1)
     pairs = None
     for level in range(len(levels) - 1, -1, -1):
-        own = levels[level].join(rooted[level].where("not many").select("token"), "token")
+        own = levels[level].join(rooted[level].where("not many").select("token").hint("merge"), "token")
         a, b = own.select("token", F.col("node").alias("a")), own.select("token", F.col("node").alias("b"))
-        both = a.join(b, "token").where("a <= b")
+        both = a.join(b.hint("merge"), "token").where("a <= b")
         if pairs is not None:
             below = levels[level].withColumn("up", F.shiftright("node", FANOUT_BITS))
             a = below.select("token", F.col("up").alias("up_a"), F.col("node").alias("a"))
             b = below.select("token", F.col("up").alias("up_b"), F.col("node").alias("b"))
-            down = pairs.select("token", F.col("a").alias("up_a"), F.col("b").alias("up_b")).join(a, ["token", "up_a"]).join(b, ["token", "up_b"])
+            down = pairs.select("token", F.col("a").alias("up_a"), F.col("b").alias("up_b")).join(a.hint("merge"), ["token", "up_a"]).join(b.hint("merge"), ["token", "up_b"])
             both = both.unionAll(down.where("a <= b").select("token", "a", "b"))
         if level == 0:  # the same two leaves are compared once, whatever they share
             both = both.groupBy("a", "b").agg(F.min("token").alias("token"))
@@ -399,32 +402,32 @@ def _tree_links(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     kind = F.explode(F.array(F.xxhash64(F.lit(0), "least"), F.xxhash64(F.lit(1), "most")))
     kinds = sets.select(*same, kind.alias("kind"))
     sizes = stage(kinds.groupBy("kind").agg(F.count("*").alias("size"), F.sum(_weight()).alias("weight")).where("size > 1"), "kinds")
-    several = kinds.join(sizes, "kind").withColumn("part", F.pmod(F.xxhash64("k"), F.ceil(F.col("weight") / LEAF)))
+    several = kinds.join(sizes.hint("merge"), "kind").withColumn("part", F.pmod(F.xxhash64("k"), F.ceil(F.col("weight") / LEAF)))
     several = several.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(-1)))).where("shift = 0 or part > 0")
     several = stage(several.select(*same, F.xxhash64("kind", F.col("part") + F.col("shift")).alias("unit")), "several")
     near = sets.select(*same, "set").join(_packed(several).hint("merge"), same)
     links = stage(_compare(near, percent), "near-links")
 
     known = connected_components(links).select(F.col("id").alias("k"), F.col("component").alias("part"))
-    parts = sets.select(*same, "slack", "sig").join(known, "k", "left").withColumn("part", F.coalesce("part", "k"))
+    parts = sets.select(*same, "slack", "sig").join(known.hint("merge"), "k", "left").withColumn("part", F.coalesce("part", "k"))
     large = known.groupBy("part").agg(F.count("*").alias("size")).where(F.col("size") >= 1 << NODE_BITS).select("part", F.col("part").alias("cluster"))
     hottest = tokens.groupBy("k").agg(F.max(F.struct("df", "token"))["token"].alias("segment"))
-    docs = parts.join(large, "part", "left").join(hottest, "k")
+    docs = parts.join(large.hint("merge"), "part", "left").join(hottest.hint("merge"), "k")
     docs = stage(_ranked(docs, ["segment", "cluster", "n", "least", "k"]), "documents").withColumn("leaf", F.shiftright("rank", NODE_BITS))
 
-    held = stage(tokens.join(docs.select("k", "leaf", "part"), "k").select("token", "leaf", "part"), "held")
+    held = stage(tokens.join(docs.select("k", "leaf", "part").hint("merge"), "k").select("token", "leaf", "part"), "held")
     content = [F.count("*").alias("n"), F.sum(F.col("leaf").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("leaf")).alias("odd")]
     leaves = held.groupBy("token", "leaf").agg(F.min("part").alias("first"), F.max("part").alias("last"))
     open_ = leaves.groupBy("token").agg(F.min("first").alias("first"), F.max("last").alias("last"), *content).where("first < last")
     # shingles of one passage have the same leaves: one stands for all of them
     open_ = open_.groupBy("n", "total", "odd").agg(F.min("token").alias("token")).select("token")
-    spots = stage(held.join(open_, "token", "left_semi").select("token", F.col("leaf").alias("node")).distinct(), "spots")
+    spots = stage(held.join(open_.hint("merge"), "token", "left_semi").select("token", F.col("leaf").alias("node")).distinct(), "spots")
     pairs = _open_pairs(spots, lambda top: _hierarchy(docs, top), percent)
 
     unit = F.xxhash64(F.shiftright("a", FANOUT_BITS), F.shiftright("b", FANOUT_BITS)).alias("unit")
     ends = pairs.select(unit, "a", F.explode(F.array_distinct(F.array("a", "b"))).alias("leaf"), "b")
     ends = ends.groupBy("unit", "leaf").agg(F.collect_set(F.when(F.col("leaf") == F.col("a"), F.col("b"))).alias("against"))
-    rest = _packed(stage(ends.join(docs.select("leaf", "part", *same), "leaf"), "ends"))
+    rest = _packed(stage(ends.join(docs.select("leaf", "part", *same).hint("merge"), "leaf"), "ends"))
     rest = sets.select(*same, "set").join(rest.hint("merge"), same)
     return links.unionAll(_compare_leaves(rest, percent))
 
@@ -448,13 +451,13 @@ def link_documents(docs: DataFrame, width: int = 5, percent: int = 80, text: str
     reps = stage(reps, "representatives")
     prefix = stage(_prefix(reps, percent, counted), "prefix")
     shared = prefix.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    tokens = stage(prefix.join(shared, "token").select(F.col("rep").alias("k"), "token", "df"), "rare-tokens")
+    tokens = stage(prefix.join(shared.hint("merge"), "token").select(F.col("rep").alias("k"), "token", "df"), "rare-tokens")
     members = stage(tokens.select("k").distinct(), "members")
     sets = stage(_candidate_sets(rows, members, width), "sets")
     found = connected_components(_tree_links(sets, tokens, percent))
-    names = reps.select("digest", "rep").join(found, reps.rep == found.id, "left")
+    names = reps.select("digest", "rep").join(found.hint("merge"), reps.rep == found.id, "left")
     names = names.select("digest", F.coalesce("component", "rep").alias("component"))
-    result = sketches.select("k", "n", "digest").join(names, "digest", "left")
+    result = sketches.select("k", "n", "digest").join(names.hint("merge"), "digest", "left")
 
     return result.select(
         shown_key(F.col("k")).alias(key), F.col("n").alias("n_shingles"), shown_key(F.coalesce("component", "k")).alias("component")
