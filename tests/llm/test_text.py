@@ -323,11 +323,44 @@ def test_character_map():
 
 
 def test_language(spark, docs, rows):
-    model = language.fit_model(["the of and to " * 3, "le la des et ", "the with of", "la le un des"] * 5, ["en", "fr", "en", "fr"] * 5)
+    texts = ["the of and to " * 3, "le la des et ", "the with of", "la le un des"] * 5
+    model = language.fit_model([language.grams(t) for t in texts], ["en", "fr", "en", "fr"] * 5, np.ones(language.BUCKETS))
     got = {(r.doc_id, r.lang_pred) for r in language.identify(spark.createDataFrame([(1, "and the of"), (2, "des la et le"), (3, None), (4, "12 !"), (5, "")], "doc_id bigint, text string"), model).collect()}
     assert got == {(1, "en"), (2, "fr"), (3, "und"), (4, "und"), (5, "und")}
     fitted = language.fit(docs)
-    assert fitted.languages == ["en", "fr"] and language.identify(docs, fitted).count() == len(rows)
+    assert fitted.languages == ["en", "fr"]
+    out = language.identify(docs, fitted).collect()
+    assert len(out) == len(rows)
+    # predictions again, densely, from the model's arrays
+    by_id = {}
+    for r in out:
+        by_id.setdefault(r.doc_id, set()).add((r.lang_pred, round(r.score, 9)))
+    for key, text, *_ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            assert ("und", 0.0) in by_id[key]
+            continue
+        counts = np.zeros(language.BUCKETS)
+        at, n = language.grams(text)
+        counts[at] = n
+        x = np.log1p(counts) * fitted.idf
+        z = x / np.linalg.norm(x) @ fitted.weights / fitted.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert (fitted.languages[int(p.argmax())], round(float(p.max()), 9)) in by_id[key]
+
+
+def test_language_frequencies_and_sample(spark):
+    """Frequencies count every row and whole texts; a rare language is in the sample of a few rows."""
+    texts = [f"the of and to w{i}" for i in range(300)] + ["x" * 70_000 + " zzq"] + ["jeg ikke og det er", "og det er ikke"]
+    langs = ["en"] * 301 + ["da"] * 2
+    df = spark.createDataFrame(list(zip(range(303), texts, langs)), "doc_id bigint, text string, lang string").repartition(7)
+    want = np.zeros(language.BUCKETS)
+    for t in texts:
+        want[language.grams(t)[0]] += 1
+    got = language.inverse_frequencies(df.selectExpr("text AS t"))
+    assert np.allclose(got, np.log(304 / (1 + want)) + 1)
+    model = language.fit(df, sample_rows=20)
+    assert model.languages == ["da", "en"] and np.allclose(model.idf, got)
+    assert model.predict("det er ikke og")[0] == "da"
 
 
 def test_grams_of_long_texts_are_whole():

@@ -3,8 +3,8 @@
 Features are hashed n-grams of one to three lower-cased characters, weighted by term frequency
 and inverse document frequency and scaled to length one.  Weights are fitted by
 follow-the-regularised-leader with elastic-net penalties, then one temperature is fitted on a
-part of the sample that the weights have not seen.  The fit uses a bounded sample
-(``sample_rows``); every whole text is classified.
+part of the sample that the weights have not seen.  The weights are fitted on a bounded sample
+(``sample_rows``), n-gram frequencies are counted over all rows; every whole text is classified.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
@@ -47,7 +47,9 @@ class LanguageModel:
     temperature: float
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        at, count = grams(text)
+        return self.scaled(*grams(text))
+
+    def scaled(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         value = np.log1p(count) * self.idf[at]
         return at, value / max(np.sqrt((value * value).sum()), 1e-12)
 
@@ -65,17 +67,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def fit_model(texts: list[str], langs: list[str], epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> LanguageModel:
-    """Fit weights on four fifths of the rows and the temperature on the rest."""
+def fit_model(
+    counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], idf: np.ndarray, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0,
+    l1: float = 1e-4, l2: float = 1e-4,
+) -> LanguageModel:
+    """Fit weights on four fifths of the rows, given their n-gram counts, and the temperature on the rest."""
     languages = sorted(set(langs))
-    model = LanguageModel(languages, np.ones(BUCKETS), np.zeros((BUCKETS, len(languages))), 1.0)
-    held = [i for i in range(len(texts)) if i % 5 == 4]
-    fitted = [i for i in range(len(texts)) if i % 5 != 4]
-    frequency = np.zeros(BUCKETS)
-    for i in fitted:
-        frequency[grams(texts[i])[0]] += 1
-    model.idf = np.log((1 + len(fitted)) / (1 + frequency)) + 1
-    rows = [model.features(t) for t in texts]
+    model = LanguageModel(languages, idf, np.zeros((BUCKETS, len(languages))), 1.0)
+    held = [i for i in range(len(counts)) if i % 5 == 4]
+    fitted = [i for i in range(len(counts)) if i % 5 != 4]
+    rows = [model.scaled(*c) for c in counts]
     target = [languages.index(lang) for lang in langs]
     z, n, w = np.zeros_like(model.weights), np.zeros_like(model.weights), model.weights
     random = np.random.default_rng(7)
@@ -104,26 +105,69 @@ def fit_model(texts: list[str], langs: list[str], epochs: int = 3, alpha: float
     return model
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 4_000, longest: int = 1 << 16) -> LanguageModel:
-    """Fit on at most ``sample_rows`` rows with a language, the first by a hash of their key.
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(bucket, n)`` of one task: how many of its texts have an n-gram of the bucket; -1 counts the texts."""
+    total, texts = np.zeros(BUCKETS, np.int64), 0
+    for batch in batches:
+        for t in batch["t"]:
+            total[grams(t.as_py())[0]] += 1
+        texts += len(batch)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], texts))], ["bucket", "n"])
+
+
+def inverse_frequencies(rows: DataFrame) -> np.ndarray:
+    """The IDF of every bucket over all texts ``t``: at most ``BUCKETS`` sums reach the driver."""
+    sums = rows.select("t").mapInArrow(_frequencies, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = {r["bucket"]: r["n"] for r in sums.collect()}
+    frequency = np.zeros(BUCKETS)
+    texts = found.pop(-1, 0)
+    frequency[list(found)] = list(found.values())
+    return np.log((1 + texts) / (1 + frequency)) + 1
+
 
-    Of a sampled text longer than ``longest`` characters, that many are used: a bound of the
-    fit alone.  Rows without text, language or letter are not used; an empty sample gives a
-    model that answers ``und``.
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [grams(t.as_py()) for t in batch["t"]]
+        at = pa.array([a.astype(np.uint16).tobytes() for a, _ in found], pa.binary())
+        count = pa.array([np.minimum(c, 0xFFFFFFFF).astype(np.uint32).tobytes() for _, c in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["o"], batch["l"], at, count], ["o", "l", "at", "count"])
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 4_000) -> LanguageModel:
+    """Fit on about ``sample_rows`` rows with a language, and on the n-gram frequencies of all of them.
+
+    Every language has an equal share of the sample, at least one row: its first rows by a hash
+    of their key, of which whole texts are counted in tasks.  Rare languages are thus learned
+    too.  The document frequencies behind the weights are counted over all rows.  Rows without
+    text, language or letter are not used; an empty sample gives a model that answers ``und``.
+    Repeated rows count as often as they occur.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     rows = rows.where(F.col("t").isNotNull() & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    ids = rows.select("k", "l", F.md5(F.concat_ws("|", F.col("k").cast("string"), "l")).alias("o")).orderBy("o", "k").limit(sample_rows)
-    last = ids.agg(F.max("o").alias("o")).first().o
-    if last is None:
-        return fit_model([], [])
-    picked = rows.withColumn("o", F.md5(F.concat_ws("|", F.col("k").cast("string"), "l"))).where(F.col("o") <= last)
-    picked = picked.select("o", "k", "l", F.substring("t", 1, longest).alias("t")).orderBy("o", "k", "t").limit(sample_rows).collect()
-    return fit_model([r.t for r in picked], [r.l for r in picked])
+    rows = rows.withColumn("o", F.md5(F.concat_ws("|", "k", "l")))
+    languages = rows.agg(F.count_distinct("l")).first()[0]
+    if not languages:
+        return fit_model([], [], np.ones(BUCKETS))
+    share = max(1, sample_rows // languages)
+    place = F.row_number().over(Window.partitionBy("l").orderBy("o"))
+    # the filter on the place lets every task drop all but its first rows before they are shuffled
+    last = rows.select("l", "o").withColumn("place", place).where(F.col("place") <= share).groupBy("l").agg(F.max("o").alias("last"))
+    picked = rows.join(F.broadcast(last), "l").where(F.col("o") <= F.col("last")).select("o", "l", "t")
+    counted = picked.mapInArrow(_features, "o string, l string, at binary, count binary")
+    best = Window.partitionBy("l").orderBy("o", "at", "count")
+    sample = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= share)
+    sample = sorted(sample.select("o", "l", "at", "count").collect(), key=lambda r: (r.o, r.l, bytes(r.at), bytes(r["count"])))
+    counts = [(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["count"], np.uint32).astype(np.int64)) for r in sample]
+    return fit_model(counts, [r["l"] for r in sample], inverse_frequencies(rows))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(key, lang_pred, score)`` per row; ``und`` and 0.0 for texts without a letter."""
+    """``(key, lang_pred, score)``, one row per row; ``und`` and 0.0 for null texts and those without a letter.
+
+    Equal texts have equal predictions; of languages with the same probability the first by
+    name is returned.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

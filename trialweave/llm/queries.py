@@ -70,7 +70,7 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_chunks.remove_repeats(table(spark, sf_dir, "documents"))
+    rows = line_chunks.remove_repeats(table(spark, sf_dir, "documents"), spaced=True)
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
     return rows.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_removed").cast("bigint").alias("n_removed"), kept.alias("kept_sha256"))
 
@@ -191,11 +191,13 @@ WITH lines AS (
                generate_subscripts(string_split(text, chr(10)), 1) AS i
         FROM documents WHERE text IS NOT NULL)
 ), marked AS (
-  SELECT *, lag(h) OVER (PARTITION BY doc_id ORDER BY i) * 31 + h AS rolling FROM lines
+  SELECT *, i >= 2 AND (lag(h) OVER (PARTITION BY doc_id ORDER BY i) * 31 + h) % 2 = 0 AS meets FROM lines
+), spaced AS (
+  SELECT *, meets AND NOT coalesce(lag(meets) OVER (PARTITION BY doc_id ORDER BY i), false) AND i < n_lines - 1 AS ends FROM marked
 ), numbered AS (
-  SELECT *, coalesce(sum(CASE WHEN i >= 2 AND rolling % 2 = 0 THEN 1 ELSE 0 END)
+  SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END)
          OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS idx
-  FROM marked
+  FROM spaced
 ), parts AS (
   SELECT doc_id, idx, n_lines, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body
   FROM numbered GROUP BY doc_id, idx, n_lines
