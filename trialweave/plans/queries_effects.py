@@ -418,11 +418,44 @@ def cox_weighted(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("cox_robust")
+def _robust_sql(fit: str, rows: str, group: str, prefix: str = "cx") -> str:
+    """A fit of ``_newton`` with the variance robust to clones of one unit, from Efron's score residuals.
+
+    Every row gets its own hazard by a range join; one that dies among ties leaves their risk
+    sets step by step.
+    """
+    name = f"{prefix}_{group}"
+    cte(f"{name}_fit", fit)
+    cte(f"{name}_steps", f"""
+SELECT t.grp, t.time, l / CAST(k AS DOUBLE) AS share, (d0 + d1) / k AS m, exp(f.log_hr) * (r1 - l / CAST(k AS DOUBLE) * d1) AS part,
+  exp(f.log_hr) * (r1 - l / CAST(k AS DOUBLE) * d1) + r0 - l / CAST(k AS DOUBLE) * d0 AS whole
+FROM (SELECT *, unnest(range(CAST(k AS BIGINT))) AS l FROM {name}_t WHERE k > 0) t JOIN {name}_fit f ON f.grp = t.grp""")
+    cte(f"{name}_hazard", f"""
+SELECT grp, time, sum(m / whole) AS h, sum(m / whole * part / whole) AS hm, sum((1 - share) * m / whole) AS h_tied,
+  sum((1 - share) * m / whole * part / whole) AS hm_tied, avg(part / whole) AS mean FROM {name}_steps GROUP BY grp, time""")
+    cte(f"{name}_residual", f"""
+SELECT q.grp, q.stay_id, q.w * (CASE WHEN q.event = 1 THEN q.x - mean ELSE 0 END - exp(log_hr * q.x) * (q.x * h - hm)) AS u FROM (
+  SELECT r.grp, r.stay_id, r.w, r.event, r.x, any_value(f.log_hr) AS log_hr, any_value(z.mean) FILTER (z.time = r.time) AS mean,
+    coalesce(sum(CASE WHEN r.event = 1 AND z.time = r.time THEN z.h_tied ELSE z.h END), 0) AS h,
+    coalesce(sum(CASE WHEN r.event = 1 AND z.time = r.time THEN z.hm_tied ELSE z.hm END), 0) AS hm
+  FROM (SELECT {group} AS grp, stay_id, time, w, event, CASE WHEN strategy = 'B' THEN 1 ELSE 0 END AS x, row_number() OVER () AS n FROM ({rows}) a WHERE w IS NOT NULL) r
+  JOIN {name}_fit f ON f.grp = r.grp LEFT JOIN {name}_hazard z ON z.grp = r.grp AND z.time <= r.time GROUP BY r.n, r.grp, r.stay_id, r.time, r.w, r.event, r.x) q""")
+    return f"""SELECT *, log_hr / robust_se AS z, {_normal_tail("abs(log_hr / robust_se)")} AS p, log_hr - 1.959963984540054::DOUBLE * robust_se AS log_lower,
+    log_hr + 1.959963984540054::DOUBLE * robust_se AS log_upper, exp(log_hr - 1.959963984540054::DOUBLE * robust_se) AS hr_lower,
+    exp(log_hr + 1.959963984540054::DOUBLE * robust_se) AS hr_upper FROM (
+      SELECT f.grp, any_value(f.log_hr) AS log_hr, any_value(f.hr) AS hr, any_value(f.se) AS se, sqrt(sum(c.u * c.u)) * any_value(f.se) * any_value(f.se) AS robust_se
+      FROM {name}_fit f JOIN (SELECT grp, stay_id, sum(u) AS u FROM {name}_residual GROUP BY grp, stay_id) c ON c.grp = f.grp GROUP BY f.grp) v"""
+
+
+_ROBUST_NUM = ["log_hr", "hr", "se", "robust_se", "z", "p", "log_lower", "log_upper", "hr_lower", "hr_upper"]
+_ALL_ROWS = "SELECT *, 'all' AS everyone FROM surv_rows"
+
+
+@query("cox_robust", oracle(_robust_sql(_COX, _ALL_ROWS, "everyone"), num=_ROBUST_NUM))
 def cox_robust(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with a standard error robust to clones of one unit."""
+    """The same with a standard error robust to clones of one unit, and the limits it gives."""
     _, _, rows = _survival(spark, sf)
-    return survival.weighted_cox(stage(rows, "survival"), weight="ipcw_trunc_last", cluster="stay_id")
+    return survival.weighted_cox(stage(rows, "survival"), weight="ipcw_trunc_last", cluster="stay_id").select(*_ROBUST_NUM)
 
 
 def _subgroup_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -440,13 +473,14 @@ cte("large_levels", "SELECT * FROM level_rows WHERE subgroup_level IN (SELECT su
 _BY_LEVEL = _newton("SELECT * FROM large_levels", "subgroup_level")
 
 
-@query("subgroup_cox", oracle(f"""SELECT split_part(l.subgroup_level, '|', 1) AS subgroup, split_part(l.subgroup_level, '|', 2) AS level, z.hr, z.se
-    FROM (SELECT DISTINCT subgroup_level FROM large_levels) l LEFT JOIN ({_BY_LEVEL}) z ON z.grp = l.subgroup_level""",
-       num=["hr", "se"], plain=["subgroup", "level"]))
+@query("subgroup_cox", oracle(f"""SELECT split_part(l.subgroup_level, '|', 1) AS subgroup, split_part(l.subgroup_level, '|', 2) AS level, z.* EXCLUDE (grp), l.n, l.n_event
+    FROM (SELECT subgroup_level, count(*) AS n, CAST(sum(event) AS BIGINT) AS n_event FROM large_levels WHERE w IS NOT NULL GROUP BY subgroup_level) l
+    LEFT JOIN ({_robust_sql(_BY_LEVEL, "SELECT * FROM large_levels", "subgroup_level")}) z ON z.grp = l.subgroup_level""",
+       num=_ROBUST_NUM, plain=["subgroup", "level", "n", "n_event"]))
 def subgroup_cox(spark: SparkSession, sf: str) -> DataFrame:
     """Cox effect in every subgroup level with at least 50 clones, in one grouped fit; NULL without events."""
-    fits = survival.subgroup_cox(_subgroup_rows(spark, sf), panel.SUBGROUPS, weight="ipcw_trunc_last")
-    return fits.select("hr", "se", "subgroup", "level")
+    fits = survival.subgroup_cox(_subgroup_rows(spark, sf), panel.SUBGROUPS, weight="ipcw_trunc_last", cluster="stay_id")
+    return fits.select(*_ROBUST_NUM, "subgroup", "level", "n", "n_event")
 
 
 _Q = f"""SELECT subgroup, count(*) AS levels, count(*) - 1 AS df,
