@@ -99,3 +99,7 @@ def test_whole_study_runs(spark, tmp_path):
     assert result.rmst().count() == 2
     assert result.cox().count() == 1
     assert "hr" in result.subgroup_cox(5).columns
+    paths = result.reports()
+    assert set(paths) == {"cox_results", "subgroup_cox", "weight_diagnostics", "risk_difference", "rmst", "merged_dataset"}
+    assert spark.read.csv(paths["merged_dataset"], header=True).count() == n * 48
+    assert "robust_se" in spark.read.csv(paths["cox_results"], header=True).columns

@@ -363,6 +363,20 @@ def rmst_report(spark: SparkSession, sf: str) -> DataFrame:
     return read_csv(spark, path, table.schema).select("rmst", "rmtl", "strategy")
 
 
+def _report(spark: SparkSession, table: DataFrame, name: str) -> DataFrame:
+    """A result table written as one CSV file and read back."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    write_csv(table, path, single_file=True)
+    return read_csv(spark, path, table.schema)
+
+
+@query("risk_difference_report", oracle(_RD, num=["time", "rd"], plain=["arm_contrast"]))
+def risk_difference_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The risk-difference curve as a CSV report, read back."""
+    curve = survival.km_at(_curve(spark, sf), survival.time_grid(0, 28, 0.5))
+    return _report(spark, survival.risk_difference(curve), "risk-difference")
+
+
 # --- Cox -------------------------------------------------------------------------------------
 
 def _newton(rows: str, group: str, steps: int = 12, prefix: str = "cx", entry: bool = False) -> str:
@@ -458,6 +472,14 @@ def cox_robust(spark: SparkSession, sf: str) -> DataFrame:
     return survival.weighted_cox(stage(rows, "survival"), weight="ipcw_trunc_last", cluster="stay_id").select(*_ROBUST_NUM)
 
 
+@query("cox_report", oracle(_robust_sql(_COX, _ALL_ROWS, "everyone"), num=_ROBUST_NUM))
+def cox_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The Cox result table as a CSV report, read back."""
+    _, _, rows = _survival(spark, sf)
+    table = survival.weighted_cox(stage(rows, "survival"), weight="ipcw_trunc_last", cluster="stay_id")
+    return _report(spark, table.select(*_ROBUST_NUM), "cox")
+
+
 def _subgroup_rows(spark: SparkSession, sf: str) -> DataFrame:
     s, cohort, rows = _survival(spark, sf)
     flags = s.subgroups(stage(s.baseline(cohort), "baseline"), creat_stage="aki_stage_creat")
@@ -614,6 +636,13 @@ def weight_diag(spark: SparkSession, sf: str) -> DataFrame:
     return diagnostics.weight_summary(stage(weighted, "weighted"))
 
 
+@query("weight_diag_report", oracle(f"SELECT count(*) AS n, {_DIAG} FROM trunc_rows WHERE ipcw IS NOT NULL", num=_DIAG_NUM, plain=["n"]))
+def weight_diag_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The weight diagnostics as a CSV report, read back."""
+    _, _, weighted = _weighted(spark, sf)
+    return _report(spark, diagnostics.weight_summary(stage(weighted, "weighted")), "diagnostics")
+
+
 @query("weight_six_numbers", oracle("""SELECT min(ipcw_trunc) AS min, quantile_cont(ipcw_trunc, 0.25) AS q1, quantile_cont(ipcw_trunc, 0.5) AS median, avg(ipcw_trunc) AS mean,
     quantile_cont(ipcw_trunc, 0.75) AS q3, max(ipcw_trunc) AS max, count(*) - count(ipcw_trunc) AS n_missing FROM trunc_rows""",
     num=["min", "q1", "median", "mean", "q3", "max"], plain=["n_missing"]))

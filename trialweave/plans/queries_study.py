@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from trialweave.operators import censor, diagnostics, lookups
 from trialweave.plans import oracle_inputs, proxies  # noqa: F401
 from trialweave.plans.registry import oracle, query
 from trialweave.plans.study import Study
-from trialweave.sources.stages import stage
+from trialweave.sources import read_csv, shared_dir, stage, write_csv
 
 _CORE = ["stay_id", "subject_id", "hadm_id", "gender", "race", "insurance"]
 _TIMES = ["intime", "outtime", "kdigo3_time", "t0_time"]
@@ -249,14 +251,19 @@ def analysis_frame_after(spark: SparkSession, sf: str) -> DataFrame:
     return full_frame(s, cohort).select(*_FRAME_COLUMNS)
 
 
-@query("merged_dataset", oracle("""SELECT k.stay_id, k.strategy, k.hour_index, k.censor_k_total, b.age, b.weight_kg, b.lactate, o.death_28d, o.alive_28d, o.scr_28d,
-    o.deathtime FROM clone_bare k JOIN base b ON b.stay_id = k.stay_id JOIN outc o ON o.stay_id = k.stay_id""",
-    ts=["deathtime"], num=["age", "weight_kg", "lactate", "scr_28d"], plain=["stay_id", "strategy", "hour_index", "censor_k_total", "death_28d", "alive_28d"]))
+_OUTCOME_PLAIN = ["death_7d", "alive_7d", "death_28d", "alive_28d", "renal_recovery_28d_scr"]
+
+
+@query("merged_dataset", oracle("""SELECT k.*, b.* EXCLUDE (subject_id, hadm_id, stay_id, t0_time), o.deathtime, o.death_7d, o.alive_7d, o.death_28d, o.alive_28d,
+    o.scr_baseline, o.scr_28d, CASE WHEN o.alive_28d = 1 AND o.scr_28d <= 1.5 * o.scr_baseline THEN 1 ELSE 0 END AS renal_recovery_28d_scr
+    FROM clone_full k JOIN base b ON b.stay_id = k.stay_id JOIN outc o ON o.stay_id = k.stay_id""",
+    ts=[*_PANEL_TS, *_CENSOR_TS, "intime", "outtime", "deathtime"], num=[*_PANEL_NUM, *_BASE_NUM, "scr_baseline", "scr_28d"],
+    plain=[*_PANEL_PLAIN, "strategy", *_CENSOR_FLAGS, "gender", "race", "insurance", "cci", "mv_baseline", "vaso_baseline", "sofa_baseline", *_OUTCOME_PLAIN]))
 def merged_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    """Clones, baseline and outcomes in one frame."""
+    """The cloned hourly panel with baseline and outcomes, exported as CSV and read back."""
     s, cohort = _start(spark, sf)
-    full = censor.merged_dataset(bare_clones(s, cohort), s.baseline(cohort), s.outcomes(cohort))
-    return full.select(
-        "stay_id", "strategy", "hour_index", "censor_k_total", "age", "weight_kg", "lactate", "death_28d", "alive_28d",
-        "scr_28d", "deathtime",
-    )
+    base = stage(s.baseline(cohort), "baseline")
+    full = censor.merged_dataset(s.clone_panel(cohort), base, s.outcomes(cohort))
+    path = f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}"
+    write_csv(full, path)
+    return read_csv(spark, path, full.schema)

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.functions.exprs import active_or_mode, any_positive, either_flag, plus_days
-from trialweave.operators import censor, cohort, lookups, panel, survival, weights
+from trialweave.operators import censor, cohort, diagnostics, lookups, panel, survival, weights
 from trialweave.operators.joins import left_join, require
-from trialweave.sources.stages import materialize, stage
+from trialweave.sources.stages import materialize, stage, write_csv
 
 # Vasoactive drugs of the shock rule, and the excluded diagnosis codes.
 DRUGS = ("norepinephrine", "epinephrine", "phenylephrine", "vasopressin", "dopamine")
@@ -345,3 +345,22 @@ class StudyResult:
         flags = list(panel.SUBGROUPS)
         rows = left_join(self.survival, self.subgroups, "stay_id", flags)
         return survival.subgroup_cox(rows, flags, min_rows, weight="ipcw_trunc_last", cluster="stay_id")
+
+    def merged(self) -> DataFrame:
+        """Clone-hours with baseline and outcomes in one frame."""
+        return censor.merged_dataset(self.clones, self.baseline, self.outcomes)
+
+    def reports(self) -> dict[str, str]:
+        """Write the result tables as CSV under the run's folder; name -> path."""
+        tables = {
+            "cox_results": self.cox(),
+            "subgroup_cox": self.subgroup_cox(),
+            "weight_diagnostics": diagnostics.weight_summary(self.weighted),
+            "risk_difference": self.risk_difference(),
+            "rmst": self.rmst(),
+        }
+        paths = {name: f"{self.root}/{name}.csv" for name in (*tables, "merged_dataset")}
+        for name, table in tables.items():
+            write_csv(table, paths[name], single_file=True)
+        write_csv(self.merged(), paths["merged_dataset"])
+        return paths

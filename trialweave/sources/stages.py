@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from trialweave.sources.tables import CSV_TIME
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -90,7 +92,7 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     diagnostics row or a curve on a fixed grid; large results keep one file per partition.
     """
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").options(timestampNTZFormat=CSV_TIME, timestampFormat=CSV_TIME).csv(path, header=True)
 
 
 def export(df: DataFrame, order_by: Sequence[str], path: str, format: str = "parquet") -> None:

@@ -40,12 +40,17 @@ def read_input(spark: SparkSession, spec: TableSpec) -> DataFrame:
     return df.select(*[F.col(stored).alias(ours) for ours, stored in spec.columns.items()])
 
 
+#: Times in reports keep their microseconds.
+CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
     """CSV with a header line, read with a declared schema; strings stay strings.
 
     A header that does not name the declared columns in order is an error, not a silent shift.
     """
-    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST")
+    reader = spark.read.options(timestampNTZFormat=CSV_TIME, timestampFormat=CSV_TIME)
+    return reader.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -83,19 +88,59 @@ def resolve_source(
 
 
 # Column names and types of the case file, in file order.
-_CASE_COLUMNS = (
-    "gender:int Age:int HT:int T2DM:int PE:int CI:int MI:int HAEM:int HyperT:int CA:int "
-    "LTUH:int CRD:int CHF:int CLD:int CKD:int WBC:double NEPER:double LYMPH:double HGB:int "
-    "PLT:int CRP:double PCT:double PT:double INR:double APTT:double TBIL:double BUN:double "
-    "CREA:double NTproBNP:double TNI:double Lac:double OIPaO2_FiO2:double SOFA:int GCS:int "
-    "HR:int RR:int BP:int T:double CD3_PER:double CD3_CD4_PER:double CD3_CD8_PER:double "
-    "CD3_CD4__CD3_CD8:double CD3:int CD3_CD4:int CD3_CD8:int CD3_CD16__CD56_PER:double "
-    "CD3_CD16__CD56:int BCD19PER:double BCD19:int N_CT:double ORF1AB_CT:double survive_die:int"
-)
-
 CASE_SCHEMA = T.StructType(
     [
-        T.StructField(name, T.IntegerType() if kind == "int" else T.DoubleType())
-        for name, kind in (item.split(":") for item in _CASE_COLUMNS.split())
+        T.StructField("gender", T.IntegerType()),
+        T.StructField("Age", T.IntegerType()),
+        T.StructField("HT", T.IntegerType()),
+        T.StructField("T2DM", T.IntegerType()),
+        T.StructField("PE", T.IntegerType()),
+        T.StructField("CI", T.IntegerType()),
+        T.StructField("MI", T.IntegerType()),
+        T.StructField("HAEM", T.IntegerType()),
+        T.StructField("HyperT", T.IntegerType()),
+        T.StructField("CA", T.IntegerType()),
+        T.StructField("LTUH", T.IntegerType()),
+        T.StructField("CRD", T.IntegerType()),
+        T.StructField("CHF", T.IntegerType()),
+        T.StructField("CLD", T.IntegerType()),
+        T.StructField("CKD", T.IntegerType()),
+        T.StructField("WBC", T.DoubleType()),
+        T.StructField("NEPER", T.DoubleType()),
+        T.StructField("LYMPH", T.DoubleType()),
+        T.StructField("HGB", T.IntegerType()),
+        T.StructField("PLT", T.IntegerType()),
+        T.StructField("CRP", T.DoubleType()),
+        T.StructField("PCT", T.DoubleType()),
+        T.StructField("PT", T.DoubleType()),
+        T.StructField("INR", T.DoubleType()),
+        T.StructField("APTT", T.DoubleType()),
+        T.StructField("TBIL", T.DoubleType()),
+        T.StructField("BUN", T.DoubleType()),
+        T.StructField("CREA", T.DoubleType()),
+        T.StructField("NTproBNP", T.DoubleType()),
+        T.StructField("TNI", T.DoubleType()),
+        T.StructField("Lac", T.DoubleType()),
+        T.StructField("OIPaO2_FiO2", T.DoubleType()),
+        T.StructField("SOFA", T.IntegerType()),
+        T.StructField("GCS", T.IntegerType()),
+        T.StructField("HR", T.IntegerType()),
+        T.StructField("RR", T.IntegerType()),
+        T.StructField("BP", T.IntegerType()),
+        T.StructField("T", T.DoubleType()),
+        T.StructField("CD3_PER", T.DoubleType()),
+        T.StructField("CD3_CD4_PER", T.DoubleType()),
+        T.StructField("CD3_CD8_PER", T.DoubleType()),
+        T.StructField("CD3_CD4__CD3_CD8", T.DoubleType()),
+        T.StructField("CD3", T.IntegerType()),
+        T.StructField("CD3_CD4", T.IntegerType()),
+        T.StructField("CD3_CD8", T.IntegerType()),
+        T.StructField("CD3_CD16__CD56_PER", T.DoubleType()),
+        T.StructField("CD3_CD16__CD56", T.IntegerType()),
+        T.StructField("BCD19PER", T.DoubleType()),
+        T.StructField("BCD19", T.IntegerType()),
+        T.StructField("N_CT", T.DoubleType()),
+        T.StructField("ORF1AB_CT", T.DoubleType()),
+        T.StructField("survive_die", T.IntegerType()),
     ]
 )
