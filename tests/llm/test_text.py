@@ -369,6 +369,28 @@ def test_grams_of_long_texts_are_whole():
     assert total == 3 * len(text) - 3
 
 
+@pytest.mark.parametrize(
+    "notice, family",
+    [
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lgpl"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "agpl"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        ("SPDX-License-Identifier: MIT", "mit"),
+        ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "unknown"),
+        ("This is free and unencumbered software released into the public domain.", "unknown"),
+        ("All rights reserved. No part of this publication may be reproduced or transmitted in any form", "unknown"),
+        ("Released under the MIT License. Distributed under the Boost Software License, Version 1.0.", "mit unknown"),
+    ],
+)
+def test_families_that_differ_in_few_words(spark, docs, notice, family):
+    model = licences.fit_model([t for t in ("some plain words about the weather", "nothing to see in this line of text", "ba ne tor li um")] * 5)
+    df = spark.createDataFrame([(1, "plain words before\n" + notice + "\nand after")], "doc_id int, text string")
+    got = {r.family for r in licences.scan(df, model).collect()}
+    assert got == set(family.split())
+
+
 def test_licences(spark, docs, rows):
     model = licences.fit(docs)
     notices = ["Released under the MIT License.", "so it goes\nLicensed under CC BY-NC 4.0.\nend", "just some prose", "", None, "This work is licensed under the GNU General Public License, version 2."]

@@ -3,9 +3,10 @@
 Passages are proposed inside paragraphs, which end at blank lines: stretches of words, over
 line ends and in the middle of prose, with enough n-grams of one template near each other.  A
 passage is a sparse vector of hashed word n-grams of one to three words.  Multinomial logistic
-regression names its licence family or ``none``; a family whose calibrated probability is too
-low, or whose templates the passage matches only in part, becomes ``unknown``, and so does
-``none`` where a template matches; without any trace of a template it is ``none``.  Training rows are made from the templates (cut, interrupted and embedded in
+regression names its licence family, ``none`` or ``unknown``, the class of unlisted notices; a
+family becomes ``unknown`` where its calibrated probability is too low, the passage matches its
+templates only in part, or holds a pair of words that only another family's templates have, and
+so does ``none`` where a template matches; without any trace of a template it is ``none``.  Training rows are made from the templates (cut, interrupted and embedded in
 prose) and from a bounded sample of the corpus's own paragraphs as ordinary prose.
 """
 
@@ -27,17 +28,25 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "SPDX-License-Identifier: MIT",
     ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "SPDX-License-Identifier: Apache-2.0",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
     ),
-    "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
-    "agpl": ("This program is licensed under the GNU Affero General Public License, version 3.",),
+    "lgpl": (
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    ),
+    "agpl": (
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+    ),
     "bsd": (
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -47,11 +56,23 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
+    "cc-by-nc-sa": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "cc-by-nc-nd": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    "cc-by-nd": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "cc0": ("To the extent possible under law, the author has waived all copyright. Released under CC0 1.0 Universal.",),
     "isc": ("Released under the ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose",),
 }
+#: Notices of licences and reservations that are no family above: a class of its own, ``unknown`` (fixed values).
+UNLISTED = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "This is free and unencumbered software released into the public domain.",
+    "All rights reserved. No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher.",
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "SPDX-License-Identifier: Zlib",
+)
 NONE, UNKNOWN = "none", "unknown"
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
@@ -90,6 +111,9 @@ class LicenceModel:
     least_match: float
     least_hint: float
     templates: list[tuple[int, np.ndarray]]
+    # Pairs of words that the templates of one class only have, sorted, and that class.
+    telling: np.ndarray
+    telling_class: np.ndarray
 
     def classify(self, data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class, its probability and the best template match of each paragraph.
@@ -109,13 +133,16 @@ class LicenceModel:
         doc = np.concatenate([d for _, d in grams[1:]])
         order = np.argsort(doc, kind="stable")
         value, bounds = value[order], np.searchsorted(doc[order], np.arange(n + 1))
-        match = np.zeros(n)
+        match, rival = np.zeros(n), np.zeros(n, bool)
         for i in range(n):
             own = value[bounds[i] : bounds[i + 1]]
             shares = [np.isin(template, own).mean() for family, template in self.templates if best[i] in (none, family)]
             match[i] = max(shares, default=0)
+            if best[i] < none and len(self.telling):
+                at = np.minimum(np.searchsorted(self.telling, own), len(self.telling) - 1)
+                rival[i] = (self.telling_class[at][self.telling[at] == own] != best[i]).any()
         doubted = (best == none) & (match >= self.least_match)
-        unsure = (best != none) & ((chance < self.least_probability) | (match < self.least_match))
+        unsure = (best < none) & ((chance < self.least_probability) | (match < self.least_match) | rival)
         hint = match >= self.least_hint
         best[doubted | (unsure & hint)] = none + 1
         best[~hint] = none
@@ -206,11 +233,18 @@ def fit_model(prose: list[str], epochs: int = 30, rate: float = 0.5, l2: float =
     families = [*TEMPLATES, NONE]
     hasher, random = Hasher(), np.random.default_rng(11)
     templates = []
-    for k, notices in enumerate(TEMPLATES.values()):
+    # the class after ``none`` is ``unknown``
+    classes = [*enumerate(TEMPLATES.values()), (len(families), UNLISTED)]
+    pairs: dict[int, set[int]] = {}
+    for k, notices in classes:
         for notice in notices:
             grams = paragraph_grams(*_bytes_of([notice]), hasher)
             templates.append((k, np.unique(np.concatenate([v for v, _ in grams[1:]]))))
-    model = LicenceModel(families, np.zeros((BUCKETS, len(families)), np.float32), 1.0, 0.0, least_match, least_hint, templates)
+            for x in grams[1][0].tolist():
+                pairs.setdefault(x, set()).add(k)
+    telling = np.array(sorted(x for x, k in pairs.items() if len(k) == 1), np.uint64)
+    telling_class = np.array([min(pairs[int(x)]) for x in telling], np.int64)
+    model = LicenceModel(families, np.zeros((BUCKETS, len(families) + 1), np.float32), 1.0, 0.0, least_match, least_hint, templates, telling, telling_class)
     known = np.concatenate([t for _, t in templates])
     if prose:
         grams = paragraph_grams(*_bytes_of(prose), hasher)
@@ -219,7 +253,7 @@ def fit_model(prose: list[str], epochs: int = 30, rate: float = 0.5, l2: float =
         prose = [t for t, x in zip(prose, near, strict=True) if x < 2]
     filler = [w for t in prose for w in t.split()] or ["this", "and", "that", "of", "a", "text", "with", "words"]
     texts, target = [], []
-    for k, notices in enumerate(TEMPLATES.values()):
+    for k, notices in classes:
         for notice in notices:
             words = notice.split()
             for variant in range(24):
@@ -239,12 +273,12 @@ def fit_model(prose: list[str], epochs: int = 30, rate: float = 0.5, l2: float =
     row = np.concatenate([d for _, d in rows])
     scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(y)), 1))
     held = np.arange(len(y)) % 5 == 4
-    weight = np.where(held, 0.0, 1.0 / np.maximum(np.bincount(y[~held], minlength=len(families)), 1)[y])
+    weight = np.where(held, 0.0, 1.0 / np.maximum(np.bincount(y[~held], minlength=len(families) + 1), 1)[y])
     weight *= (~held).sum() / max(weight.sum(), 1e-9) / max(len(y), 1)
-    truth = np.eye(len(families))[y]
-    w, square = np.zeros((BUCKETS, len(families))), np.full((BUCKETS, len(families)), 1e-8)
+    truth = np.eye(len(families) + 1)[y]
+    w, square = np.zeros((BUCKETS, len(families) + 1)), np.full((BUCKETS, len(families) + 1), 1e-8)
     for _ in range(epochs):
-        logits = np.zeros((len(y), len(families)))
+        logits = np.zeros((len(y), len(families) + 1))
         np.add.at(logits, row, w[feature])
         error = (_softmax(logits * scale[:, None]) - truth) * (weight * scale)[:, None]
         gradient = l2 * w
@@ -258,7 +292,7 @@ def fit_model(prose: list[str], epochs: int = 30, rate: float = 0.5, l2: float =
         losses = [-np.log(_softmax(logits / t)[np.arange(held.sum()), y[held]] + 1e-12).mean() for t in best]
         model.temperature = float(best[int(np.argmin(losses))])
         p = _softmax(logits / model.temperature)
-        notice = y[held] != len(families) - 1
+        notice = y[held] < len(families) - 1
         model.least_probability = float(min(0.9, np.quantile(p[np.arange(len(p)), y[held]][notice], 0.01)))
     return model
 
@@ -280,7 +314,7 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text", key: str = "d
 
     Columns: key, ``paragraph`` (the number among the non-empty lines, from 0, of the line it
     begins in), ``begin`` and ``end`` (byte span, possibly of several lines or part of one), ``family`` (or ``unknown``), ``probability``, ``template_match``.
-    Null and empty texts have no rows.
+    Null and empty texts have no rows; equal texts and repeated rows have the same passages each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
