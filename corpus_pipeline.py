@@ -22,27 +22,47 @@ def _like(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    A null or empty text is scored as a text without words.  Equal texts are kept or rejected
+    together, and repeated rows stay repeated.
+    """
     return quality_trees.keep(docs, quality_model(spark, sf_dir), threshold=0.7)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the line chunks that an earlier document has; every document stays."""
+    """Texts without the line chunks that an earlier document has; every document stays.
+
+    A null text stays null, an empty one empty; a whole copy keeps an empty text.  Of rows that
+    share a key, neither removes the other's chunk at the same place.
+    """
     return _like(line_chunks.remove_repeats(docs, spaced=True), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8."""
+    """One document of each group of near copies: shingles of five words, similarity 0.8.
+
+    The smallest key stays.  Documents without words, null texts included, link with nothing
+    and all stay; rows that share a key are one document.
+    """
     return signature_trees.keep_one(docs, width=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Four fifths of the tokens, mixed to the target weights, no document more than once."""
+    """Four fifths of the tokens, mixed to the target weights, no document more than once.
+
+    Documents without tokens, null texts included, cost nothing and stay if they come before the
+    cut of their leaf; a leaf without tokens goes.  Null languages and sources are leaves of
+    their own; rows that share a key are chosen together.
+    """
     return _like(mixing.mix(docs, levels(), share=(4, 5), epochs=1, seed=17), docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids, their byte spans and the text they decode to, for every document."""
+    """Piece ids, their byte spans and the text they decode to, for every document.
+
+    A null text has null arrays, an empty one empty arrays; repeated rows are encoded each.
+    """
     return pieces.encode(docs, model_file(), decoded="decoded")
 
 
