@@ -383,6 +383,7 @@ def _newton(rows: str, group: str, steps: int = 12, prefix: str = "cx", entry: b
     """Newton iterations of the weighted Efron partial likelihood, treated arm B, folded over lists.
 
     With ``entry`` rows are at risk in (start, time], found by a range join per event time.
+    Where the likelihood has no maximum, as without events in both arms, there is no row.
     """
     prefix = f"{prefix}_{group}"
     if entry:
@@ -403,13 +404,13 @@ WINDOW down AS (PARTITION BY grp ORDER BY time DESC ROWS UNBOUNDED PRECEDING)"""
     cte(f"{prefix}_x", f"""
 SELECT grp, list(struct_pack(d := (d0 + d1) / k, e := d1 / k, t := r1 - l / CAST(k AS DOUBLE) * d1, c := r0 - l / CAST(k AS DOUBLE) * d0)) AS xs
 FROM (SELECT *, unnest(range(CAST(k AS BIGINT))) AS l FROM {prefix}_t WHERE k > 0) z GROUP BY grp
-HAVING max(r1) > 0 AND max(r0) > 0""")
+HAVING max(d1) > 0 AND max(d0) > 0""")
     m = "(exp(b) * x.t / (exp(b) * x.t + x.c))"
     score = f"list_sum(list_transform(xs, lambda x: x.e - x.d * {m}))"
     info = f"list_sum(list_transform(xs, lambda x: x.d * {m} * (1 - {m})))"
     cte(f"{prefix}_b", f"""
 SELECT grp, xs, list_reduce([0.0::DOUBLE] || CAST(range({steps}) AS DOUBLE[]), lambda b, i: b + {score} / {info}) AS b FROM {prefix}_x""")
-    return f"SELECT grp, b AS log_hr, exp(b) AS hr, 1 / sqrt({info}) AS se FROM {prefix}_b"
+    return f"SELECT grp, b AS log_hr, exp(b) AS hr, 1 / sqrt({info}) AS se FROM {prefix}_b WHERE abs({score} / {info}) < 1e-6"
 
 
 _COX = _newton("SELECT *, 'all' AS everyone FROM surv_rows", "everyone")
