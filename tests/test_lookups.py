@@ -164,8 +164,17 @@ def test_interval_slices_equal_a_naive_range_join(spark, w):
 
 
 def test_hot_unit_is_split_and_complete(spark):
-    """A unit with most of the rows: same result, and no join on the bare unit key."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    """A unit with most of the rows: its partition of the join is split as measured, no unit is repeated beforehand."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "false",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         n = 30_000
         ev = spark.range(n).select(
@@ -178,13 +187,76 @@ def test_hot_unit_is_split_and_complete(spark):
         out = lookups.gather(
             u, "stay_id", "t0_time", [lookups.window_value(ev, "stay_id", "charttime", "v", "n", "sum", 6)]
         )
-        plan = out._jdf.queryExecution().toString()
-        assert "__salt" in plan
         got = {r["stay_id"]: r["n"] for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan and "Generate" not in plan
         assert got[1] == 20_000.0
         assert sum(v for v in got.values() if v) == float(n)
+        hours = lookups.gather_slices(
+            u, "stay_id", "t0_time", 6, [lookups.window_value(ev, "stay_id", "charttime", "v", "n", "sum", 6)]
+        )
+        counted = {(r["stay_id"], r["hour_index"]): r["n"] for r in hours.collect()}
+        assert "skew=true" in hours._jdf.queryExecution().executedPlan().toString()
+        assert counted == naive_slices(spark, u, ev, 6, 6, F.sum("v"))
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in settings:
+            spark.conf.unset(name)
+
+
+def test_event_scans_are_bounded_by_the_cohort(spark, tmp_path):
+    """The span of the units' times is pushed into every event scan and changes no result."""
+    import random
+
+    rng = random.Random(11)
+    at = {i: T0 + i * H for i in range(8)}
+    u = spark.createDataFrame([*at.items(), (8, None)], "stay_id long, t0_time timestamp_ntz")
+    rows, ranges = [], []
+    for i in range(600):
+        start = T0 + timedelta(minutes=rng.randrange(-3000, 3000))
+        rows.append((rng.randrange(10), start, float(i), i))
+        ranges.append((rng.randrange(10), start, None if i % 5 == 0 else start + rng.randrange(9) * H, float(i), i))
+    points(spark, rows).write.parquet(f"{tmp_path}/points")
+    spans(spark, ranges).write.parquet(f"{tmp_path}/spans")
+    ev, iv = spark.read.parquet(f"{tmp_path}/points"), spark.read.parquet(f"{tmp_path}/spans")
+    ties = ("id",)
+    lower = F.col("t0_time") - F.expr("INTERVAL 20 HOUR")
+    found = [
+        lookups.last(ev, "stay_id", "charttime", {"a": "v"}, 6, tiebreak=ties),
+        lookups.last(ev, "stay_id", "charttime", {"b": "v"}, None, tiebreak=ties),
+        lookups.last_ahead(ev, "stay_id", "charttime", {"c": "v"}, 9, tiebreak=ties),
+        lookups.first_time(ev, "stay_id", "charttime", "d"),
+        lookups.window_value(ev, "stay_id", "charttime", "v", "e", "min", lower=lower),
+        lookups.overlaps(iv, "stay_id", "starttime", "endtime", "f", 3),
+        lookups.overlap_last(iv, "stay_id", "starttime", "endtime", {"g": "v"}, 5, tiebreak=ties),
+        lookups.valid_at(iv, "stay_id", "starttime", "endtime", {"h": "v"}, tiebreak=ties),
+    ]
+    span = lookups.time_span(u, "t0_time")
+    bounded = lookups.gather(u, "stay_id", "t0_time", found, span)
+    got = sorted(bounded.collect())
+    assert got == sorted(lookups.gather(u, "stay_id", "t0_time", found).collect())
+    assert len(got) == 9 and all(any(r[c] is not None for r in got) for c in "abcdefgh")
+    plan = bounded._jdf.queryExecution().executedPlan().toString()
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line]
+    assert pushed and all("2024-01-01" in line or "2024-01-02" in line for line in pushed)
+    sliced = [
+        lookups.window_value(ev, "stay_id", "charttime", "v", "x", "sum", 2),
+        lookups.overlap_value(iv, "stay_id", "starttime", "endtime", "v", "y", 4),
+    ]
+    hours = [
+        sorted(lookups.gather_slices(u, "stay_id", "t0_time", 12, sliced, span=b).collect(), key=lambda r: (r[0], r[2]))
+        for b in (span, None)
+    ]
+    assert hours[0] == hours[1] and len(hours[0]) == 9 * 12
+    assert all(r["x"] is None and r["y"] is None for r in hours[0] if r["t0_time"] is None)
+
+
+def test_keys_of_different_width_meet(spark):
+    ev = points(spark, [(1, T0, 3.0, 1)]).withColumn("stay_id", F.col("stay_id").cast("int"))
+    look = lookups.last(ev, "stay_id", "charttime", "v", 6, tiebreak=("id",))
+    assert at_t0(spark, look, 1)[1]["v"] == 3.0
+    text = lookups.last(ev.withColumn("stay_id", F.col("stay_id").cast("string")), "stay_id", "charttime", "v", 6)
+    with pytest.raises(TypeError, match="stay_id"):
+        lookups.gather(units(spark, 1), "stay_id", "t0_time", [text])
 
 
 def test_events_without_time_count_nowhere(spark):

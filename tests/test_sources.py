@@ -103,3 +103,19 @@ def test_whole_study_runs(spark, tmp_path):
     assert set(paths) == {"cox_results", "subgroup_cox", "weight_diagnostics", "risk_difference", "rmst", "merged_dataset"}
     assert spark.read.csv(paths["merged_dataset"], header=True).count() == n * 48
     assert "robust_se" in spark.read.csv(paths["cox_results"], header=True).columns
+
+
+def test_narrowed_events_give_the_same_tables(spark):
+    """Times that no window reaches are left out of the stages, and nothing else is lost."""
+    full = proxies.study(spark, "/root/testdata/sf0.001")
+    index = proxies.relaxed_cohort(full)
+    middle = F.percentile_approx(F.unix_micros(F.col("t0_time").cast("timestamp")), 0.7)
+    bound = index.agg(middle).first()[0]
+    late = index.filter(F.unix_micros(F.col("t0_time").cast("timestamp")) >= bound)
+    cohort = stage(late, "late")
+    small = full.narrowed(cohort)
+    assert small.tables["vitalsign"].count() < full.tables["vitalsign"].join(cohort, "stay_id", "left_semi").count()
+    for make in (lambda s: s.baseline(cohort), lambda s: s.hour_panel(cohort), lambda s: s.outcomes(cohort)):
+        assert sorted(map(str, make(small).collect())) == sorted(map(str, make(full).collect()))
+    with pytest.raises(ValueError, match="narrowed"):
+        small.hour_panel(cohort, 36)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.exprs import composite_key, days_between, flag, plus_days, plus_hours
 from trialweave.operators.joins import clone, left_join
-from trialweave.operators.lookups import Lookup, gather
+from trialweave.operators.lookups import Lookup, Span, gather
 
 EARLY, NOT_EARLY = "A", "B"
 
@@ -71,6 +71,7 @@ def outcomes(
     ratio: float = 1.5,
     key: str = "stay_id",
     at: str = "t0_time",
+    span: Span | None = None,
 ) -> DataFrame:
     """Death and survival to 7 and 28 days, and recovery of the lab value at 28 days.
 
@@ -82,7 +83,7 @@ def outcomes(
     # An episode without an admission row has unknown status, not survival.
     known_episodes = admissions.withColumn("__known", F.lit(1))
     units = left_join(units, known_episodes, "hadm_id", ["admittime", "deathtime", "__known"])
-    out = gather(units, key, at, [baseline_low, last_value])
+    out = gather(units, key, at, [baseline_low, last_value], span)
     death, t0, known = F.col("deathtime"), F.col(at), F.col("__known") == 1
 
     def died(days: int) -> Column:

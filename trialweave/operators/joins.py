@@ -4,9 +4,9 @@ One unit may own a large share of all events.  Two rules keep that off a single
 
 * where only an extreme time matters, events are first reduced to one row per key, with
   map-side partial aggregation, and only those rows are joined;
-* otherwise the join key is widened by a salt.  The following aggregation by unit then needs
-  its own exchange in any case, so it combines on the map side first, and adaptive execution
-  stays free to split partitions of the join that are still too large.
+* otherwise a hash of the key is one more join column.  The aggregation by unit that follows
+  then needs its own exchange, so it combines on the map side first, and adaptive execution is
+  free to split those partitions of the join that it measured to be too large.
 """
 
 from __future__ import annotations
@@ -15,20 +15,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SALTS = 16
-_SALT = "__salt"
+_SPREAD = "__spread"
 
 
-def spread_join(facts: DataFrame, units: DataFrame, on: Sequence[str], salts: int = SALTS) -> DataFrame:
-    """Inner join of many fact rows to few unit rows, with each key split ``salts`` ways.
+def _key_hash(df: DataFrame, on: Sequence[str]) -> Column:
+    """A hash that is equal for equal keys; whole numbers of any width count as one type."""
+    whole = [isinstance(df.schema[c].dataType, T.IntegralType) for c in on]
+    return F.xxhash64(*[F.col(c).cast("bigint") if w else F.col(c) for c, w in zip(on, whole)])
 
-    The salt is a hash of the fact row, hence the same when a lost task is run again.  The
-    unit side is repeated ``salts`` times, so keep it narrow.
+
+def spread_join(facts: DataFrame, units: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join of many fact rows to few unit rows whose hot keys may be split over tasks.
+
+    Only the partitions that adaptive execution finds too large are split, and only they repeat
+    their unit rows; no key is repeated beforehand.  The keys of both sides must have one type,
+    or be whole numbers.
     """
-    salted = facts.withColumn(_SALT, F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
-    repeated = units.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, _SALT], "inner").drop(_SALT)
+    for c in on:
+        left, right = facts.schema[c].dataType, units.schema[c].dataType
+        if left != right and not (isinstance(left, T.IntegralType) and isinstance(right, T.IntegralType)):
+            raise TypeError(f"{c} is {left.simpleString()} on one side and {right.simpleString()} on the other")
+    hashed = [df.withColumn(_SPREAD, _key_hash(df, on)) for df in (facts, units)]
+    return hashed[0].join(hashed[1], [*on, _SPREAD], "inner").drop(_SPREAD)
 
 
 def require(df: DataFrame, other: DataFrame, keys: str | Sequence[str]) -> DataFrame:

@@ -9,9 +9,12 @@ sort over a whole unit or a join per column.
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ from trialweave.functions.exprs import (
     micros_between,
     plus_hours,
 )
-from trialweave.operators.joins import SALTS, spread_join
+from trialweave.operators.joins import spread_join
 
 # Names that the unit side brings into the join with an event table.
 LO, AT, UNIT = "__lo", "__at", "__unit"
@@ -268,19 +271,58 @@ def valid_at(intervals, key, start, end, cols, not_null=None, tiebreak=()) -> Lo
     )
 
 
-def _joined(units: DataFrame, unit: str, at: str, lookup: Lookup, salts: int) -> DataFrame:
+Span = tuple[Column, Column]
+
+
+def time_span(units: DataFrame, at: str) -> Span:
+    """The earliest and latest reference time as constants, found now; ``units`` should be a stage.
+
+    Constants reach the scans of the event tables, and there prune partitions by time.
+    """
+    first, last_ = units.agg(F.min(at).cast("string"), F.max(at).cast("string")).first()
+    kind = units.schema[at].dataType
+    return F.lit(first).cast(kind), F.lit(last_).cast(kind)
+
+
+def reachable(lookup: Lookup, span: Span, n: int = 0) -> Column:
+    """The condition on event times alone that the window of any unit within ``span`` implies.
+
+    ``n`` is the number of hour slices after the reference time.
+    """
+    first, final = span
+    late = F.col(lookup.time or lookup.span[0])
+    early = F.col(lookup.time or lookup.span[1])
+    tests = []
+    if lookup.side == "ahead":
+        tests.append(late <= plus_hours(final, int(lookup.window)))
+    elif lookup.side != "after":
+        tests.append(late <= plus_hours(final, n))
+    if lookup.side in ("after", "ahead", "valid"):
+        tests.append(early >= first)
+    elif lookup.side == "window" and lookup.window is not None:
+        tests.append(early >= plus_hours(first, -math.ceil(lookup.window)))
+    if lookup.span:
+        tests[1:] = [test | early.isNull() for test in tests[1:]]
+    return reduce(operator.and_, tests)
+
+
+def _joined(units: DataFrame, unit: str, at: str, lookup: Lookup, span: Span | None, n: int = 0) -> DataFrame:
     """Event rows of one lookup next to the unit they belong to and its reference time.
 
-    A row without a time, or an interval without a start, belongs to no window.
+    A row without a time, or an interval without a start, belongs to no window; a unit without a
+    reference time has none.
     """
     facts = lookup.events.filter(F.col(lookup.time or lookup.span[0]).isNotNull())
     if lookup.where is not None:
         facts = facts.filter(lookup.where)
+    if span is not None:
+        facts = facts.filter(reachable(lookup, span, n))
     facts = facts.select(*lookup.columns())
     side = [F.col(lookup.key), F.col(unit).alias(UNIT), F.col(at).alias(AT)]
     if lookup.lower is not None:
         side.append(lookup.lower.alias(LO))
-    return spread_join(facts, units.select(*side), [lookup.key], salts)
+    timed = units.filter(F.col(at).isNotNull())
+    return spread_join(facts, timed.select(*side), [lookup.key])
 
 
 def _reduce(base: DataFrame, keys: Sequence[str], lookups: Sequence[Lookup], parts: Sequence[DataFrame]) -> DataFrame:
@@ -303,12 +345,15 @@ def _finish(lookups: Sequence[Lookup]) -> list[Column]:
 
 
 def gather(
-    units: DataFrame, unit: str, at: str, lookups: Sequence[Lookup], salts: int = SALTS
+    units: DataFrame, unit: str, at: str, lookups: Sequence[Lookup], span: Span | None = None
 ) -> DataFrame:
-    """``units`` plus the columns of every lookup at time ``at``; one row per ``unit`` in and out."""
+    """``units`` plus the columns of every lookup at time ``at``; one row per ``unit`` in and out.
+
+    ``span`` (see ``time_span``) bounds the scans of the event tables; it must cover every ``at``.
+    """
     parts = []
     for i, lookup in enumerate(lookups):
-        rows = _joined(units, unit, at, lookup, salts).filter(lookup.matches())
+        rows = _joined(units, unit, at, lookup, span).filter(lookup.matches())
         parts.append(rows.select(F.col(UNIT).alias(unit), *[c.alias(n) for n, c in lookup.parts(i).items()]))
     wide = _reduce(units, [unit], lookups, parts)
     return wide.select(*units.columns, *_finish(lookups))
@@ -324,7 +369,9 @@ def hour_grid(units: DataFrame, at: str, n: int, name: str = "hour_index") -> Da
     )
 
 
-def _slice_rows(units: DataFrame, unit: str, at: str, n: int, lookup: Lookup, i: int, salts: int) -> DataFrame:
+def _slice_rows(
+    units: DataFrame, unit: str, at: str, n: int, lookup: Lookup, i: int, span: Span | None
+) -> DataFrame:
     """Values of one lookup on the slices it counts for.
 
     With d the offset from the reference time in hours, a point falls in cell ceil(d) - 1
@@ -333,12 +380,8 @@ def _slice_rows(units: DataFrame, unit: str, at: str, n: int, lookup: Lookup, i:
     (or per pair of ends) before they are repeated over slices, so repetition is bounded by
     the number of slices and never by the number of events.
     """
-    if lookup.window is None or lookup.window != int(lookup.window) or lookup.window < 1:
-        raise ValueError("a lookup on hour slices needs a window of whole hours")
-    if lookup.side != "window":
-        raise ValueError("only trailing windows are defined on hour slices")
     w = int(lookup.window)
-    rows = _joined(units, unit, at, lookup, salts)
+    rows = _joined(units, unit, at, lookup, span, n)
 
     def hours_down(t: str) -> Column:
         return floor_div(micros_between(AT, t), HOUR_US)
@@ -375,15 +418,20 @@ def gather_slices(
     n: int,
     lookups: Sequence[Lookup],
     attributes: DataFrame | None = None,
-    salts: int = SALTS,
+    span: Span | None = None,
 ) -> DataFrame:
     """The hour grid of ``units`` plus the columns of every lookup at each slice end.
 
     ``attributes`` (default: ``units``) has the same units and all columns to carry along, so
-    that the narrow ``units`` alone is joined to every event table.
+    that the narrow ``units`` alone is joined to every event table.  ``span`` as in ``gather``.
     """
+    for lookup in lookups:
+        if lookup.window is None or lookup.window != int(lookup.window) or lookup.window < 1:
+            raise ValueError("a lookup on hour slices needs a window of whole hours")
+        if lookup.side != "window":
+            raise ValueError("only trailing windows are defined on hour slices")
     carried = units if attributes is None else attributes
-    parts = [_slice_rows(units, unit, at, n, lookup, i, salts) for i, lookup in enumerate(lookups)]
+    parts = [_slice_rows(units, unit, at, n, lookup, i, span) for i, lookup in enumerate(lookups)]
     base = carried.withColumn("hour_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     wide = _reduce(base, [unit, "hour_index"], lookups, parts)
     h = F.col("hour_index")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.exprs import band, driven_by, guarded_ratio, rate_per_weight
 from trialweave.operators.joins import left_join
-from trialweave.operators.lookups import Lookup, gather, gather_slices
+from trialweave.operators.lookups import Lookup, Span, gather, gather_slices
 
 
 def baseline(
@@ -19,13 +19,14 @@ def baseline(
     key: str = "stay_id",
     at: str = "t0_time",
     fio2_scale: float = 1.0,
+    span: Span | None = None,
 ) -> DataFrame:
     """One row per unit with every lookup at t0 and the oxygenation ratio.
 
     ``attributes`` maps a column to the table (one row per key) and the key it comes from.
     ``fio2_scale`` turns the stored inspired fraction into the unit of the ratio's bands.
     """
-    out = gather(cohort, key, at, lookups)
+    out = gather(cohort, key, at, lookups, span)
     for col, (table, table_key) in (attributes or {}).items():
         out = left_join(out, table, table_key, [col])
     if {"pao2", "fio2"} <= set(out.columns):
@@ -51,6 +52,7 @@ def subgroups(
     hours: int = 6,
     key: str = "stay_id",
     at: str = "t0_time",
+    span: Span | None = None,
 ) -> DataFrame:
     """Subgroup values and band labels at t0.
 
@@ -58,7 +60,7 @@ def subgroups(
     ``stages`` must yield ``aki_stage_uo_t0`` and ``aki_stage_creat_t0``, from one stage column
     or from two.
     """
-    out = gather(base, key, at, [urine, stages]).select(
+    out = gather(base, key, at, [urine, stages], span).select(
         "subject_id",
         "hadm_id",
         key,
@@ -85,6 +87,7 @@ def hour_panel(
     hours: int = 6,
     key: str = "stay_id",
     at: str = "t0_time",
+    span: Span | None = None,
 ) -> DataFrame:
     """One row per unit and hour 0..horizon-1 with the covariates known at the slice end.
 
@@ -92,8 +95,8 @@ def hour_panel(
     ``uo_total`` (0 where no row), which becomes a rate per weight.
     """
     narrow = cohort.select(*dict.fromkeys([key, at, *[lookup.key for lookup in on_slices]]))
-    known = gather(cohort, key, at, at_t0)
-    wide = gather_slices(narrow, key, at, horizon_h, on_slices, attributes=known)
+    known = gather(cohort, key, at, at_t0, span)
+    wide = gather_slices(narrow, key, at, horizon_h, on_slices, known, span)
     rate = rate_per_weight("uo_total", "weight_kg", hours).alias("uo_mlkgph_last6h")
     keep = [c for c in wide.columns if c not in ("uo_total", "weight_kg")]
     return wide.select(*keep, rate)

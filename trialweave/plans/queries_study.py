@@ -39,7 +39,7 @@ def time_zero(spark: SparkSession, sf: str) -> DataFrame:
 def _index(spark: SparkSession, sf: str, **params) -> tuple[DataFrame, DataFrame, Study]:
     s = proxies.study(spark, sf, **params)
     core = stage(s.core(), "core")
-    return core, stage(s.screened(s.time_zero(core)), "screened"), s
+    return core, stage(s.screened(stage(s.time_zero(core), "time-zero")), "screened"), s
 
 
 @query("index_cohort", oracle("SELECT * FROM index_cohort", ts=_TIMES, num=["age", "los_icu"], plain=_CORE))

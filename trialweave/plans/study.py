@@ -6,9 +6,10 @@ Each stage is a function of DataFrames; ``run`` writes those that are read more
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,12 +72,14 @@ class Study:
     Tables: units, admissions, sepsis3, weight_durations, diagnoses_icd, kdigo_stages,
     vasoactive_agent, norepinephrine_equivalent_dose, ventilation, rrt, crrt, vitalsign,
     chemistry, bg, enzyme, coagulation, complete_blood_count, charlson, sofa, urine_output.
-    ``tiebreak`` names a column of the event tables that orders rows at the same time.
+    ``tiebreak`` names a column of the event tables that orders rows at the same time.  ``span``
+    holds the first and last t0 of a study that was narrowed to its cohort.
     """
 
     tables: Mapping[str, DataFrame]
     params: Params = Params()
     tiebreak: tuple[str, ...] = ()
+    span: lookups.Span | None = None
 
     def drug_given(self) -> Column:
         return any_positive(*DRUGS)
@@ -158,18 +161,23 @@ class Study:
         charlson = self.tables["charlson"].withColumnRenamed("charlson_comorbidity_index", "cci")
         units = index.drop("kdigo3_time")
         return panel.baseline(
-            units, self.baseline_lookups(), {"cci": (charlson, "hadm_id")}, fio2_scale=self.params.fio2_scale
+            units, self.baseline_lookups(), {"cci": (charlson, "hadm_id")}, fio2_scale=self.params.fio2_scale,
+            span=self.span,
+        )
+
+    def urine(self, empty: float | None = None) -> lookups.Lookup:
+        return lookups.window_value(
+            self.tables["urine_output"], "stay_id", "charttime", "urineoutput", "uo_total", "sum", self.params.window_h,
+            empty=empty,
         )
 
     def subgroups(
         self, base: DataFrame, uo_stage: str = "aki_stage", creat_stage: str = "aki_stage"
     ) -> DataFrame:
-        w = self.params.window_h
-        urine = lookups.window_value(self.tables["urine_output"], "stay_id", "charttime", "urineoutput", "uo_total", "sum", w)
         stages = self._last(
             "kdigo_stages", "stay_id", {"aki_stage_uo_t0": uo_stage, "aki_stage_creat_t0": creat_stage}, None
         )
-        return panel.subgroups(base, urine, stages, w)
+        return panel.subgroups(base, self.urine(), stages, self.params.window_h, span=self.span)
 
     def panel_lookups(self) -> tuple[list[lookups.Lookup], list[lookups.Lookup]]:
         t, w = self.tables, self.params.window_h
@@ -181,7 +189,7 @@ class Study:
             ),
         ]
         on_slices = [
-            lookups.window_value(t["urine_output"], "stay_id", "charttime", "urineoutput", "uo_total", "sum", w, empty=0.0),
+            self.urine(empty=0.0),
             self._last("vitalsign", "stay_id", {"map_last1h": "mbp"}, 1, not_null="mbp"),
             self.drug_overlap("vaso_flag_last1h", 1),
             lookups.overlap_value(t[dose], "stay_id", "starttime", "endtime", dose, "ne_eq_last1h", 1),
@@ -195,9 +203,16 @@ class Study:
         return at_t0, on_slices
 
     def hour_panel(self, index: DataFrame, hours: int | None = None) -> DataFrame:
-        at_t0, on_slices = self.panel_lookups()
         units = index.select("subject_id", "hadm_id", "stay_id", "t0_time")
-        return panel.hour_panel(units, hours or self.params.panel_h, at_t0, on_slices, self.params.window_h)
+        return self._panel(units, hours)
+
+    def _panel(self, units: DataFrame, hours: int | None) -> DataFrame:
+        p = self.params
+        n = hours or p.panel_h
+        if self.span is not None and n > p.panel_h:
+            raise ValueError(f"the events were narrowed to {p.panel_h} hours")
+        at_t0, on_slices = self.panel_lookups()
+        return panel.hour_panel(units, n, at_t0, on_slices, p.window_h, span=self.span)
 
     def with_ends(self, index: DataFrame) -> DataFrame:
         """Units with the times that end their stay."""
@@ -213,10 +228,7 @@ class Study:
         Unit end and death travel with the unit through the panel, so cloning and censoring
         add no join and no shuffle.
         """
-        at_t0, on_slices = self.panel_lookups()
-        p = self.params
-        full = panel.hour_panel(self.with_ends(index), hours or p.panel_h, at_t0, on_slices, p.window_h)
-        return censor.clone_censor(full, p.grace_h)
+        return censor.clone_censor(self._panel(self.with_ends(index), hours), self.params.grace_h)
 
     def clones(self, hours: DataFrame, index: DataFrame) -> DataFrame:
         """Clones of a panel that was stored without unit end and death."""
@@ -224,7 +236,7 @@ class Study:
         full = left_join(hours, ends, "stay_id", ["icu_outtime", "death_time"])
         return censor.clone_censor(full, self.params.grace_h)
 
-    def outcomes(self, index: DataFrame) -> DataFrame:
+    def outcome_lookups(self) -> tuple[lookups.Lookup, lookups.Lookup]:
         p = self.params
         labs = self.tables["chemistry"]
         lower = plus_days("t0_time", -p.baseline_days) if p.baseline_days else F.col("admittime")
@@ -233,7 +245,11 @@ class Study:
             labs, "hadm_id", "charttime", {"scr_28d": "creatinine"}, 24 * p.horizon_days, "creatinine",
             self._ties("chemistry"),
         )
-        return censor.outcomes(index, self.tables["admissions"], low, last, p.recovery_ratio)
+        return low, last
+
+    def outcomes(self, index: DataFrame) -> DataFrame:
+        low, last = self.outcome_lookups()
+        return censor.outcomes(index, self.tables["admissions"], low, last, self.params.recovery_ratio, span=self.span)
 
     def analysis_frame(self, clones: DataFrame, base: DataFrame) -> DataFrame:
         return censor.analysis_frame(clones, base, self.params.risk)
@@ -266,13 +282,20 @@ class Study:
         """The same study over the events of the index cohort only, each table a stage.
 
         Baseline, panel and outcomes read most event tables two or three times.  Keeping the
-        cohort's rows once means that the full tables are scanned once.
+        cohort's rows once means that the full tables are scanned once, each within the times
+        that a window of any unit of ``index``, a stage, can reach.
         """
-        kept = {
-            name: stage(require(self.tables[name], index, "hadm_id" if name in EPISODE_TABLES else "stay_id"), name)
-            for name in EVENT_TABLES
-        }
-        return replace(self, tables={**self.tables, **kept})
+        span = lookups.time_span(index, "t0_time")
+        at_t0, on_slices = self.panel_lookups()
+        single = [*self.baseline_lookups(), *at_t0, self.urine(), *self.outcome_lookups()]
+        used = [(lookup, 0) for lookup in single] + [(lookup, self.params.panel_h) for lookup in on_slices]
+        kept = {}
+        for name in EVENT_TABLES:
+            table = self.tables[name]
+            reach = [lookups.reachable(lookup, span, n) for lookup, n in used if lookup.events is table]
+            rows = table.filter(reduce(operator.or_, reach)) if reach else table
+            kept[name] = stage(require(rows, index, "hadm_id" if name in EPISODE_TABLES else "stay_id"), name)
+        return replace(self, tables={**self.tables, **kept}, span=span)
 
     # --- whole run ----------------------------------------------------------------------
 
