@@ -26,12 +26,14 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "stay_id int, strategy string, time double, event int, w double")
 
 
+@pytest.mark.parametrize("shape", [(1 << 14, 1), (4, 0), (3, 1), (2, 4)])
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_sums_over_buckets(spark, descending):
+def test_running_sums_over_buckets(spark, descending, shape):
     rng = random.Random(1)
     rows = [(g, t, rng.random()) for g in "ab" for t in sorted(rng.sample(range(-5000, 5000), 300))]
     df = spark.createDataFrame(rows, "g string, t long, v double")
-    got = {(r["g"], r["t"]): r["s"] for r in running_sums(df, ["g"], "t", {"s": "v"}, descending, width=97).collect()}
+    got = {(r["g"], r["t"]): r["s"] for r in running_sums(df, ["g"], "t", {"s": "v"}, descending, 97, *shape).collect()}
+    assert len(got) == len(rows)
     for g in "ab":
         total = 0.0
         for _, t, v in sorted((r for r in rows if r[0] == g), key=lambda r: r[1], reverse=descending):
