@@ -482,3 +482,11 @@ def test_pipeline_stages(spark, docs, none, folder):
 def test_pipeline(spark, folder):
     out = corpus_pipeline.run(spark, folder).collect()
     assert out and all(r.decoded is None or len(r.ids) == len(r.begins) for r in out)
+
+
+def test_a_cluster_is_not_paired_with_itself(spark):
+    nodes = [(7, a, 1, 1) for a in range(40)] + [(7, 40, 1, 9)]
+    spots = spark.createDataFrame(nodes, "token bigint, node bigint, first bigint, last bigint")
+    left = spots.selectExpr("token", "node a", "first a_first", "last a_last")
+    got = sorted((r["a"], r["b"]) for r in signature_trees._apart(left, spots, ["token"]).collect())
+    assert got == [(a, 40) for a in range(41)]

@@ -350,11 +350,21 @@ def _ranked(docs: DataFrame, order: list[str]) -> DataFrame:
     return laid.join(sizes, "range").withColumn("rank", F.col("offset") + F.col("at") - F.col("first")).drop("range", "at", "first", "offset")
 
 
+def _apart(left: DataFrame, spots: DataFrame, on: list[str]) -> DataFrame:
+    """``(token, a, b)``: nodes of ``left`` joined with ``spots``, without pairs whose holders of the token are one component.
+
+    Such pairs have no link left to find; a cluster of near copies would make the square of its nodes.
+    """
+    right = spots.select(*on, F.col("node").alias("b"), "first", "last")
+    both = left.join(right.hint("merge"), on)
+    return both.where("a <= b and least(a_first, first) < greatest(a_last, last)").select("token", "a", "b")
+
+
 def _open_pairs(spots: DataFrame, nodes_to, percent: int) -> DataFrame:
     """Pairs of leaves ``(a, b)`` that hold a common token and can hold a link between components.
 
-    ``spots`` has the leaves ``(token, node)`` of each token, ``nodes_to(level)`` gives the
-    nodes up to a level.
+    ``spots`` has the leaves ``(token, node, first, last)`` of each token, with the range of the
+    components of the documents that hold it there; ``nodes_to(level)`` gives the nodes up to a level.
     """
     levels = [spots]
     rooted = []
@@ -364,20 +374,18 @@ def _open_pairs(spots: DataFrame, nodes_to, percent: int) -> DataFrame:
         above = rooted[-1].where("many").select("token")
         if not above.limit(1).count():
             break
-        up = levels[-1].join(above.hint("merge"), "token").select("token", F.shiftright("node", FANOUT_BITS).alias("node")).distinct()
-        levels.append(stage(up, "spots"))
+        up = levels[-1].join(above.hint("merge"), "token").groupBy("token", F.shiftright("node", FANOUT_BITS).alias("node"))
+        levels.append(stage(up.agg(F.min("first").alias("first"), F.max("last").alias("last")), "spots"))
     nodes = nodes_to(len(levels) - 1)
     pairs = None
     for level in range(len(levels) - 1, -1, -1):
         own = levels[level].join(rooted[level].where("not many").select("token").hint("merge"), "token")
-        a, b = own.select("token", F.col("node").alias("a")), own.select("token", F.col("node").alias("b"))
-        both = a.join(b.hint("merge"), "token").where("a <= b")
+        both = _apart(own.select("token", F.col("node").alias("a"), F.col("first").alias("a_first"), F.col("last").alias("a_last")), own, ["token"])
         if pairs is not None:
             below = levels[level].withColumn("up", F.shiftright("node", FANOUT_BITS))
-            a = below.select("token", F.col("up").alias("up_a"), F.col("node").alias("a"))
-            b = below.select("token", F.col("up").alias("up_b"), F.col("node").alias("b"))
-            down = pairs.select("token", F.col("a").alias("up_a"), F.col("b").alias("up_b")).join(a.hint("merge"), ["token", "up_a"]).join(b.hint("merge"), ["token", "up_b"])
-            both = both.unionAll(down.where("a <= b").select("token", "a", "b"))
+            a = below.select("token", F.col("up").alias("up_a"), F.col("node").alias("a"), F.col("first").alias("a_first"), F.col("last").alias("a_last"))
+            down = pairs.select("token", F.col("a").alias("up_a"), F.col("b").alias("up")).join(a.hint("merge"), ["token", "up_a"])
+            both = both.unionAll(_apart(down, below, ["token", "up"]))
         if level == 0:  # the same two leaves are compared once, whatever they share
             both = both.groupBy("a", "b").agg(F.min("token").alias("token"))
         pairs = stage(_possible(both.select("token", "a", "b"), nodes.where(F.col("level") == level), percent), "pairs")
@@ -415,13 +423,14 @@ def _tree_links(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     docs = parts.join(large.hint("merge"), "part", "left").join(hottest.hint("merge"), "k")
     docs = stage(_ranked(docs, ["segment", "cluster", "n", "least", "k"]), "documents").withColumn("leaf", F.shiftright("rank", NODE_BITS))
 
-    held = stage(tokens.join(docs.select("k", "leaf", "part").hint("merge"), "k").select("token", "leaf", "part"), "held")
-    content = [F.count("*").alias("n"), F.sum(F.col("leaf").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("leaf")).alias("odd")]
-    leaves = held.groupBy("token", "leaf").agg(F.min("part").alias("first"), F.max("part").alias("last"))
-    open_ = leaves.groupBy("token").agg(F.min("first").alias("first"), F.max("last").alias("last"), *content).where("first < last")
-    # shingles of one passage have the same leaves: one stands for all of them
+    held = tokens.join(docs.select("k", "leaf", "part").hint("merge"), "k").groupBy("token", "leaf")
+    held = stage(held.agg(F.min("part").alias("first"), F.max("part").alias("last")), "held")
+    seen = F.xxhash64("leaf", "first", "last")
+    content = [F.count("*").alias("n"), F.sum(seen.cast("decimal(38,0)")).alias("total"), F.bit_xor(seen).alias("odd")]
+    open_ = held.groupBy("token").agg(F.min("first").alias("first"), F.max("last").alias("last"), *content).where("first < last")
+    # shingles of one passage have the same leaves and components there: one stands for all of them
     open_ = open_.groupBy("n", "total", "odd").agg(F.min("token").alias("token")).select("token")
-    spots = stage(held.join(open_.hint("merge"), "token", "left_semi").select("token", F.col("leaf").alias("node")).distinct(), "spots")
+    spots = stage(held.join(open_.hint("merge"), "token", "left_semi").select("token", F.col("leaf").alias("node"), "first", "last"), "spots")
     pairs = _open_pairs(spots, lambda top: _hierarchy(docs, top), percent)
 
     unit = F.xxhash64(F.shiftright("a", FANOUT_BITS), F.shiftright("b", FANOUT_BITS)).alias("unit")
