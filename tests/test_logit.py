@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from trialweave.operators import pooled
+from trialweave.operators import logit, pooled
 from trialweave.operators.logit import ModelSpec, fit_models, predicted
 
 
@@ -136,3 +136,22 @@ def test_ridge_equals_a_dense_fit(spark):
         b = b + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ b)
     assert math.isclose(model.coefficients["x"], b[-2], rel_tol=1e-6)
     assert math.isclose(model.coefficients["z"], b[-1], rel_tol=1e-6)
+
+
+def test_a_task_sums_cross_products_of_whole_rows(spark):
+    rows = [(h, None if i == 3 else float(i % 5), float(i * i % 7), i % 3 % 2) for h in (0, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "hour_index int, a double, b double, censor_k_total int")
+    state = logit._start(df, [ModelSpec(("a", "b"))])[0]
+    inputs = df.select(*logit._inputs(state, 0))
+    assert "Generate" not in inputs._jdf.queryExecution().toString()
+    model = (0, state.use, state.alpha, state.beta[state.use], state.mean[state.use], state.sd[state.use])
+    schema = "m int, place int, j int, r double, fit double, h0 double, h1 double, h2 double"
+    got = {(r["place"], r["j"]): r for r in inputs.coalesce(1).mapInArrow(logit._cross_products([model], 3), schema).collect()}
+    for place, level in enumerate(state.open_):
+        own = np.array([[1.0, (a - state.mean[0]) / state.sd[0], (b - state.mean[1]) / state.sd[1], y] for h, a, b, y in rows if h == level and a is not None])
+        p = 1 / (1 + np.exp(-state.alpha[place]))
+        x, y = own[:, :3], own[:, 3]
+        for j in range(3):
+            assert np.allclose([got[place, j][f"h{k}"] for k in range(3)], (x.T * p * (1 - p)) @ x[:, j])
+            assert np.isclose(got[place, j]["r"], x[:, j] @ (y - p))
+        assert np.isclose(got[place, 0]["fit"], (y * np.log(p) + (1 - y) * np.log(1 - p)).sum())

@@ -1,6 +1,6 @@
-"""Pooled logistic regression fitted by Newton steps over native aggregates.
+"""Pooled logistic regression fitted by Newton steps over distributed sums.
 
-One step of all models of a fit is one job of aggregates: per level of the factor, the weighted
+One step of all models of a fit is one job: per level of the factor, the weighted
 cross-products of the terms, the score and the log likelihood.  Only these sums, whose number
 depends on the model and not on the data, reach the driver, where the factor's intercepts are
 eliminated and the remaining small system is solved.
@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -156,47 +158,73 @@ def _choose(level: Column, values: Mapping[object, float]) -> Column:
     return table[level]
 
 
-def _sums(df: DataFrame, s: _State, m: int, width: int) -> DataFrame:
-    """Per factor level and term: sums at the model's current coefficients, ``width`` of them.
-
-    Every row is repeated for its terms, the intercept being the first, before it is summed in
-    its task; that keeps the aggregate short whatever the number of terms.
-    """
+def _inputs(s: _State, m: int) -> list[Column]:
+    """What a row brings to a model: its place among the open levels, weight, label and terms."""
     level = F.col(s.spec.factor) if s.spec.factor else F.lit("all")
-    terms = [F.lit(1.0), *[(s.columns[j] - float(s.mean[j])) / float(s.sd[j]) for j in s.use]]
-    rows = df.select(level.alias("level"), _weight(s.spec).alias("w"), F.col(s.spec.label).cast("double").alias("y"), F.array(*terms).alias("x"))
-    rows = rows.where((F.col("w") > 0) & F.col("level").isin(*s.open_))
-    eta = _choose(F.col("level"), dict(zip(s.open_, map(float, s.alpha), strict=True)))
-    for k, j in enumerate(s.use, 1):
-        eta = eta + F.col("x")[k] * float(s.beta[j])
-    rows = rows.withColumn("e", eta)
-    rows = rows.withColumn("p", 1 / (1 + F.exp(-F.col("e"))))
-    e, w, p = F.col("e"), F.col("w"), F.col("p")
-    # log(1 + exp(e)) without overflow
-    fit = w * (F.col("y") * e - F.greatest(e, F.lit(0.0)) - F.log1p(F.exp(-F.abs(e))))
-    rows = rows.select("level", "x", (w * (F.col("y") - p)).alias("r"), (w * p * (1 - p)).alias("v"), fit.alias("fit"))
-    each = rows.select("level", "x", "r", "v", "fit", F.posexplode("x").alias("j", "xj"))
-    each = each.select("level", "j", "x", (F.col("r") * F.col("xj")).alias("r"), (F.col("v") * F.col("xj")).alias("v"), F.when(F.col("j") == 0, F.col("fit")).alias("fit"))
-    products = [F.sum(F.col("v") * F.col("x")[k]) if k < len(terms) else F.lit(None).cast("double") for k in range(width)]
-    named = [c.alias(f"h{k}") for k, c in enumerate(products)]
-    return each.groupBy(F.lit(m).alias("m"), F.col("level").cast("string").alias("level"), "j").agg(F.sum("r").alias("r"), F.sum("fit").alias("fit"), *named)
+    place = _choose(level, {x: k for k, x in enumerate(s.open_)})
+    own = [F.when(_weight(s.spec) > 0, place).alias(f"at{m}"), _weight(s.spec).alias(f"w{m}"), F.col(s.spec.label).cast("double").alias(f"y{m}")]
+    return own + [s.columns[j].alias(f"x{m}_{j}") for j in s.use]
+
+
+def _cross_products(models: Sequence[tuple], width: int):
+    """A task's sums per model, level and term, of Arrow batches of ``_inputs``; ``width`` products a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {m: np.zeros((len(alpha), 1 + len(use), 2 + width)) for m, use, alpha, *_ in models}
+        for batch in batches:
+            for m, use, alpha, beta, mean, sd in models:
+                own = batch.filter(pc.is_valid(batch[f"at{m}"]))
+                at = own[f"at{m}"].to_numpy(zero_copy_only=False)
+                order = np.argsort(at, kind="stable")
+                at = at[order]
+                w, y = (own[f"{c}{m}"].to_numpy(zero_copy_only=False)[order] for c in "wy")
+                x = np.ones((len(order), 1 + len(use)))
+                for k, j in enumerate(use):
+                    x[:, k + 1] = (own[f"x{m}_{j}"].to_numpy(zero_copy_only=False)[order] - mean[k]) / sd[k]
+                e = alpha[at] + x[:, 1:] @ beta
+                with np.errstate(over="ignore"):
+                    p = 1 / (1 + np.exp(-e))
+                # log(1 + exp(e)) without overflow
+                fit = w * (y * e - np.maximum(e, 0.0) - np.log1p(np.exp(-np.abs(e))))
+                r, v = w * (y - p), w * p * (1 - p)
+                edges = np.searchsorted(at, np.arange(len(alpha) + 1))
+                for level, (low, high) in enumerate(zip(edges, edges[1:])):
+                    if low < high:
+                        part, total = x[low:high], sums[m][level]
+                        total[:, 0] += part.T @ r[low:high]
+                        total[0, 1] += fit[low:high].sum()
+                        total[:, 2 : 3 + len(use)] += part.T @ (part * v[low:high, None])
+        for m, total in sums.items():
+            place, j = np.indices(total.shape[:2]).reshape(2, -1)
+            flat = total.reshape(-1, 2 + width)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(flat), m), pa.int32()), pa.array(place, pa.int32()), pa.array(j, pa.int32()), *[pa.array(c) for c in flat.T]],
+                ["m", "place", "j", "r", "fit", *[f"h{k}" for k in range(width)]],
+            )
+
+    return run
 
 
 def _evaluate(df: DataFrame, states: Sequence[_State]) -> None:
-    """Sums of all open models at their current coefficients, in one job, and a step of each."""
+    """Sums of all open models at their current coefficients, in one job, and a step of each.
+
+    The rows are read once for all models, and every task sums its own: the cross-products of a
+    batch are products of matrices, so that a row costs no more rows, whatever the terms.
+    """
     moving = [(m, s) for m, s in enumerate(states) if not s.done]
     width = 1 + max(len(s.use) for _, s in moving)
-    sums = None
-    for m, s in moving:
-        own = _sums(df, s, m, width)
-        sums = own if sums is None else sums.unionAll(own)
-    got = {(r["m"], r["level"], r["j"]): r for r in sums.collect()}
+    models = [(m, list(s.use), np.array(s.alpha, float), s.beta[s.use], s.mean[s.use], s.sd[s.use]) for m, s in moving]
+    sums = ["r", "fit", *[f"h{k}" for k in range(width)]]
+    schema = ", ".join(["m int", "place int", "j int", *[f"{c} double" for c in sums]])
+    rows = df.select(*[c for m, s in moving for c in _inputs(s, m)])
+    each = rows.mapInArrow(_cross_products(models, width), schema).groupBy("m", "place", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    got = {(r["m"], r["place"], r["j"]): r for r in each.collect()}
     for m, s in moving:
         size = 1 + len(s.use)
-        rows = [[got[m, str(level), j] for j in range(size)] for level in s.open_]
-        r = np.array([[x["r"] for x in own] for own in rows])
-        h = np.array([[[x[f"h{k}"] for k in range(size)] for x in own] for own in rows])
-        _advance(s, float(sum(own[0]["fit"] for own in rows)), r, h)
+        rows_ = [[got[m, place, j] for j in range(size)] for place in range(len(s.open_))]
+        r = np.array([[x["r"] for x in own] for own in rows_])
+        h = np.array([[[x[f"h{k}"] for k in range(size)] for x in own] for own in rows_])
+        _advance(s, float(sum(own[0]["fit"] for own in rows_)), r, h)
 
 
 def _advance(s: _State, likelihood: float, score: np.ndarray, information: np.ndarray) -> None:
