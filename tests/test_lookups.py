@@ -278,3 +278,16 @@ def test_events_without_time_count_nowhere(spark):
     twice = units.unionAll(units)
     with pytest.raises(Exception, match="more than once"):
         lookups.gather(twice, "u", "t0", found).collect()
+
+
+def test_slices_are_dealt_before_they_are_repeated(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "GRID_ROWS", 16)
+    ev = points(spark, [(k, T0 - H / 2 + h * H, 1.0, 10 * k + h) for k in (1, 2, 3) for h in range(3)])
+    total = lookups.window_value(ev, "stay_id", "charttime", "v", "x", "sum", 6)
+    hours = lookups.gather_slices(units(spark, 1, 2, 3, 4), "stay_id", "t0_time", 12, [total])
+    plan = hours._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(stay_id" in plan and "hour_index" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    # 48 rows of the grid, 16 to a task
+    assert ", 3), REPARTITION_BY_NUM" in plan
+    got = {(r["stay_id"], r["hour_index"]): r["x"] for r in hours.collect()}
+    assert len(got) == 48 and got[1, 0] == 2.0 and got[3, 2] == 3.0 and got[4, 5] is None

@@ -29,6 +29,9 @@ from trialweave.functions.exprs import (
 )
 from trialweave.operators.joins import spread_join
 
+#: Rows of the hour grid that one task aggregates.
+GRID_ROWS = 1 << 17
+
 # Names that the unit side brings into the join with an event table.
 LO, AT, UNIT = "__lo", "__at", "__unit"
 
@@ -325,19 +328,27 @@ def _joined(units: DataFrame, unit: str, at: str, lookup: Lookup, span: Span | N
     return spread_join(facts, timed.select(*side), [lookup.key])
 
 
-def _reduce(base: DataFrame, keys: Sequence[str], lookups: Sequence[Lookup], parts: Sequence[DataFrame]) -> DataFrame:
-    """Stack the keys of ``base`` and all parts, aggregate once by ``keys`` and join the rest of ``base``.
+def _stacked(keys: DataFrame, parts: Sequence[DataFrame]) -> DataFrame:
+    for rows in parts:
+        keys = keys.unionByName(rows, allowMissingColumns=True)
+    return keys
+
+
+def _merged(stacked: DataFrame, keys: Sequence[str], lookups: Sequence[Lookup]) -> DataFrame:
+    """One row per key that has ``__copies``; a key that has several is an error.
 
-    ``base`` decides which keys exist; a key that it holds twice is an error.  Only columns of
-    fixed width are aggregated, which Spark does by hashing.
+    Only columns of fixed width are aggregated, which Spark does by hashing.
     """
-    stacked = base.select(*keys, F.lit(1).alias("__copies"))
-    for rows in parts:
-        stacked = stacked.unionByName(rows, allowMissingColumns=True)
     merged = [c for i, lookup in enumerate(lookups) for c in lookup.merged(i)]
     wide = stacked.groupBy(*keys).agg(F.count("__copies").alias("__copies"), *merged).filter(F.col("__copies") > 0)
     once = F.when(F.col("__copies") > 1, F.raise_error(F.lit("a unit occurs more than once")).cast("int"))
-    return base.join(wide.withColumn("__copies", once), list(keys), "inner").filter(F.col("__copies").isNull())
+    return wide.withColumn("__copies", once)
+
+
+def _reduce(base: DataFrame, unit: str, lookups: Sequence[Lookup], parts: Sequence[DataFrame]) -> DataFrame:
+    """Stack the units of ``base`` and all parts, aggregate once by unit and join the rest of ``base``."""
+    stacked = _stacked(base.select(unit, F.lit(1).alias("__copies")), parts)
+    return base.join(_merged(stacked, [unit], lookups), unit, "inner").filter(F.col("__copies").isNull())
 
 
 def _finish(lookups: Sequence[Lookup]) -> list[Column]:
@@ -355,7 +366,7 @@ def gather(
     for i, lookup in enumerate(lookups):
         rows = _joined(units, unit, at, lookup, span).filter(lookup.matches())
         parts.append(rows.select(F.col(UNIT).alias(unit), *[c.alias(n) for n, c in lookup.parts(i).items()]))
-    wide = _reduce(units, [unit], lookups, parts)
+    wide = _reduce(units, unit, lookups, parts)
     return wide.select(*units.columns, *_finish(lookups))
 
 
@@ -369,16 +380,15 @@ def hour_grid(units: DataFrame, at: str, n: int, name: str = "hour_index") -> Da
     )
 
 
-def _slice_rows(
+def _slice_ends(
     units: DataFrame, unit: str, at: str, n: int, lookup: Lookup, i: int, span: Span | None
 ) -> DataFrame:
-    """Values of one lookup on the slices it counts for.
+    """Values of one lookup with the first and last slice they count for, merged per pair of ends.
 
     With d the offset from the reference time in hours, a point falls in cell ceil(d) - 1
     and counts for the slices cell .. cell + w - 1.  An interval [a, b) counts for the slices
-    floor(a) .. ceil(b) + w - 2, without upper end when it is open.  Rows are merged per cell
-    (or per pair of ends) before they are repeated over slices, so repetition is bounded by
-    the number of slices and never by the number of events.
+    floor(a) .. ceil(b) + w - 2, without upper end when it is open.  A unit has at most
+    n * (n + 1) / 2 pairs of ends, however many events it has.
     """
     w = int(lookup.window)
     rows = _joined(units, unit, at, lookup, span, n)
@@ -396,19 +406,16 @@ def _slice_rows(
         start, end = lookup.span
         lo = hours_down(start)
         hi = F.coalesce(hours_up(end) + (w - 2), F.lit(n - 1))
-    values = lookup.parts(i)
     ends = (
         rows.select(
             F.col(UNIT).alias(unit),
             F.greatest(lo, F.lit(0)).cast("int").alias("__from"),
             F.least(hi, F.lit(n - 1)).cast("int").alias("__to"),
-            *[c.alias(name) for name, c in values.items()],
+            *[c.alias(name) for name, c in lookup.parts(i).items()],
         )
         .filter(F.col("__from") <= F.col("__to"))
     )
-    if lookup.time is None or w > 1:
-        ends = ends.groupBy(unit, "__from", "__to").agg(*lookup.merged(i))
-    return ends.select(unit, F.explode(F.sequence("__from", "__to")).alias("hour_index"), *values)
+    return ends.groupBy(unit, "__from", "__to").agg(*lookup.merged(i))
 
 
 def gather_slices(
@@ -424,6 +431,10 @@ def gather_slices(
 
     ``attributes`` (default: ``units``) has the same units and all columns to carry along, so
     that the narrow ``units`` alone is joined to every event table.  ``span`` as in ``gather``.
+
+    Merged rows are dealt by unit before they are repeated over slices, ``GRID_ROWS`` rows of the
+    grid to a task: a task's memory depends neither on the number of units nor on how well the
+    rows compress.  ``units`` is counted now and should be a stage.
     """
     for lookup in lookups:
         if lookup.window is None or lookup.window != int(lookup.window) or lookup.window < 1:
@@ -431,9 +442,11 @@ def gather_slices(
         if lookup.side != "window":
             raise ValueError("only trailing windows are defined on hour slices")
     carried = units if attributes is None else attributes
-    parts = [_slice_rows(units, unit, at, n, lookup, i, span) for i, lookup in enumerate(lookups)]
-    base = carried.withColumn("hour_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    wide = _reduce(base, [unit, "hour_index"], lookups, parts)
+    parts = [_slice_ends(units, unit, at, n, lookup, i, span) for i, lookup in enumerate(lookups)]
+    whole = units.select(unit, F.lit(0).alias("__from"), F.lit(n - 1).alias("__to"), F.lit(1).alias("__copies"))
+    tasks = max(1, -(-units.count() * n // GRID_ROWS))
+    dealt = _stacked(whole, parts).repartition(tasks, unit).withColumn("hour_index", F.explode(F.sequence("__from", "__to")))
+    wide = carried.join(_merged(dealt, [unit, "hour_index"], lookups), unit, "inner").filter(F.col("__copies").isNull())
     h = F.col("hour_index")
     return wide.select(
         *carried.columns,
