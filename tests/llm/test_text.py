@@ -490,3 +490,20 @@ def test_a_cluster_is_not_paired_with_itself(spark):
     left = spots.selectExpr("token", "node a", "first a_first", "last a_last")
     got = sorted((r["a"], r["b"]) for r in signature_trees._apart(left, spots, ["token"]).collect())
     assert got == [(a, 40) for a in range(41)]
+
+
+def test_tokens_of_nearly_the_same_leaves_are_followed_as_one(spark):
+    r = random.Random(3)
+    cluster = [(t, leaf, leaf % 2, 2 + leaf % 3) for t in range(30) for leaf in range(64) if r.random() < 0.97]
+    others = [(100 + t, 1000 + 10 * t + i, i, i) for t in range(20) for i in range(2)]
+    spots = spark.createDataFrame(cluster + others, "token bigint, node bigint, first bigint, last bigint")
+    rows = signature_trees._merged(spots).collect()
+    assert len({(x.token, x.node) for x in rows}) == len(rows)
+    held = {}
+    for x in rows:
+        held.setdefault(x.token, {})[x.node] = (x["first"], x["last"])
+    assert sum(len(x) ** 2 for x in held.values()) < 10 * 64**2  # one by one: 27 * 64^2
+    for t in {x[0] for x in cluster + others}:  # the nodes of a token stay together, with its components
+        own = [x for x in cluster + others if x[0] == t]
+        assert any(all(n in x and x[n][0] <= a and b <= x[n][1] for _, n, a, b in own) for x in held.values())
+    assert sum(100 <= t for t in held) == 20

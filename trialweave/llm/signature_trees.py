@@ -12,8 +12,8 @@
    by size.  ``NODE`` neighbours are a leaf and ``FANOUT`` neighbouring nodes one of the next
    level, with the OR of their documents' token bitmaps, their range of sizes and of
    components.  Bitmaps grow with the document; a node has the narrowest width below it.
-5. A rare shingle is followed from the lowest level at which ``FANOUT`` nodes hold its
-   documents.  Pairs of nodes go down level by level, to children that hold the shingle, as
+5. Rare shingles that stand in nearly the same leaves are followed as one.  Each is followed
+   from the lowest level at which ``FANOUT`` nodes hold its documents.  Pairs of nodes go down level by level, to children that hold the shingle, as
    long as the largest possible overlap can reach the similarity and the two are not one
    component.  The sets in the remaining pairs of leaves are compared, each fetched once for
    all the pairs of two parents.
@@ -360,6 +360,24 @@ def _apart(left: DataFrame, spots: DataFrame, on: list[str]) -> DataFrame:
     return both.where("a <= b and least(a_first, first) < greatest(a_last, last)").select("token", "a", "b")
 
 
+def _merged(spots: DataFrame) -> DataFrame:
+    """``spots`` in which tokens of nearly the same leaves are one token, held wherever one of them is.
+
+    The shingles of a group of near copies, each of which some copies lack, would open every pair
+    of the group's nodes once each.  Tokens with the same least leaf in hash order and like numbers
+    of leaves are merged if that makes no more pairs than they make one by one.
+    """
+    each = spots.groupBy("token").agg(F.count("*").alias("n"), F.min(F.xxhash64("node")).alias("lowest"))
+    each = stage(each.withColumn("kin", F.xxhash64("lowest", F.length(F.bin("n")))), "kin")
+    kin = spots.join(each.select("token", "kin").hint("merge"), "token")
+    joint = stage(kin.groupBy("kin", "node").agg(F.min("first").alias("first"), F.max("last").alias("last")), "joint")
+    alone = each.groupBy("kin").agg(F.sum(F.col("n") * F.col("n")).alias("alone"), F.min("token").alias("token"))
+    worth = joint.groupBy("kin").agg(F.count("*").alias("n")).join(alone.hint("merge"), "kin").where(F.col("n") * F.col("n") <= F.col("alone"))
+    worth = stage(worth.select("kin", "token"), "worth")
+    rest = kin.join(worth.select("kin").hint("merge"), "kin", "left_anti")
+    return joint.join(worth.hint("merge"), "kin").select(*spots.columns).unionAll(rest.select(*spots.columns))
+
+
 def _open_pairs(spots: DataFrame, nodes_to, percent: int) -> DataFrame:
     """Pairs of leaves ``(a, b)`` that hold a common token and can hold a link between components.
 
@@ -431,6 +449,7 @@ def _tree_links(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     # shingles of one passage have the same leaves and components there: one stands for all of them
     open_ = open_.groupBy("n", "total", "odd").agg(F.min("token").alias("token")).select("token")
     spots = stage(held.join(open_.hint("merge"), "token", "left_semi").select("token", F.col("leaf").alias("node"), "first", "last"), "spots")
+    spots = stage(_merged(spots), "merged")
     pairs = _open_pairs(spots, lambda top: _hierarchy(docs, top), percent)
 
     unit = F.xxhash64(F.shiftright("a", FANOUT_BITS), F.shiftright("b", FANOUT_BITS)).alias("unit")
