@@ -367,15 +367,17 @@ def _merged(spots: DataFrame) -> DataFrame:
     of the group's nodes once each.  Tokens with the same least leaf in hash order and like numbers
     of leaves are merged if that makes no more pairs than they make one by one.
     """
-    each = spots.groupBy("token").agg(F.count("*").alias("n"), F.min(F.xxhash64("node")).alias("lowest"))
-    each = stage(each.withColumn("kin", F.xxhash64("lowest", F.length(F.bin("n")))), "kin")
-    kin = spots.join(each.select("token", "kin").hint("merge"), "token")
-    joint = stage(kin.groupBy("kin", "node").agg(F.min("first").alias("first"), F.max("last").alias("last")), "joint")
-    alone = each.groupBy("kin").agg(F.sum(F.col("n") * F.col("n")).alias("alone"), F.min("token").alias("token"))
-    worth = joint.groupBy("kin").agg(F.count("*").alias("n")).join(alone.hint("merge"), "kin").where(F.col("n") * F.col("n") <= F.col("alone"))
-    worth = stage(worth.select("kin", "token"), "worth")
-    rest = kin.join(worth.select("kin").hint("merge"), "kin", "left_anti")
-    return joint.join(worth.hint("merge"), "kin").select(*spots.columns).unionAll(rest.select(*spots.columns))
+    token, kin = Window.partitionBy("token"), Window.partitionBy("kin")
+    sized = spots.withColumn("n", F.count("*").over(token)).withColumn("lowest", F.min(F.xxhash64("node")).over(token))
+    own = F.struct("token", "first", "last")
+    joint = sized.groupBy(F.xxhash64("lowest", F.length(F.bin("n"))).alias("kin"), "node").agg(
+        F.min("token").alias("token"), F.min("first").alias("first"), F.max("last").alias("last"), F.collect_list(own).alias("own"), F.sum("n").alias("alone")
+    )
+    # each token has n rows, so the sum of n over its rows is the square of its leaves
+    joint = joint.withColumn("together", F.pow(F.count("*").over(kin), 2)).withColumn("alone", F.sum("alone").over(kin)).withColumn("least", F.min("token").over(kin))
+    one = F.struct(F.col("least").alias("token"), "first", "last")
+    held = F.explode(F.when(F.col("together") <= F.col("alone"), F.array(one)).otherwise(F.col("own"))).alias("held")
+    return joint.select("node", held).select("held.token", "node", "held.first", "held.last")
 
 
 def _open_pairs(spots: DataFrame, nodes_to, percent: int) -> DataFrame:
@@ -448,8 +450,8 @@ def _tree_links(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     open_ = held.groupBy("token").agg(F.min("first").alias("first"), F.max("last").alias("last"), *content).where("first < last")
     # shingles of one passage have the same leaves and components there: one stands for all of them
     open_ = open_.groupBy("n", "total", "odd").agg(F.min("token").alias("token")).select("token")
-    spots = stage(held.join(open_.hint("merge"), "token", "left_semi").select("token", F.col("leaf").alias("node"), "first", "last"), "spots")
-    spots = stage(_merged(spots), "merged")
+    spots = held.join(open_.hint("merge"), "token", "left_semi").select("token", F.col("leaf").alias("node"), "first", "last")
+    spots = stage(_merged(spots), "spots")
     pairs = _open_pairs(spots, lambda top: _hierarchy(docs, top), percent)
 
     unit = F.xxhash64(F.shiftright("a", FANOUT_BITS), F.shiftright("b", FANOUT_BITS)).alias("unit")
