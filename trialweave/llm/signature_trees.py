@@ -386,20 +386,18 @@ def _open_pairs(spots: DataFrame, nodes_to, percent: int) -> DataFrame:
     ``spots`` has the leaves ``(token, node, first, last)`` of each token, with the range of the
     components of the documents that hold it there; ``nodes_to(level)`` gives the nodes up to a level.
     """
-    levels = [spots]
-    rooted = []
+    many = (F.count("*").over(Window.partitionBy("token")) > FANOUT).alias("many")
+    levels = [stage(spots.select("*", many), "spots")]
     while True:
-        many = levels[-1].groupBy("token").agg((F.count("*") > FANOUT).alias("many"))
-        rooted.append(stage(many, "rooted"))
-        above = rooted[-1].where("many").select("token")
+        above = levels[-1].where("many")
         if not above.limit(1).count():
             break
-        up = levels[-1].join(above.hint("merge"), "token").groupBy("token", F.shiftright("node", FANOUT_BITS).alias("node"))
-        levels.append(stage(up.agg(F.min("first").alias("first"), F.max("last").alias("last")), "spots"))
+        up = above.groupBy("token", F.shiftright("node", FANOUT_BITS).alias("node")).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        levels.append(stage(up.select("*", many), "spots"))
     nodes = nodes_to(len(levels) - 1)
     pairs = None
     for level in range(len(levels) - 1, -1, -1):
-        own = levels[level].join(rooted[level].where("not many").select("token").hint("merge"), "token")
+        own = levels[level].where("not many")
         both = _apart(own.select("token", F.col("node").alias("a"), F.col("first").alias("a_first"), F.col("last").alias("a_last")), own, ["token"])
         if pairs is not None:
             below = levels[level].withColumn("up", F.shiftright("node", FANOUT_BITS))
@@ -451,8 +449,7 @@ def _tree_links(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     # shingles of one passage have the same leaves and components there: one stands for all of them
     open_ = open_.groupBy("n", "total", "odd").agg(F.min("token").alias("token")).select("token")
     spots = held.join(open_.hint("merge"), "token", "left_semi").select("token", F.col("leaf").alias("node"), "first", "last")
-    spots = stage(_merged(spots), "spots")
-    pairs = _open_pairs(spots, lambda top: _hierarchy(docs, top), percent)
+    pairs = _open_pairs(_merged(spots), lambda top: _hierarchy(docs, top), percent)
 
     unit = F.xxhash64(F.shiftright("a", FANOUT_BITS), F.shiftright("b", FANOUT_BITS)).alias("unit")
     ends = pairs.select(unit, "a", F.explode(F.array_distinct(F.array("a", "b"))).alias("leaf"), "b")
