@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialweave.operators import censor, survival
+from trialweave.plans import proxies, queries_effects
 
 KINDS = "stay_id int, strategy string, begin double, time double, event int, w double"
 
@@ -103,6 +104,24 @@ def test_a_level_without_events_has_no_estimate(spark):
     assert not got["y"]["converged"] and got["y"]["hr"] is None and got["y"]["se"] is None and got["y"]["n_event"] == 0
 
 
+def test_subgroup_rows_that_differ_in_weight_alone_are_merged_before_the_fit(spark, monkeypatch):
+    rows = [(i, arm, h / 24, (h + 1) / 24 if h < 23 else t, e if h == 23 else 0, w * (1 + h % 3)) for i, arm, _, t, e, w in subjects() if t > 1 for h in range(24)]
+    rows += [rows[0], rows[-1], (700, "A", None, 4.0, 1, 9.0), (701, "B", 0.0, None, 1, 9.0), (702, "B", 0.0, 4.0, 1, None), (703, "A", 0.0, 4.0, 1, -1.0)]
+    df = spark.createDataFrame(rows, KINDS).withColumns(
+        {"g": F.when(F.col("stay_id") % 3 > 0, "x").otherwise("y"), "k": F.when(F.col("stay_id") % 5 > 0, "u")}
+    )
+    seen = []
+    fit = survival.weighted_cox
+    monkeypatch.setattr(survival, "weighted_cox", lambda large, *args, **kw: seen.append(large.count()) or fit(large, *args, **kw))
+    got = {(r["subgroup"], r["level"]): r for r in survival.subgroup_cox(df, ["g", "k"], 10, weight="w", start="begin").collect()}
+    assert set(got) == {("g", "x"), ("g", "y"), ("k", "u")}
+    for (flag, level), r in got.items():
+        want = fit(df.filter(F.col(flag) == level), weight="w", start="begin").first()
+        assert (r["n"], r["n_event"], r["converged"]) == (want["n"], want["n_event"], True)
+        assert math.isclose(r["log_hr"], want["log_hr"], rel_tol=1e-8) and math.isclose(r["se"], want["se"], rel_tol=1e-8)
+    assert seen[0] < sum(r["n"] for r in got.values()) / 5
+
+
 def test_clone_hours(spark):
     hours = [(s, a, h, 1.0 + h, int(not (s == 2 and a == "B" and h >= 3))) for s in (1, 2, 3, 4) for a in "AB" for h in range(24)]
     weighted = spark.createDataFrame(hours, "stay_id int, strategy string, hour_index int, ipcw_trunc double, at_risk_after_k int")
@@ -119,3 +138,21 @@ def test_clone_hours(spark):
     assert got[2, "A", 23] == (23 / 24, 10.0, 1, 24.0) and got[3, "A", 23] == (23 / 24, 28.0, 0, 24.0)
     whole = {(r["stay_id"], r["strategy"], r["hour_index"]): (r["time"], r["event"]) for r in censor.clone_hours(weighted, outcome).collect()}
     assert whole[1, "A", 23] == (5.5 / 24, 1) and whole[2, "B", 2] == (10.0, 1) and len(whole) == 24 * 5 + 3
+
+
+def test_queries_on_clone_hours_read_the_events_once(spark, tmp_path, monkeypatch):
+    spark.sql(
+        "SELECT id AS event_id, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, id) AS ts, id % 5 AS user_id, 'error' AS event_type, 1.0D AS value FROM range(50)"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT id AS c_custkey, 1 AS c_nationkey, 'M' AS c_mktsegment FROM range(5)").write.parquet(f"{tmp_path}/customer.parquet")
+    plans = []
+
+    def keep(units, kdigo):
+        plans.append(kdigo)
+        raise LookupError
+
+    monkeypatch.setattr(proxies, "time_zero", keep)
+    with pytest.raises(LookupError):
+        queries_effects._risk_rows(spark, str(tmp_path))
+    assert plans[0].count() == 50
+    assert not [f for f in plans[0].inputFiles() if f"{tmp_path}/events" in f]

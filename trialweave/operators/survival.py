@@ -282,7 +282,7 @@ def _event_times(rows: DataFrame, by: list[str]) -> DataFrame:
     if "start" in rows.columns:
         arms = {"w1": F.when(x == 1, w).otherwise(zero), "w0": F.when(x == 0, w).otherwise(zero)}
         events = {f"d{k[1]}": F.when(e == 1, v).otherwise(zero) for k, v in arms.items()}
-        counted = _counted(_marks(rows, by, arms, {**events, "k": e}), by, {"r1": "w1", "r0": "w0"})
+        counted = _counted(_marks(rows, by, arms, {**events, "k": e.cast("double") * F.col("n")}), by, {"r1": "w1", "r0": "w0"})
         counted = counted.withColumns({"k": F.round("k").cast("long"), "r1": F.greatest("r1", "d1"), "r0": F.greatest("r0", "d0")})
         return counted.filter(F.col("k") > 0).drop("in_w1", "in_w0")
     steps = rows.groupBy(*by, "ticks").agg(
@@ -290,7 +290,7 @@ def _event_times(rows: DataFrame, by: list[str]) -> DataFrame:
         F.sum(F.when(x == 0, w).otherwise(zero)).alias("w0"),
         F.sum(F.when((x == 1) & (e == 1), w).otherwise(zero)).alias("d1"),
         F.sum(F.when((x == 0) & (e == 1), w).otherwise(zero)).alias("d0"),
-        F.sum(e.cast("long")).alias("k"),
+        F.sum(e.cast("long") * F.col("n")).alias("k"),
     )
     return running_sums(steps, by, "ticks", {"r1": "w1", "r0": "w0"}, descending=True).filter(F.col("k") > 0)
 
@@ -321,6 +321,7 @@ def weighted_cox(
     ties: str = "efron",
     cluster: str | None = None,
     start: str | None = None,
+    count: str | None = None,
     max_groups: int = 10_000,
     max_iter: int = 30,
     tol: float = 1e-10,
@@ -330,23 +331,25 @@ def weighted_cox(
     Returns the log hazard ratio of ``treated`` against the other arm and its model-based
     standard error, z, p and 95 % limits on both scales; with ``cluster`` also a standard
     error robust to rows of the same cluster.  With ``start`` a row is at risk in (start, time]
-    only.  All groups iterate together: each Newton step is one aggregation of the event-time
-    table, which is written as a stage once.  Only one number per group passes through the
-    driver; more than ``max_groups`` groups are refused.  Estimates are NULL for a group whose
-    fit did not converge or that has no events in one comparison.
+    only.  With ``count`` a row stands for that many rows that differ in their weight alone, and
+    ``weight`` is the sum of their weights.  All groups iterate together: each Newton step is one
+    aggregation of the event-time table, which is written as a stage once.  Only one number per
+    group passes through the driver; more than ``max_groups`` groups are refused.  Estimates are
+    NULL for a group whose fit did not converge or that has no events in one comparison.
     """
     if ties not in ("efron", "breslow"):
         raise ValueError(f"ties must be 'efron' or 'breslow', not {ties!r}")
     spark = df.sparkSession
     keys = [F.col(c) for c in by] or [F.lit("all").alias("__all")]
     names = list(by) or ["__all"]
-    w = F.col(weight) if weight else F.lit(1.0)
+    n = F.col(count).cast("long") if count else F.lit(1).cast("long")
+    w = F.col(weight) if weight else n
     group = F.xxhash64(*[F.col(c) for c in names])
     extra = [F.col(cluster).alias("__cluster")] if cluster else []
     extra += [_ticks(start).alias("start")] if start else []
     rows = (
         df.select(*keys, *extra, _ticks(time).alias("ticks"), F.col(event).alias("e"),
-                  flag(F.col(arm) == treated).alias("x"), w.cast("double").alias("w"))
+                  flag(F.col(arm) == treated).alias("x"), w.cast("double").alias("w"), n.alias("n"))
         .dropna(subset=["ticks", "e", "w"])
         .filter(F.col("w") > 0)
         .withColumn("__g", group)
@@ -355,7 +358,7 @@ def weighted_cox(
         rows = rows.filter(F.col("start") < F.col("ticks"))
     times = stage(_tied(_event_times(rows, ["__g"]), ["__g"], ties), "event-times")
     groups = stage(
-        rows.groupBy(*names, "__g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e").cast("long")).alias("n_event")),
+        rows.groupBy(*names, "__g").agg(F.sum("n").alias("n"), F.sum(F.col("e").cast("long") * F.col("n")).alias("n_event")),
         "groups",
     )
     ids = [r["__g"] for r in groups.select("__g").limit(max_groups + 1).collect()]
@@ -495,17 +498,24 @@ def subgroup_cox(
 ) -> DataFrame:
     """Cox effects within every level of several flags; levels with fewer rows are skipped.
 
-    Flags become (subgroup, level) rows, so all levels of all flags are one grouped fit.
+    Flags become (subgroup, level) rows, so all levels of all flags are one grouped fit.  Rows that
+    differ in their weight alone are first merged into one; with ``cluster`` rows are kept, as few
+    would merge.  The large levels are a stage, so that joining them does not move rows by level.
     """
-    ids = [time, event, arm, *(c for c in (weight, start, cox.get("cluster")) if c)]
-    long = df.select(*ids, *flags).unpivot(ids, list(flags), "subgroup", "level")
-    known = [c for c in (time, event, weight) if c]
-    long = long.dropna(subset=["level", *known])
+    cluster = cox.get("cluster")
+    ids = [time, event, arm, *(c for c in (start, cluster) if c)]
+    rows = df.dropna(subset=[c for c in (time, event, weight) if c])
     if weight:
-        long = long.filter(F.col(weight) > 0)
-    sizes = long.groupBy("subgroup", "level").agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") >= min_rows)
-    large = long.join(sizes.drop("__rows"), ["subgroup", "level"], "left_semi")
-    return weighted_cox(large, time, event, arm, weight, by=("subgroup", "level"), start=start, **cox)
+        rows = rows.filter(F.col(weight) > 0)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    if cluster:
+        merged = rows.select(*ids, *flags, w.alias("__w"), F.lit(1).cast("long").alias("__n"))
+    else:
+        merged = stage(rows.groupBy(*ids, *flags).agg(F.sum(w).alias("__w"), F.count(F.lit(1)).alias("__n")), "merged-rows")
+    long = merged.unpivot([*ids, "__w", "__n"], list(flags), "subgroup", "level").dropna(subset=["level"])
+    sizes = long.groupBy("subgroup", "level").agg(F.sum("__n").alias("__rows")).filter(F.col("__rows") >= min_rows)
+    large = long.join(stage(sizes.drop("__rows"), "large-levels"), ["subgroup", "level"], "left_semi")
+    return weighted_cox(large, time, event, arm, "__w", by=("subgroup", "level"), start=start, count="__n", **cox)
 
 
 def interaction_test(fits: DataFrame, by: str = "subgroup") -> DataFrame:

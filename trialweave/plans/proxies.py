@@ -104,8 +104,10 @@ class Inputs(Mapping[str, DataFrame]):
         return len(self._builders)
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Inputs:
+def tables(spark: SparkSession, sf_dir: str, staged: bool = False) -> Inputs:
+    """The inputs by name; ``staged`` first writes the events, for a query that reads most of them."""
     ev = events(spark, sf_dir)
+    ev = stage(ev, "events") if staged else ev
     customer = load(spark, sf_dir, "customer")
     i, v, ts = F.col("event_id"), F.col("value"), F.col("ts")
     # some times are unknown
@@ -201,9 +203,9 @@ def tables(spark: SparkSession, sf_dir: str) -> Inputs:
     })
 
 
-def study(spark: SparkSession, sf_dir: str, **params) -> Study:
+def study(spark: SparkSession, sf_dir: str, staged: bool = False, **params) -> Study:
     rules = Eligibility(excluded_codes=CODES, code_key="subject_id")
-    return Study(tables(spark, sf_dir), Params(rules=rules, **params), ("event_id",))
+    return Study(tables(spark, sf_dir, staged), Params(rules=rules, **params), ("event_id",))
 
 
 def relaxed_cohort(s: Study) -> DataFrame:

@@ -29,7 +29,7 @@ _KEYS = ["stay_id", "strategy", "hour_index"]
 
 def _risk_rows(spark: SparkSession, sf: str, **params) -> tuple[Study, DataFrame, DataFrame]:
     """Clone-hours at risk with the two covariates of the saturated model, as a stage."""
-    s = proxies.study(spark, sf, **params)
+    s = proxies.study(spark, sf, staged=True, **params)
     cohort = proxies.relaxed_cohort(s)
     at_t0, _ = s.panel_lookups()
     units = s.with_ends(cohort)
@@ -539,8 +539,7 @@ FROM hour_rows WHERE hour_index < 24 * time""")
 def _hours(spark: SparkSession, sf: str, counting: bool) -> tuple[Study, DataFrame, DataFrame]:
     s, cohort, weighted = _weighted(spark, sf)
     outcome = left_join(cohort, s.tables["admissions"], "hadm_id", ["deathtime"])
-    rows = censor.clone_hours(weighted, outcome, counting, panel_h=s.params.panel_h, horizon=s.params.horizon_days)
-    return s, cohort, stage(rows, "clone-hours")
+    return s, cohort, censor.clone_hours(weighted, outcome, counting, panel_h=s.params.panel_h, horizon=s.params.horizon_days)
 
 
 _KM_COLUMNS = ("time", "n_event", "n_risk", "surv", "std_err", "strategy", "count_event", "count_risk")
@@ -593,7 +592,7 @@ def _clone_hour_queries(name: str, counting: bool) -> None:
 
     def curve(spark: SparkSession, sf: str) -> DataFrame:
         _, _, hours = _hours(spark, sf, counting)
-        return stage(survival.weighted_km(hours, weight="ipcw_trunc", start=start), "curve")
+        return stage(survival.weighted_km(stage(hours, "clone-hours"), weight="ipcw_trunc", start=start), "curve")
 
     @query(f"km_{name}", oracle(f"SELECT * FROM {curve_sql}", num=list(_KM_COLUMNS[:5]), plain=list(_KM_COLUMNS[5:])))
     def km(spark: SparkSession, sf: str) -> DataFrame:
@@ -606,14 +605,14 @@ def _clone_hour_queries(name: str, counting: bool) -> None:
     @query(f"cox_{name}", oracle(_cox_columns(cox_sql), num=_COX_NUM))
     def cox(spark: SparkSession, sf: str) -> DataFrame:
         _, _, hours = _hours(spark, sf, counting)
-        return survival.weighted_cox(hours, weight="ipcw_trunc", start=start).select(*_COX_NUM)
+        return survival.weighted_cox(stage(hours, "clone-hours"), weight="ipcw_trunc", start=start).select(*_COX_NUM)
 
     @query(f"subgroup_cox_{name}", oracle(f"""SELECT split_part(l.subgroup_level, '|', 1) AS subgroup, split_part(l.subgroup_level, '|', 2) AS level, z.hr, z.se
         FROM (SELECT DISTINCT subgroup_level FROM {name}_large) l LEFT JOIN ({level_sql}) z ON z.grp = l.subgroup_level""", num=["hr", "se"], plain=["subgroup", "level"]))
     def subgroups(spark: SparkSession, sf: str) -> DataFrame:
         s, cohort, hours = _hours(spark, sf, counting)
         flags = s.subgroups(stage(s.baseline(cohort), "baseline"), creat_stage="aki_stage_creat")
-        both = stage(left_join(hours, flags, "stay_id", list(panel.SUBGROUPS)), "by-subgroup")
+        both = left_join(hours, flags, "stay_id", list(panel.SUBGROUPS))
         return survival.subgroup_cox(both, panel.SUBGROUPS, weight="ipcw_trunc", start=start).select("hr", "se", "subgroup", "level")
 
 
